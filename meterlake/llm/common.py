@@ -14,6 +14,8 @@ SPACED_WORD = r"[^\x20\x09-\x0D]+"
 #: Runs of ASCII digits, lower-case ASCII letters and everything beyond ASCII.
 PLAIN_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def lower_ascii(text: Column) -> Column:
     """A-Z lower-cased, every other character as it is."""
@@ -43,7 +45,12 @@ class Scratch:
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and read it back, with the sizes that Spark needs to choose joins."""
         path = f"{self.path}/{name}"
-        df.write.parquet(path)
+        before = self.spark.conf.get(_CLEANUP, None)
+        self.spark.conf.set(_CLEANUP, "true")  # the shuffle files of a written table are of no more use
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.unset(_CLEANUP) if before is None else self.spark.conf.set(_CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:

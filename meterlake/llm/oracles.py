@@ -18,6 +18,16 @@ plain AS (SELECT page_id, url, list_filter(list_transform(parts, lambda x: trim(
   replace(replace(regexp_replace(regexp_replace(x, '<[^>]*>', '', 'g'), '&quot;?', '"', 'g'), '&amp;', '&'), '&amp', '&'),
   '\s+', ' ', 'g'))), lambda x: x <> '') AS parts FROM lines)
 SELECT page_id, url, coalesce(array_to_string(parts, chr(10)), '') AS text, length(coalesce(array_to_string(parts, chr(10)), '')) AS n_chars FROM plain""",
+    "op2_near_duplicates": rf"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT r, doc_id, array_to_string(w[j:j + 4], ' ') AS g FROM d, unnest(range(1, greatest(len(w) - 3, 2))) AS u(j) WHERE len(w) > 0),
+n AS MATERIALIZED (SELECT r, doc_id, count(*) AS n FROM s GROUP BY ALL),
+i AS (SELECT x.r AS a, y.r AS b, count(*) AS shared FROM s x JOIN s y ON x.g = y.g AND x.r < y.r GROUP BY ALL),
+e AS MATERIALIZED (SELECT na.doc_id AS a, nb.doc_id AS b FROM i JOIN n na ON na.r = i.a JOIN n nb ON nb.r = i.b WHERE 100 * shared >= 75 * (na.n + nb.n - shared)),
+both_ AS MATERIALIZED (SELECT a, b FROM e UNION SELECT b, a FROM e),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT reach.a, both_.b FROM reach JOIN both_ ON reach.b = both_.a),
+c AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept FROM d LEFT JOIN n USING (r) JOIN c ON c.a = d.doc_id""",
     "op3_mix_sources": r"""
 WITH RECURSIVE s AS MATERIALIZED (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
   ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 1, 15))::BIGINT AS h FROM documents),
@@ -38,6 +48,16 @@ c AS (SELECT s.doc_id, s.size, source_size, target, rounds, target - rounds * so
   sum(size) OVER (PARTITION BY s.source, h) AS tied
   FROM s JOIN r ON s.source IS NOT DISTINCT FROM r.source)
 SELECT doc_id, size, source_size, target, (size * (rounds + CASE WHEN 2 * upto - tied <= 2 * budget THEN 1 ELSE 0 END))::BIGINT AS taken FROM c""",
+    "op6_remove_repeats": r"""
+WITH d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS MATERIALIZED (SELECT doc_id, j, array_to_string(w[j:j + 19], ' ') AS g FROM d, unnest(range(1, len(w) - 18)) AS u(j)),
+m AS MATERIALIZED (SELECT doc_id, j FROM (SELECT doc_id, j, row_number() OVER (PARTITION BY g ORDER BY doc_id, j) AS k FROM g) WHERE k > 1),
+gone AS (SELECT DISTINCT doc_id, x FROM m, unnest(range(j, j + 20)) AS u(x)),
+lost AS (SELECT doc_id, list(x) AS xs FROM gone GROUP BY doc_id),
+k AS (SELECT doc_id, len(w) AS n, w, coalesce(len(xs), 0) AS n_removed, xs FROM d LEFT JOIN lost USING (doc_id)),
+word AS (SELECT doc_id, x, w[x] AS word FROM k, unnest(range(1, n + 1)) AS u(x)),
+stay AS (SELECT doc_id, string_agg(word, ' ' ORDER BY x) AS t FROM word ANTI JOIN gone USING (doc_id, x) GROUP BY doc_id)
+SELECT k.doc_id, n::BIGINT AS n_words, n_removed::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM k LEFT JOIN stay USING (doc_id)""",
     "op9_decontamination": rf"""
 WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 i AS (SELECT item_id, w, least(10, len(w)) AS k FROM (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark) WHERE len(w) > 0),
