@@ -4,6 +4,9 @@ Confirmed toxic examples and unlabelled text train a linear model over words. Wi
 p * loss of the positives as toxic + max(0, loss of the unlabelled as clean - p * loss of the positives as clean); where
 the second part turns negative, which only overfitting does, the step goes back up it. Training happens once, in numpy,
 on samples of bounded size; scoring is one pass over all documents without a shuffle.
+
+A document's features are its distinct words, and for each beginning of 4 to 7 bytes that one, two, three or four and
+more of its distinct words share, so that unseen forms of a known stem count as well.
 """
 
 from __future__ import annotations
@@ -20,11 +23,14 @@ from meterlake.llm import tokens
 
 #: Most confirmed toxic, unlabelled and labelled clean documents that the model is fitted on, taken by the hash of their id.
 MAX_POSITIVES, MAX_UNLABELLED, MAX_CLEAN = 3_000, 9_000, 3_000
-#: Words that the model weighs at most, those most over-represented among the positives.
-MAX_FEATURES = 1_024
+#: Features that the model weighs at most, those most over-represented among the positives.
+MAX_FEATURES = 512
 THRESHOLD = 0.7
-_EPOCHS, _RATE, _DECAY = 300, 0.1, 1e-3
+_EPOCHS, _RATE, _DECAY = 300, 0.1, 1e-4
+_PREFIXES, _LEVELS = (4, 5, 6, 7), (1, 2, 3, 4)
 _MARK_BITS = 20
+#: A feature's low bits are its level, 0 for a word; the rest is a hash.
+_HASH = np.uint64(2**64 - 8)
 
 
 def fold(doc_id: Column) -> Column:
@@ -32,12 +38,44 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3
 
 
+def _place(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - _MARK_BITS)).astype(np.int64)
+
+
+def features(chunk: tokens.Words, mark: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(text, feature) pairs of some texts, each once; with ``mark``, at least those whose hash falls on a marked place."""
+    words, owners, lens = chunk.hashes(lower=True), chunk.owners(), chunk.ends - chunk.starts
+    at = np.arange(len(words)) if mark is None else np.flatnonzero(mark[_place(words)])
+    order = np.lexsort((words[at], owners[at]))
+    texts, found = [owners[at][order]], [words[at][order] & _HASH]
+    for k in _PREFIXES:
+        short = tokens.Words(chunk.data, chunk.starts, np.minimum(chunk.ends, chunk.starts + k), chunk.bounds, chunk.first)
+        stems = short.hashes(lower=True, seed=10 + k) & _HASH
+        at = np.flatnonzero(lens > k if mark is None else (lens > k) & mark[_place(stems)])
+        if not len(at):
+            continue
+        at = at[np.lexsort((words[at], stems[at], owners[at]))]
+        owner, stem, word = owners[at], stems[at], words[at]
+        new_stem = np.append(True, (owner[1:] != owner[:-1]) | (stem[1:] != stem[:-1]))
+        new_word = new_stem | np.append(True, word[1:] != word[:-1])
+        first = np.flatnonzero(new_stem)
+        forms = np.add.reduceat(new_word.astype(np.int64), first)
+        for level in _LEVELS:
+            texts.append(owner[first][forms >= level])
+            found.append(stem[first][forms >= level] | np.uint64(level))
+    owner, feature = np.concatenate(texts), np.concatenate(found).view(np.int64)
+    order = np.lexsort((feature, owner))
+    owner, feature = owner[order], feature[order]
+    new = np.append(True, (owner[1:] != owner[:-1]) | (feature[1:] != feature[:-1]))[: len(owner)]
+    return owner[new], feature[new]
+
+
 def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = []
         for chunk in tokens.words(batch.column("text"), tokens.PLAIN):
-            hashes = chunk.hashes(lower=True).view(np.int64)
-            sets += [np.unique(hashes[b:e]) for b, e in zip(chunk.bounds[:-1].tolist(), chunk.bounds[1:].tolist(), strict=True)]
+            owner, feature = features(chunk)
+            sets += np.split(feature, np.searchsorted(owner, np.arange(1, len(chunk.bounds) - 1)))
         yield pa.record_batch([batch.column("kind"), batch.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], names=["kind", "doc_id", "words"])
 
 
@@ -47,7 +85,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    words: np.ndarray  #: sorted word hashes
+    words: np.ndarray  #: sorted features
     weights: np.ndarray
     bias: float
     scale: float = 1.0
@@ -171,20 +209,15 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         mark = np.zeros(1 << _MARK_BITS, bool)
-        place = lambda h: (h.view(np.uint64) >> np.uint64(64 - _MARK_BITS)).astype(np.int64)
-        mark[place(model.words)] = True
+        mark[_place(model.words.view(np.uint64))] = True
         for batch in batches:
             raw = np.full(batch.num_rows, model.bias)
             for chunk in tokens.words(batch.column("text"), tokens.PLAIN):
-                hashes = chunk.hashes(lower=True).view(np.int64)
-                near = np.flatnonzero(mark[place(hashes)])
-                if not len(near):
-                    continue
-                at = np.minimum(np.searchsorted(model.words, hashes[near]), len(model.words) - 1)
-                hit = model.words[at] == hashes[near]
-                owner = np.searchsorted(chunk.bounds, near[hit], "right") - 1
-                pairs = np.unique(np.stack([owner, at[hit]]), axis=1)
-                raw[chunk.first : chunk.first + len(chunk.bounds) - 1] += np.bincount(pairs[0], model.weights[pairs[1]], len(chunk.bounds) - 1)
+                owner, feature = features(chunk, mark)
+                if len(model.words) and len(owner):
+                    at = np.minimum(np.searchsorted(model.words, feature), len(model.words) - 1)
+                    hit = model.words[at] == feature
+                    raw[chunk.first : chunk.first + len(chunk.bounds) - 1] += np.bincount(owner[hit], model.weights[at[hit]], len(chunk.bounds) - 1)
             scores = model.score(raw)
             yield pa.record_batch(
                 [batch.column("doc_id"), batch.column("held_out"), pa.array(scores), pa.array((scores >= THRESHOLD).astype(np.int32))],
