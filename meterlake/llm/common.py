@@ -41,10 +41,11 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+        self.paths: dict[str, str] = {}
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and read it back, with the sizes that Spark needs to choose joins."""
-        path = f"{self.path}/{name}"
+        path = self.paths[name] = f"{self.path}/{name}-{uuid.uuid4().hex[:8]}"
         before = self.spark.conf.get(_CLEANUP, None)
         self.spark.conf.set(_CLEANUP, "true")  # the shuffle files of a written table are of no more use
         try:
@@ -56,5 +57,5 @@ class Scratch:
     def drop(self, name: str) -> None:
         """Remove a table that no later step reads."""
         jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        path = jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
         path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
