@@ -97,6 +97,36 @@ def _digest(met: set[str]) -> str:
     return hashlib.sha256(",".join(sorted(met)).encode()).hexdigest()
 
 
+def _items(benchmark: DataFrame, max_windows: int) -> tuple[DataFrame, int]:
+    """(item, words, block) of the items that have words, dealt to so many blocks."""
+    items = benchmark.select(
+        F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"),
+        F.regexp_extract_all(lower_ascii(F.coalesce(F.col("text").cast("string"), F.lit(""))), F.lit(f"({PLAIN_WORD})")).alias("words"),
+    ).where(F.size("words") > 0)
+    total = items.agg(F.sum(F.greatest(F.size("words") - (WINDOW - 1), F.lit(1)))).first()[0] or 0
+    blocks = max(1, -(-int(total) // max_windows))
+    return items.withColumn("block", F.pmod(F.xxhash64("item", "words"), F.lit(blocks))), blocks
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, max_windows: int = MAX_WINDOWS) -> DataFrame:
+    """The rows of ``docs`` without a word in a window of ``benchmark``, with all their columns."""
+    items, blocks = _items(benchmark, max_windows)
+    for block in range(blocks):  # what one block of the benchmark leaves goes to the next
+        docs = _filtered(docs, items.where(F.col("block") == block))
+    return docs
+
+
+def _filtered(docs: DataFrame, items: DataFrame) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in items.select("item", "words").collect()])
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automata = _automata(shared.value)
+        for batch in batches:
+            yield batch.filter(pa.array([not hit.any() for _, _, hit, _ in _found(batch.column("text"), automata)], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, max_windows: int = MAX_WINDOWS) -> DataFrame:
     """Words of ``docs`` (doc_id, text) that lie in a window of ``benchmark`` (item_id, text).
 
@@ -105,15 +135,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, max_windows: int =
     nothing is. Null item ids count as the item ''. Columns besides those named are not read.
     """
     spark = docs.sparkSession
-    items = benchmark.select(
-        F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"),
-        F.regexp_extract_all(lower_ascii(F.coalesce("text", F.lit(""))), F.lit(f"({PLAIN_WORD})")).alias("words"),
-    ).where(F.size("words") > 0)
-    items = items.withColumn("windows", F.greatest(F.size("words") - (WINDOW - 1), F.lit(1)).cast("long"))
-    total = items.agg(F.sum("windows")).first()[0] or 0
-    blocks = max(1, -(-int(total) // max_windows))
+    items, blocks = _items(benchmark, max_windows)
     if blocks > 1:
-        items = items.withColumn("block", F.pmod(F.xxhash64("item", "words"), F.lit(blocks)))
         return _in_blocks(docs, items, blocks)
     shared = spark.sparkContext.broadcast([tuple(r) for r in items.select("item", "words").collect()])
 

@@ -64,34 +64,31 @@ def _boundary(words: DataFrame, cell: str) -> DataFrame:
     return first.select("source", F.col(cell).alias("cell"), (F.col("budget") - (F.col("upto") - F.col("words"))).alias("budget"))
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, source, mix_hash) of every row of ``docs`` (doc_id, text, source).
+def _of(table: DataFrame, columns: DataFrame) -> DataFrame:
+    """Rows with what belongs to their source; a null source finds its row as well."""
+    return table.join(columns.withColumnRenamed("source", "_its"), F.col("source").eqNullSafe(F.col("_its")), "inner").drop("_its")
 
-    Sizes count runs of anything but ASCII white space; a null text has size 0. A null source is a source, the last by
-    code point. Rows that agree in doc_id and text share a hash and are taken together. Sources without words have
-    target 0, and an empty table gives no rows. Other columns are not read.
-    """
-    scratch = Scratch(docs.sparkSession, "mix")
-    size = F.coalesce(F.regexp_count("text", F.lit(SPACED_WORD)), F.lit(0)).cast("long")
-    slim = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), size.alias("size"), mix_hash(F.col("doc_id"), F.col("text")).alias("mix_hash"))
-    sizes = scratch.save(slim, "sizes")
 
-    def of(table: DataFrame, columns: DataFrame) -> DataFrame:
-        """Rows with what belongs to their source; a null source finds its row as well."""
-        return table.alias("l").join(columns.withColumnRenamed("source", "its"), F.col("source").eqNullSafe(F.col("its")), "inner").drop("its")
+def _sized(docs: DataFrame) -> tuple[Column, Column]:
+    """The size and the hash of each row."""
+    text = F.col("text").cast("string")
+    return F.coalesce(F.regexp_count(text, F.lit(SPACED_WORD)), F.lit(0)).cast("long"), mix_hash(F.col("doc_id"), text)
+
 
+def _plan(scratch: Scratch, sizes: DataFrame, weights: tuple[int, ...]) -> DataFrame:
+    """(source, source_size, target, rounds, threshold) from (source, size, mix_hash)."""
     rounds = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     targets = source_targets(scratch, sizes, weights).withColumn("rounds", rounds)
     targets = scratch.save(targets.withColumn("budget", F.col("target") - F.col("rounds") * F.col("source_size")), "targets")
 
     step = HASH_BITS - LEVEL_BITS
     top = sizes.groupBy("source", F.shiftright("mix_hash", step).alias("bucket")).agg(F.sum("size").alias("words"))
-    edge = scratch.save(_boundary(of(top, targets.select("source", "budget")), "bucket"), "edge")
-    at_edge = of(sizes, edge).where(F.shiftright("mix_hash", step) == F.col("cell"))
+    edge = scratch.save(_boundary(_of(top, targets.select("source", "budget")), "bucket"), "edge")
+    at_edge = _of(sizes, edge).where(F.shiftright("mix_hash", step) == F.col("cell"))
     step -= LEVEL_BITS
     finer = at_edge.groupBy("source", "budget", F.shiftright("mix_hash", step).alias("bucket")).agg(F.sum("size").alias("words"))
     edge = scratch.save(_boundary(finer, "bucket"), "finer_edge")
-    single = of(sizes, edge).where(F.shiftright("mix_hash", step) == F.col("cell"))
+    single = _of(sizes, edge).where(F.shiftright("mix_hash", step) == F.col("cell"))
     single = single.groupBy("source", "budget", "cell", "mix_hash").agg(F.sum("size").alias("words"))
     upto = F.sum("words").over(Window.partitionBy("source").orderBy("mix_hash"))
     # a hash value is taken if that brings the words nearer to the budget
@@ -99,7 +96,35 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFram
     single = single.withColumn("taken", taken).groupBy("source").agg(F.max("taken").alias("last"), F.first("cell").alias("cell"))
     threshold = F.coalesce("last", F.shiftleft("cell", step) - 1)
     thresholds = single.select("source", threshold.alias("threshold"))
-    plan = targets.alias("t").join(thresholds.withColumnRenamed("source", "its"), F.col("source").eqNullSafe(F.col("its")), "left").drop("its")
-    plan = scratch.save(plan.select("source", "source_size", "target", "rounds", F.coalesce("threshold", F.lit(-1)).alias("threshold")), "plan")
-    times = F.col("rounds") + (F.col("mix_hash") <= F.col("threshold")).cast("long")
-    return of(sizes, plan).select("doc_id", "size", "source_size", "target", (F.col("size") * times).alias("taken"), "source", "mix_hash")
+    plan = targets.join(thresholds.withColumnRenamed("source", "_its"), F.col("source").eqNullSafe(F.col("_its")), "left").drop("_its")
+    return scratch.save(plan.select("source", "source_size", "target", "rounds", F.coalesce("threshold", F.lit(-1)).alias("threshold")), "plan")
+
+
+def _times() -> Column:
+    return F.col("rounds") + (F.col("mix_hash") <= F.col("threshold")).cast("long")
+
+
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+    """(doc_id, size, source_size, target, taken) of every row of ``docs`` (doc_id, text, source).
+
+    Sizes count runs of anything but ASCII white space; a null text has size 0. A null source is a source, the last by
+    code point. Rows that agree in doc_id and text share a hash and are taken together. Sources without words have
+    target 0, and an empty table gives no rows. Other columns are not read.
+    """
+    scratch = Scratch(docs.sparkSession, "mix")
+    size, hashed = _sized(docs)
+    slim = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), size.alias("size"), hashed.alias("mix_hash"))
+    sizes = scratch.save(slim, "sizes")
+    mixed = _of(sizes, _plan(scratch, sizes, weights))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * _times()).alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+    """The rows of ``docs`` that the mix takes, with all their columns and mix_times, how often each is taken."""
+    scratch = Scratch(docs.sparkSession, "mix")
+    size, hashed = _sized(docs)
+    sizes = scratch.save(docs.select(F.col("source").cast("string"), size.alias("size"), hashed.alias("mix_hash")), "sizes")
+    plan = _plan(scratch, sizes, weights).select(F.struct("rounds", "threshold").alias("_mix_plan"), F.col("source").alias("_mix_source"))
+    joined = docs.join(plan, F.col("source").cast("string").eqNullSafe(F.col("_mix_source")))
+    times = F.col("_mix_plan.rounds") + (hashed <= F.col("_mix_plan.threshold")).cast("long")
+    return joined.withColumn("mix_times", times).where((F.col("mix_times") > 0) & (size > 0)).select(*docs.columns, "mix_times")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterlake.llm import decontamination, html_text, language_id, mixing, near_dedup, substring_dedup, toxicity, url_filter
+from meterlake.llm import decontamination, fingerprints, html_text, language_id, license_scan, mixing, near_dedup, substring_dedup, toxicity, url_filter
 from meterlake.llm.common import table
 from meterlake.llm.oracles import ORACLES  # noqa: F401  read by __spark_entry__
 
@@ -27,7 +27,11 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix_sources(table(spark, sf_dir, "documents"))
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +40,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,6 +48,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, language_id.learn_profiles(docs))
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -56,9 +64,11 @@ QUERIES = {
     "op1_html_text": op1_html_text,
     "op2_near_duplicates": op2_near_duplicates,
     "op3_mix_sources": op3_mix_sources,
+    "op4_license_scan": op4_license_scan,
     "op5_toxicity": op5_toxicity,
     "op6_remove_repeats": op6_remove_repeats,
     "op7_language_id": op7_language_id,
+    "op8_fingerprints": op8_fingerprints,
     "op9_decontamination": op9_decontamination,
     "op10_url_filter": op10_url_filter,
 }

@@ -102,49 +102,50 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts without the words that marked windows cover."""
+def _stays(column: pa.Array, marks: list[list[int] | None], copies: list[bool | None]) -> Iterator[tuple[int, np.ndarray, bytes]]:
+    """For each text its words, which of them stay, and those joined by one space."""
+    for chunk in tokens.words(column, tokens.SPACED):
+        for row, (begin, end) in enumerate(zip(chunk.bounds[:-1].tolist(), chunk.bounds[1:].tolist(), strict=True)):
+            n = end - begin
+            gone = np.zeros(n + 1, np.int32)
+            if copies[chunk.first + row] and n >= WINDOW:
+                gone[0] = 1
+            elif (own := marks[chunk.first + row]) is not None:
+                at = np.array(own, np.int64)
+                np.add.at(gone, at, 1)
+                np.add.at(gone, at + WINDOW, -1)
+            stays = np.flatnonzero(np.cumsum(gone[:n]) <= 0)
+            yield n, stays, b" ".join([chunk.word(begin + i) for i in stays.tolist()])
+
+
+def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        marks, copies = batch.column("marks").to_pylist(), batch.column("copy").to_pylist()
-        totals, removed, kept, digests = [], [], [], []
-        for chunk in tokens.words(batch.column("text"), tokens.SPACED):
-            for row, (begin, end) in enumerate(zip(chunk.bounds[:-1].tolist(), chunk.bounds[1:].tolist(), strict=True)):
-                n = end - begin
-                gone = np.zeros(n + 1, np.int32)
-                if copies[chunk.first + row] and n >= WINDOW:
-                    gone[0] = 1
-                elif (own := marks[chunk.first + row]) is not None:
-                    at = np.array(own, np.int64)
-                    np.add.at(gone, at, 1)
-                    np.add.at(gone, at + WINDOW, -1)
-                stays = np.flatnonzero(np.cumsum(gone[:n]) <= 0)
-                text = b" ".join([chunk.word(begin + i) for i in stays.tolist()])
-                totals.append(n)
-                removed.append(n - len(stays))
-                kept.append(text.decode())
-                digests.append(hashlib.sha256(text).hexdigest())
+        rows = [(n, n - len(stays), hashlib.sha256(text).hexdigest()) for n, stays, text in _stays(batch.column("text"), batch.column("marks").to_pylist(), batch.column("copy").to_pylist())]
+        cols = list(zip(*rows, strict=True)) if rows else [[]] * 3
         yield pa.record_batch(
-            [batch.column("doc_id"), pa.array(totals, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string()), pa.array(kept, pa.string()), batch.column("text_a"), batch.column("text_b")],
-            names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", "text_a", "text_b"],
+            [batch.column("doc_id"), *map(pa.array, cols, (pa.int64(), pa.int64(), pa.string()))], names=["doc_id", "n_words", "n_removed", "kept_sha256"]
         )
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256, kept_text, text_a, text_b) of every row of ``docs`` (doc_id, text).
+_LAST = 2**63 - 1
 
-    A word goes if a window that covers it also starts earlier: in a smaller doc_id or before in the same document.
-    Windows are judged on the input. kept_text is the words that stay, joined by one space; (text_a, text_b) hash the
-    input text. Null and empty texts have no words. A null doc_id comes after all others. Rows that agree in doc_id and
-    text are one document and get the same result; rows that share a doc_id alone go by their text's hash. An empty
-    table gives no rows. Other columns are not read.
-    """
+
+def _keyed(docs: DataFrame, prefix: str = "") -> DataFrame:
+    """``docs`` with what names a text: its place in the order of ids, a null id being last, and two hashes."""
+    return docs.withColumns(
+        {
+            f"{prefix}place": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)),
+            f"{prefix}text_a": F.xxhash64(F.lit(1), F.col("text").cast("string")),
+            f"{prefix}text_b": F.xxhash64(F.lit(2), F.col("text").cast("string")),
+        }
+    )
+
+
+def _marked(docs: DataFrame) -> DataFrame:
+    """(place, text_a, marks, copy) of the texts that lose words: the starts of their repeated windows, or that all go."""
     scratch = Scratch(docs.sparkSession, "repeats")
-    last = F.lit(2**63 - 1).cast("long")
-    slim = docs.select(
-        F.col("doc_id").cast("long"), F.coalesce(F.col("doc_id").cast("long"), last).alias("place"), F.xxhash64(F.lit(1), "text").alias("text_a"),
-        F.xxhash64(F.lit(2), "text").alias("text_b"), F.col("text").cast("string"),
-    )
-    sketches = slim.drop("doc_id").mapInArrow(_sketched, "place long, text_a long, text_b long, n_words long, cells array<long>")
+    slim = _keyed(docs.select("doc_id", F.col("text").cast("string"))).drop("doc_id")
+    sketches = slim.mapInArrow(_sketched, "place long, text_a long, text_b long, n_words long, cells array<long>")
     sketches = scratch.save(sketches.where(F.size("cells") > 0), "sketches")
 
     heads = scratch.save(sketches.groupBy("text_a", "text_b").agg(F.min("place").alias("head"), F.max("place").alias("tail")).where("head < tail").drop("tail"), "heads")
@@ -169,5 +170,42 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     marked = later.withColumn("copy", F.lit(False)).unionByName(copies.select("place", "text_a", F.lit(None).cast("array<int>").alias("marks"), F.lit(True).alias("copy")))
     marked = scratch.save(marked, "marked")
     scratch.drop("windows")
-    out = slim.join(marked, ["place", "text_a"], "left").withColumn("copy", F.coalesce("copy", F.lit(False)))
-    return out.mapInArrow(_cleaned, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, text_a long, text_b long")
+    return marked
+
+
+def remove_repeats(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_sha256) of every row of ``docs`` (doc_id, text).
+
+    A word goes if a window that covers it also starts earlier: in a smaller doc_id or before in the same document.
+    Windows are judged on the input. kept_sha256 hashes the words that stay, joined by one space. Null and empty texts
+    have no words. A null doc_id comes after all others. Rows that agree in doc_id and text are one document and get the
+    same result; rows that share a doc_id alone go by their text's hash. An empty table gives no rows. Other columns are
+    not read.
+    """
+    slim = _keyed(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    out = slim.join(_marked(docs), ["place", "text_a"], "left")
+    return out.mapInArrow(_judged, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """``docs`` with all its rows and columns, the texts that lose words being the words that stay, joined by one space.
+
+    A column n_chars, if there is one, is made to agree with the new text.
+    """
+    own = docs.columns
+    marked = _marked(docs).select(*(F.col(c).alias(f"_repeats_{c}") for c in ("place", "text_a", "marks", "copy")))
+    joined = _keyed(docs, "_repeats_").join(marked, ["_repeats_place", "_repeats_text_a"], "left").select(*own, "_repeats_marks", "_repeats_copy")
+
+    def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            old = batch.column("text").to_pylist()
+            found = _stays(batch.column("text"), batch.column("_repeats_marks").to_pylist(), batch.column("_repeats_copy").to_pylist())
+            new = [text.decode() if len(stays) < n else before for before, (n, stays, text) in zip(old, found, strict=True)]
+            columns = {c: batch.column(c) for c in own} | {"text": pa.array(new, batch.column("text").type)}
+            if "n_chars" in own:
+                kind = batch.column("n_chars").type
+                counts = [a if b is c else len(c) for a, b, c in zip(batch.column("n_chars").to_pylist(), old, new, strict=True)]
+                columns["n_chars"] = pa.array(counts, kind)
+            yield pa.record_batch(list(columns.values()), names=list(columns))
+
+    return joined.mapInArrow(rewrite, docs.schema)

@@ -198,6 +198,25 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     return _calibrated(model, model.raw(sets[0]), model.raw(sets[2]), prior)
 
 
+class _Scorer:
+    """Scores of a column of texts by one model."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.mark = np.zeros(1 << _MARK_BITS, bool)
+        self.mark[_place(model.words.view(np.uint64))] = True
+
+    def __call__(self, column: pa.Array) -> np.ndarray:
+        model, raw = self.model, np.full(len(column), self.model.bias)
+        for chunk in tokens.words(column, tokens.PLAIN):
+            owner, feature = features(chunk, self.mark)
+            if len(model.words) and len(owner):
+                at = np.minimum(np.searchsorted(model.words, feature), len(model.words) - 1)
+                hit = model.words[at] == feature
+                raw[chunk.first : chunk.first + len(chunk.bounds) - 1] += np.bincount(owner[hit], model.weights[at[hit]], len(chunk.bounds) - 1)
+        return model.score(raw)
+
+
 def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of ``docs`` (doc_id, text).
 
@@ -207,18 +226,9 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        mark = np.zeros(1 << _MARK_BITS, bool)
-        mark[_place(model.words.view(np.uint64))] = True
+        scorer = _Scorer(shared.value)
         for batch in batches:
-            raw = np.full(batch.num_rows, model.bias)
-            for chunk in tokens.words(batch.column("text"), tokens.PLAIN):
-                owner, feature = features(chunk, mark)
-                if len(model.words) and len(owner):
-                    at = np.minimum(np.searchsorted(model.words, feature), len(model.words) - 1)
-                    hit = model.words[at] == feature
-                    raw[chunk.first : chunk.first + len(chunk.bounds) - 1] += np.bincount(owner[hit], model.weights[at[hit]], len(chunk.bounds) - 1)
-            scores = model.score(raw)
+            scores = scorer(batch.column("text"))
             yield pa.record_batch(
                 [batch.column("doc_id"), batch.column("held_out"), pa.array(scores), pa.array((scores >= THRESHOLD).astype(np.int32))],
                 names=["doc_id", "held_out", "score", "predicted"],
@@ -227,3 +237,15 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
     held = F.coalesce(fold(F.col("doc_id").cast("long")) == 1, F.lit(False))
     slim = docs.select(F.col("doc_id").cast("long"), held.alias("held_out"), F.col("text").cast("string"))
     return slim.mapInArrow(score, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` that score below THRESHOLD, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = _Scorer(shared.value)
+        for batch in batches:
+            yield batch.filter(pa.array(scorer(batch.column("text")) < THRESHOLD))
+
+    return docs.mapInArrow(keep, docs.schema)
