@@ -186,4 +186,26 @@ ORACLES = {
     "event_cost": led("""SELECT dedup_key, round((input_tokens * (CASE WHEN long_ THEN 6.0 ELSE 3.0 END) + output_tokens * (CASE WHEN long_ THEN 22.5 ELSE 15.0 END) + cache_read_tokens * 0.3
  + cache_write_5m_tokens * 3.75 + cache_write_1h_tokens * 6.0) / 1000000.0, 9) AS usd FROM (SELECT *, input_tokens + cache_read_tokens + cache_write_5m_tokens + cache_write_1h_tokens > 50000 AS long_ FROM ledger)"""),
     "price_freshness": f"WITH {DUCK_QUOTES} SELECT MAX(CASE WHEN source <> 'seed' THEN {A} - 1000 * length(source) END)::BIGINT AS live_at, FALSE AS stale FROM quotes",
+    "asof_model": """WITH c AS (SELECT DISTINCT conv_id, turn, 'm' || ((conv_id + turn) % 4)::VARCHAR AS model FROM conversations WHERE turn % 3 = 1)
+ SELECT t.conv_id, t.turn, t.role, c.model FROM conversations t ASOF LEFT JOIN c ON t.conv_id = c.conv_id AND t.turn >= c.turn""",
+    "trace_coverage": """WITH l AS (SELECT l_orderkey AS o, l_linenumber AS n, epoch_us(l_shipdate::TIMESTAMP) // 1000 AS ts, l_quantity::BIGINT AS q FROM lineitem),
+ t AS (SELECT o AS trace_id, CASE WHEN o % 50 <> 0 THEN 's' || o::VARCHAR END AS session_id, MIN(ts) AS start_ms, MAX(ts) AS end_ms, CASE WHEN o % 100 = 0 THEN 'm' || o::VARCHAR END AS model, SUM(q)::BIGINT AS total FROM l GROUP BY o),
+ e AS (SELECT 's' || o::VARCHAR AS session_id, 'm' || o::VARCHAR AS model, ts, q FROM l WHERE n % 2 = 0 AND o % 3 <> 0 AND o % 50 <> 0),
+ m AS (SELECT trace_id, q FROM t JOIN e ON t.session_id = e.session_id AND ts BETWEEN start_ms AND end_ms
+ UNION ALL SELECT trace_id, q FROM t JOIN e ON t.session_id IS NULL AND ts BETWEEN start_ms AND end_ms AND (t.model IS NULL OR t.model = e.model) AND ts // 86400000 <= start_ms // 86400000 + 31),
+ c AS (SELECT trace_id, COUNT(*) AS n, SUM(q) AS q FROM m GROUP BY 1),
+ b AS (SELECT t.*, COALESCE(n, 0) AS n, COALESCE(q, 0) AS q, COALESCE(q, 0) = 0 AND total >= 2 AS split FROM t LEFT JOIN c USING (trace_id))
+ SELECT trace_id, session_id, model, start_ms, end_ms, (CASE WHEN split THEN total - 2 ELSE 0 END)::BIGINT AS input_tokens, (CASE WHEN split THEN 1 ELSE 0 END)::BIGINT AS output_tokens,
+ (CASE WHEN split THEN 1 ELSE 0 END)::BIGINT AS cache_read_tokens, (CASE WHEN split THEN 0 ELSE GREATEST(total - q, 0) END)::BIGINT AS unclassified_tokens
+ FROM b WHERE NOT (n > 0 AND (session_id IS NULL OR q >= total)) AND total > 0""",
+    "reconcile_totals": led(f"""SELECT *, ROUND(ABS(our_cache_read_tokens - their_cache_read_tokens) / their_cache_read_tokens * 100, 8) AS cache_read_tokens_off_pct,
+ ROUND(ABS(our_output_tokens - their_output_tokens) / their_output_tokens * 100, 8) AS output_tokens_off_pct, ROUND(ABS(our_cost_usd - their_cost_usd) / their_cost_usd * 100, 8) AS cost_usd_off_pct
+ FROM (SELECT {_big('cache_read_tokens', 'our_cache_read_tokens')}, {_big('output_tokens', 'our_output_tokens')}, ROUND(SUM(cost_usd), 8) AS our_cost_usd,
+ {_big('CASE WHEN event_id % 50 <> 0 THEN cache_read_tokens END', 'their_cache_read_tokens')}, {_big('CASE WHEN event_id % 50 <> 0 THEN output_tokens END', 'their_output_tokens')},
+ ROUND(SUM(CASE WHEN event_id % 50 <> 0 THEN cost_usd END), 8) AS their_cost_usd FROM ledger)"""),
+    "reconcile_watermarks": """WITH o AS (SELECT o_orderkey AS k, floor(o_totalprice)::BIGINT AS p FROM orders), b AS (SELECT CASE WHEN k % 7 <> 0 THEN p END AS ours, CASE WHEN k % 5 <> 0 AND p + k % 3 > 0 THEN p + k % 3 END AS theirs FROM o),
+ s AS (SELECT COUNT(*) FILTER (WHERE ours IS NOT NULL AND theirs IS NOT NULL) AS joined, SUM(ours) FILTER (WHERE theirs IS NOT NULL)::BIGINT AS our_tokens, SUM(theirs) FILTER (WHERE ours IS NOT NULL)::BIGINT AS their_tokens,
+ COUNT(*) FILTER (WHERE ours IS NOT NULL AND theirs IS NULL) AS only_ours, COUNT(*) FILTER (WHERE ours IS NULL AND theirs IS NOT NULL) AS only_theirs FROM b)
+ SELECT *, ROUND(ABS(our_tokens - their_tokens) / their_tokens * 100, 8) AS off_pct FROM s""",
+    "source_health": led("""SELECT app AS source, MAX(ts_start) AS last_synced_at, COUNT(*) AS rows_ingested, CASE WHEN app <> 'cursor' THEN COUNT(DISTINCT session_id) ELSE 0 END AS tracked_files FROM ledger GROUP BY 1"""),
 }

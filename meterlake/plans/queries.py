@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from meterlake.functions import exprs as E
 from meterlake.operators import calendar as K
 from meterlake.operators import cube as C
+from meterlake.operators import joins as J
 from meterlake.operators import ledger as L
 from meterlake.operators import metrics as M
+from meterlake.operators import pricing as P
 from meterlake.operators import quotas as Q
 from meterlake.plans.fixtures import ANCHOR_MS, OFFSET, arrivals, ledger, quotas, quotes
 from meterlake.schema import DAY_MS
@@ -89,6 +91,78 @@ def _keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.select(raw.alias("raw")).distinct().withColumn("model_key", E.model_key(F.col("raw"))).withColumn("canon_key", E.canon_key(F.col("model_key")))
 
 
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _event_cost(rows: DataFrame) -> DataFrame:
+    prices = {"input": 3.0, "output": 15.0, "cache_read": 0.3, "cache_write": 3.75, "tier_above_200k_input": 6.0, "tier_1h_cache_write": None, "tier_above_200k_output": 22.5, "tier_above_200k_cache_read": None}
+    priced = rows.withColumns({c: F.lit(v).cast("double") for c, v in prices.items()})
+    return priced.select("dedup_key", P.event_cost(50_000).alias("usd"))
+
+
+def _freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prices = quotes(spark, sf_dir).withColumn("fetched_at", A - 1000 * F.length("source").cast("bigint"))
+    return P.price_freshness(prices, A)
+
+
+def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names as events spell the quoted models, so that they must be peeled to be found."""
+    q = quotes(spark, sf_dir).select("model_id").distinct()
+    spelled = F.concat(F.lit("vendor/openai."), "model_id", F.lit("-high")), F.concat("model_id", F.lit("-20250101")), F.col("model_id")
+    return q.select(F.explode(F.array(*spelled)).alias("raw")).withColumn("request", F.lit(None).cast("string"))
+
+
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.expand_candidates(_names(spark, sf_dir).select(F.col("raw").alias("name")).distinct())
+
+
+def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.resolve(_names(spark, sf_dir), P.consensus(quotes(spark, sf_dir)))
+
+
+def _reprice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    models = F.concat(F.lit("m-"), (F.col("event_id") % 150).cast("string"), F.lit("-1"))
+    rows = ledger(spark, sf_dir).withColumns({"model": models, "cost_source": F.when(F.col("event_id") % 3 == 0, "provider_reported").otherwise("unpriced"), "request_model": F.lit(None).cast("string")})
+    rows = rows.withColumn("cost_usd", F.when(F.col("event_id") % 3 == 0, F.col("cost_usd")).otherwise(0.0))
+    resolved = P.resolve(P.names_of(rows), P.consensus(quotes(spark, sf_dir)))
+    return rounded(P.reprice(rows, resolved, True).select("dedup_key", "pricing_model", "cost_source", "cost_usd"))
+
+
+def _asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
+    changes = turns.where("turn % 3 = 1").select("conv_id", "turn", F.concat(F.lit("m"), ((F.col("conv_id") + F.col("turn")) % 4).cast("string")).alias("model"))
+    return J.asof_join(turns, changes.dropDuplicates(["conv_id", "turn"]), "conv_id", "turn", "model")
+
+
+def _coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.unix_millis(F.col("l_shipdate").cast("timestamp")).alias("ts"), F.col("l_quantity").cast("long").alias("q"))
+    session = F.when(F.col("l_orderkey") % 50 != 0, F.concat(F.lit("s"), F.col("l_orderkey").cast("string")))
+    traces = lines.groupBy("l_orderkey").agg(F.min("ts").alias("start_ms"), F.max("ts").alias("end_ms"), F.sum("q").alias("total"))
+    model = F.when(F.col("l_orderkey") % 100 == 0, F.concat(F.lit("m"), F.col("l_orderkey").cast("string")))
+    traces = traces.select(F.col("l_orderkey").alias("trace_id"), session.alias("session_id"), "start_ms", "end_ms", model.alias("model"), "total", (F.col("total") - 1).alias("input"), F.lit(1).cast("long").alias("output"), F.lit(1).cast("long").alias("cached"))
+    exact = lines.where("l_linenumber % 2 = 0 AND l_orderkey % 3 <> 0").select(session.alias("session_id"), F.concat(F.lit("m"), F.col("l_orderkey").cast("string")).alias("model"), F.col("ts").alias("ts_start"), F.col("q").alias("tokens"))
+    return J.subtract_coverage(traces, exact.where("session_id IS NOT NULL"))
+
+
+def _totals_off(rows: DataFrame) -> DataFrame:
+    return J.reconcile_totals(rows, rows.where("event_id % 50 <> 0"))
+
+
+def _watermarks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = _read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").cast("double").alias("price"))
+    path = F.concat(F.lit("C:/Logs/"), F.col("o_orderkey").cast("string"))
+    ours = orders.where("o_orderkey % 7 <> 0").select(path.alias("path"), F.floor("price").cast("long").alias("tokens"))
+    theirs = orders.where("o_orderkey % 5 <> 0").select(F.replace(F.lower(path), F.lit("/"), F.lit("\\")).alias("path"), (F.floor("price") + F.col("o_orderkey") % 3).cast("long").alias("tokens"))
+    return rounded(J.reconcile_watermarks(ours, theirs))
+
+
+def _health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ledger(spark, sf_dir)
+    sources = rows.groupBy(F.col("app").alias("source")).agg(F.max("ts_start").alias("last_synced_at"), F.count("*").alias("rows_ingested"))
+    return J.source_health(sources, rows.where("app <> 'cursor'").select(F.col("app").alias("source"), "session_id").distinct())
+
+
 QUERIES = {
     "totals_all": _ledger(M.totals),
     "totals_range": _ledger(lambda d: M.totals(M.scope(d, A - 7 * DAY_MS, A))),
@@ -148,4 +222,16 @@ QUERIES = {
     "shares_top_k": _ledger(lambda d: K.top_k_others(M.by_model(d).select("name", "tokens"), "name", "tokens")),
     "model_series": _ledger(lambda d: K.model_series(M.bucket_models(d, OFFSET))),
     "model_keys": _keys,
+    "event_cost": lambda spark, sf_dir: _event_cost(ledger(spark, sf_dir)),
+    "price_freshness": _freshness,
+    "price_consensus": lambda spark, sf_dir: rounded(P.consensus(quotes(spark, sf_dir))),
+    "price_stances": lambda spark, sf_dir: P.stances(quotes(spark, sf_dir)),
+    "candidates": _candidates,
+    "resolve_prices": _resolved,
+    "reprice_diff": _reprice,
+    "asof_model": _asof,
+    "trace_coverage": _coverage,
+    "reconcile_totals": _ledger(_totals_off),
+    "reconcile_watermarks": _watermarks,
+    "source_health": _health,
 }
