@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterlake.llm import tokens
+from meterlake.llm.common import Scratch
 
 #: Most confirmed toxic, unlabelled and labelled clean documents that the model is fitted on, taken by the hash of their id.
 MAX_POSITIVES, MAX_UNLABELLED, MAX_CLEAN = 3_000, 9_000, 3_000
@@ -103,24 +104,10 @@ class Model:
         return _sigmoid(self.scale * raw + self.shift)
 
 
-def _features(positives: list[np.ndarray], unlabelled: list[np.ndarray]) -> np.ndarray:
-    """The words whose share of the positives exceeds their share of the unlabelled most surely."""
-    words, inverse = np.unique(np.concatenate([*positives, *unlabelled]), return_inverse=True)
-    cut = sum(map(len, positives))
-    in_p, in_u = (np.bincount(x, minlength=len(words)) for x in (inverse[:cut], inverse[cut:]))
-    p, u = in_p / len(positives), in_u / max(1, len(unlabelled))
-    both = (in_p + in_u) / (len(positives) + len(unlabelled))
-    sure = (p - u) / np.sqrt(both * (1 - both) * (1 / len(positives) + 1 / max(1, len(unlabelled))) + 1e-12)
-    sure[(in_p < 2) | (sure < 3)] = 0
-    best = np.argsort(-sure, kind="stable")[:MAX_FEATURES]
-    return np.sort(words[best[sure[best] > 0]])
-
-
-def fit(positives: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> Model:
-    """The model of least non-negative risk, by full-batch Adam."""
+def fit(words: np.ndarray, positives: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> Model:
+    """The model of least non-negative risk over the sorted features ``words``, by full-batch Adam."""
     if not positives:
         return Model(np.zeros(0, np.int64), np.zeros(0), -40.0)
-    words = _features(positives, unlabelled)
     sets = [*positives, *unlabelled]
     rows, cols = [], []
     for i, own in enumerate(sets):
@@ -174,13 +161,25 @@ def _calibrated(model: Model, positives: np.ndarray, clean: np.ndarray, prior: f
     return Model(model.words, model.weights, model.bias, a / spread, b - a * center / spread)
 
 
+def _chosen(found: DataFrame) -> list[int]:
+    """The MAX_FEATURES features whose share of the positives exceeds their share of the unlabelled most surely, sorted."""
+    sizes = dict(found.where("kind < 2").groupBy("kind").count().collect())
+    n_p, n_u = sizes.get(0, 0), max(1, sizes.get(1, 0))
+    counts = found.where("kind < 2").select("kind", F.explode("words").alias("word")).groupBy("word")
+    counts = counts.agg(F.count_if(F.col("kind") == 0).alias("in_p"), F.count_if(F.col("kind") == 1).alias("in_u")).where("in_p > 1")
+    both = (F.col("in_p") + F.col("in_u")) / (n_p + n_u)
+    sure = (F.col("in_p") / n_p - F.col("in_u") / n_u) / F.sqrt(both * (1 - both) * (1 / max(1, n_p) + 1 / n_u) + 1e-12)
+    best = counts.select("word", sure.alias("sure")).where("sure >= 3").orderBy(F.desc("sure"), "word").limit(MAX_FEATURES)
+    return sorted(r["word"] for r in best.collect())
+
+
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit on rows that are not held out; a document is toxic if any of its labels says so."""
     known = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(fold(F.col("doc_id")) != 1)
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n, toxic = known.agg(F.count("*"), F.sum("toxic")).first()
     if not n or not toxic:
-        return fit([], [], 0.5)
+        return fit(np.zeros(0, np.int64), [], [], 0.5)
     prior = min(max(toxic / n, 1e-3), 0.9)
     by_hash = F.xxhash64("doc_id")
     ids = docs.select(F.col("doc_id").cast("long")).where("doc_id IS NOT NULL").where(fold(F.col("doc_id")) != 1)
@@ -192,9 +191,13 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     # at most the sum of the three bounds above: small enough to broadcast whatever the corpus
     sample = taken[0].unionByName(taken[1]).unionByName(taken[2]).distinct()
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(sample), "doc_id").select("kind", "doc_id", "text")
-    got = texts.mapInArrow(_distinct, "kind int, doc_id long, words array<long>").toPandas().sort_values(["kind", "doc_id"])
-    sets = {k: [np.asarray(w, np.int64) for w in got.loc[got["kind"] == k, "words"]] for k in (0, 1, 2)}
-    model = fit(sets[0], sets[1], prior)
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    found = scratch.save(texts.mapInArrow(_distinct, "kind int, doc_id long, words array<long>"), "features")
+    words = _chosen(found)
+    listed = F.array(*map(F.lit, words)).cast("array<bigint>")
+    got = found.select("kind", "doc_id", F.array_intersect("words", listed).alias("words")).toPandas().sort_values(["kind", "doc_id"])
+    sets = {k: [np.sort(np.asarray(w, np.int64)) for w in got.loc[got["kind"] == k, "words"]] for k in (0, 1, 2)}
+    model = fit(np.array(words, np.int64), sets[0], sets[1], prior)
     return _calibrated(model, model.raw(sets[0]), model.raw(sets[2]), prior)
 
 
