@@ -9,7 +9,9 @@ document's bucket keys: a pair at the threshold shares none with a chance of abo
 Documents of equal sets are one node. In every bucket the node of smallest id is the hub; pairs are compared on their
 full sets in three rounds: each node with the hub it shares most buckets with, then with its other hubs, then with the
 other members of buckets that still hold several components. Pairs that components already join are never compared, so
-a large group costs a comparison or two for each member.
+a large group costs a comparison or two for each member. Buckets that hold several components even so are compared
+block by block: a task gets two blocks of BLOCK members, takes only the pairs whose first common band is this bucket's,
+leaves out those that the links found in the task already join, and returns links, not pairs.
 """
 
 from __future__ import annotations
@@ -32,8 +34,10 @@ COORDINATES = BANDS * ROWS
 PERCENT = 75
 #: Members compared with one copy of their hub's text.
 GROUP = 64
+#: Members of a mixed bucket that one task holds of each of two blocks.
+BLOCK = 512
 
-_BIN, _ROUND, _VALUE = 9, 9, 46
+_ROUND, _VALUE = 10, 45
 _SEEDS = tokens.stream(77, 2 * COORDINATES)
 _BAND_WEIGHTS = tokens.stream(78, ROWS) | np.uint64(1)
 _BAND_SEEDS = tokens.stream(79, BANDS)
@@ -130,6 +134,49 @@ def _verified(scratch: Scratch, texts: DataFrame, pairs: DataFrame, name: str) -
     return links
 
 
+def _crossed(group: pd.DataFrame) -> pd.DataFrame:
+    """Links between members of different components in two blocks of a bucket, or in one with itself."""
+    group = group.drop_duplicates(["node", "text"]).reset_index(drop=True)
+    key, low, high = (int(group[c].iloc[0]) for c in ("key", "low", "high"))
+    sets = [frozenset(s.tolist()) for s in shingle_sets(pa.array(group["text"], pa.large_string()))]
+    nodes, sizes, bands = group["node"].to_numpy(), np.array([len(s) for s in sets]), np.stack(group["bands"].to_numpy())
+    side, own = group["block"].to_numpy(), group["c"].to_numpy()
+    band = int(np.flatnonzero(bands[0] == key)[0])
+    root = {c: c for c in set(own.tolist())}
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    found = []
+    order = np.arange(len(group)) if low == high else np.flatnonzero(side == low)
+    for i in order.tolist():
+        others = np.arange(i + 1, len(group)) if low == high else np.flatnonzero(side == high)
+        alike = PERCENT * np.maximum(sizes[i], sizes[others]) <= 100 * np.minimum(sizes[i], sizes[others])
+        others = others[alike & (own[others] != own[i])]
+        others = others[(bands[others] == bands[i]).argmax(axis=1) == band]
+        for j in others.tolist():
+            a, b = find(int(own[i])), find(int(own[j]))
+            if a != b:
+                shared = len(sets[i] & sets[j])
+                if 100 * shared >= PERCENT * (len(sets[i]) + len(sets[j]) - shared):
+                    found.append((int(nodes[i]), int(nodes[j])))
+                    root[a] = b
+    return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+
+
+def _blockwise(members: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between the members (key, node, c) of mixed buckets."""
+    sizes = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    block = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    dealt = members.join(sizes, "key").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "c")
+    known = texts.join(nodes.select("node", "bands").dropDuplicates(["node"]), texts.doc_id == nodes.node).select(F.col("node").alias("_node"), "bands", "text")
+    full = dealt.join(known, F.col("node") == F.col("_node")).drop("_node")
+    return full.groupBy("key", "low", "high").applyInPandas(_crossed, "a long, b long")
+
+
 def components(scratch: Scratch, edges: DataFrame, name: str) -> DataFrame:
     """(node, component) of every node of ``edges`` (a, b): the smallest node it can reach.
 
@@ -207,15 +254,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = links.unionByName(_verified(scratch, texts, others, "second"))
     joined = components(scratch, links, "second")
 
-    split = component(met.where("size > 2").select("key", "node", "n", "hub"), "node", "c")
+    split = component(met.where("size > 2").select("key", "size", "node", "n", "hub"), "node", "c")
     split = scratch.save(split, "split")
     mixed = split.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most").select(F.col("key").alias("mixed"))
     mixed = scratch.save(mixed, "mixed")
     open_ = scratch.save(split.join(mixed, split.key == mixed.mixed, "left_semi").where("node <> hub"), "open")
-    a, b = (open_.select(F.col("key").alias(f"key_{x}"), F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("c").alias(f"c_{x}")) for x in ("hub", "member"))
-    apart = (F.col("key_hub") == F.col("key_member")) & (F.col("hub") < F.col("member")) & (F.col("c_hub") != F.col("c_member")) & _alike("n_hub", "n_member")
-    rest = a.join(b, apart).select("hub", "member").distinct().join(near, ["hub", "member"], "left_anti")
-    links = links.unionByName(_verified(scratch, texts, rest, "third"))
+    links = links.unionByName(scratch.save(_blockwise(open_, nodes, texts), "third_links"))
     joined = components(scratch, links, "third")
 
     ends = scratch.save(component(nodes.select("set_a", "set_b", "node"), "node", "component_id").select("set_a", "set_b", "component_id"), "ends")
