@@ -149,7 +149,8 @@ def iso_ms(value: Column) -> Column:
 def epoch_ms(value: Column) -> Column:
     """Epoch milliseconds of a number of seconds, milli-, micro- or nanoseconds, told apart by size."""
     n = value.cast("bigint")
-    return F.when(n > 10**18, F.floor(n / 10**6)).when(n > 10**15, F.floor(n / 10**3)).when(n > 10**12, n).otherwise(n * 1000).cast("bigint")
+    part = lambda size: F.call_function("div", n, F.lit(size))  # noqa: E731  whole numbers: doubles are too coarse here
+    return F.when(n > 10**18, part(10**6)).when(n > 10**15, part(10**3)).when(n > 10**12, n).otherwise(n * 1000).cast("bigint")
 
 
 def derived_duration(start: Column, end: Column) -> Column:
