@@ -40,6 +40,9 @@ _CLUTTER_WORDS = frozenset(
     "notice notices cookie cookies consent gdpr alert popup modal overlay newsletter subscribe signup login paywall "
     "share sharing social".split()
 )
+#: First words of names that say how an element is laid out, and words for the article itself.
+_LAYOUT_WORDS = frozenset({"has", "with", "without", "no", "is"})
+_BODY_WORDS = frozenset({"article", "content", "body", "text", "main", "post", "entry", "story"})
 _PARTS = re.compile(r"[^a-z0-9]+")
 
 
@@ -139,16 +142,23 @@ class _Page:
     def _clutter(self, tag: str, attributes: str) -> bool:
         if tag in _CLUTTER or tag == "header" and not any(self._open.get(x) for x in _SEMANTIC):
             return True
-        if tag in ("html", "body", "article", "main") or not attributes.strip():
+        if tag in ("html", "body") or not attributes.strip():
             return False
         if _HIDDEN.search(attributes):
             return True
+        semantic = any(self._open.get(x) for x in _SEMANTIC)
         for match in _NAMES.finditer(attributes):
             for name in (match[1] or match[2] or match[3] or "").lower().split():
                 parts = [x for x in _PARTS.split(name) if x]
-                # a name's last word says what the element is ("post-comments"), its first what it belongs to
-                if parts and (parts[-1] in _CLUTTER_WORDS or parts[0] in _CLUTTER_WORDS and parts[-1] not in ("content", "body", "text", "main", "article")):
-                    return True
+                if tag in _SEMANTIC:  # these hold articles, or a reader's comment
+                    if name in _CLUTTER_WORDS:
+                        return True
+                elif parts and parts[0] not in _LAYOUT_WORDS:
+                    # a name's last word says what the element is ("post-comments"), its first what it belongs to
+                    if parts[-1] in _CLUTTER_WORDS or parts[0] in _CLUTTER_WORDS and parts[-1] not in _BODY_WORDS:
+                        return True
+                    if parts[-1] == "header" and not semantic and parts[0] not in _BODY_WORDS:
+                        return True
         return False
 
     def scores(self) -> dict[int, float]:

@@ -15,6 +15,12 @@ def test_main_text_keeps_the_article_alone():
     assert html_text.main_text(page).split("\n") == ["Head & line", f'{ARTICLE} "one"', f"{ARTICLE} two tail", "first", "second"]
 
 
+def test_names_of_elements_tell_articles_from_the_rest():
+    page = f"""<body><div class="site-header">Site, of, many, commas, {ARTICLE}</div><article class="post has-sidebar"><div class="entry-header"><h1>Title</h1></div>
+      <p>{ARTICLE}</p><div class="with-sidebar"><p>more</p></div></article><article class="comment"><p>{ARTICLE} replied</p></article><aside>x</aside></body>"""
+    assert html_text.main_text(page).split("\n") == ["Title", ARTICLE, "more"]
+
+
 def test_main_text_of_odd_pages():
     assert html_text.main_text(None) == "" == html_text.main_text("") == html_text.main_text("<div></div>")
     assert html_text.main_text("plain text &lt;b&gt; &am x") == "plain text <b> &am x"
