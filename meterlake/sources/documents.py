@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterlake.functions import exprs as E
-from meterlake.operators.joins import asof_join, keep_first_owner
+from meterlake.operators.joins import asof_join, keep_first_owner, subtract_coverage
 from meterlake.sources.lines import any_ms, count, ledger_rows, stem, text
 from meterlake.sources.tables import KIRO_CREDIT_USD, recover_models
 
@@ -135,8 +135,33 @@ def normalize_antigravity(generations: DataFrame, steps: DataFrame, trajectories
     key = F.when(F.col("response_id").isNotNull(), F.concat(F.lit("agy:"), "response_id")).otherwise(F.concat(F.lit("agy:"), "session_id", F.lit(":"), F.col("idx").cast("string")))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     rows = ledger_rows(
-        joined, dedup_key=key, app="antigravity", session_id=F.col("session_id"), project=F.col("workspace"), provider_id=F.col("_provider"), model=F.coalesce("_target", "model"),
+        joined, dedup_key=key, app="gemini_antigravity", session_id=F.col("session_id"), project=F.col("workspace"), provider_id=F.col("_provider"), model=F.coalesce("_target", "model"),
         request_model=F.when(F.lower("_target") != F.lower("model"), F.col("model")), ts_start=ts, input_tokens=zero("in1") + zero("in2"), output_tokens=zero("text_out") + zero("thinking"),
         reasoning_tokens=zero("thinking"), cache_read_tokens=zero("cache_read"), provenance="local_db", raw_ref=F.concat("session_id", F.lit("#gen:"), F.col("idx").cast("string")),
     )
     return rows if ledger is None else keep_first_owner(rows, ledger)
+
+
+def normalize_traces(documents: DataFrame, exact: DataFrame) -> DataFrame:
+    """Traces of (path, doc) documents as rows of what exact ledger rows of the same app leave uncovered.
+
+    A trace names its model only if it used a single one; without an id, a start or an end it is left out.
+    """
+    shape = """struct<sessionId: string, trace: struct<traceId: string, sessionId: string, startedAt: string, endedAt: string, duration: bigint, status: string, totalTokens: string,
+     modelInfo: struct<models: array<string>, totalInputTokens: bigint, totalOutputTokens: bigint, totalCachedTokens: string>>>"""
+    doc = documents.select("path", F.from_json("doc", shape).alias("d"))
+    info = "d.trace.modelInfo"
+    traces = doc.select(
+        text("d.trace.traceId").alias("trace_id"), F.coalesce(text("d.trace.sessionId"), text("d.sessionId")).alias("session_id"), any_ms("d.trace.startedAt").alias("start_ms"),
+        any_ms("d.trace.endedAt").alias("end_ms"), F.when(F.size(f"{info}.models") == 1, text(F.get(f"{info}.models", 0))).alias("model"), count("d.trace.totalTokens").alias("total"),
+        F.col(f"{info}.totalInputTokens").alias("input"), F.col(f"{info}.totalOutputTokens").alias("output"), count(f"{info}.totalCachedTokens").alias("cached"),
+        F.when(F.col("d.trace.duration") > 0, F.col("d.trace.duration")).alias("spent"), text("d.trace.status").alias("status"), "path",
+    ).where("trace_id IS NOT NULL AND start_ms IS NOT NULL AND end_ms IS NOT NULL")
+    own = exact.where((F.col("app") == "codebuddy_cli") & ~F.col("dedup_key").startswith("codebuddy_cli:trace:"))
+    left = subtract_coverage(traces.drop("spent", "status", "path"), own.select("session_id", "model", "ts_start", E.tokens_total().alias("tokens")))
+    rows = left.join(traces.select("trace_id", "spent", "status", "path"), "trace_id")
+    return ledger_rows(
+        rows, dedup_key=F.concat(F.lit("codebuddy_cli:trace:"), "trace_id"), app="codebuddy_cli", session_id=F.col("trace_id"), model=F.col("model"), ts_start=F.col("start_ms"),
+        ts_end=F.when(F.col("end_ms") >= F.col("start_ms"), F.col("end_ms")), input_tokens=F.col("input_tokens"), output_tokens=F.col("output_tokens"), cache_read_tokens=F.col("cache_read_tokens"),
+        unclassified_tokens=F.col("unclassified_tokens"), duration_ms=F.col("spent"), status=F.col("status"), provenance="local_jsonl", raw_ref=F.col("path"),
+    )

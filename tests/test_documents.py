@@ -48,3 +48,12 @@ def test_generations_recover_models_and_times(spark):
     assert sorted((r.dedup_key, r.model, r.ts_start, r.output_tokens) for r in got) == [("agy:r0", "model-1", now, 3), ("agy:r2", "model-1", now + 2, 1), ("agy:s:3", "model-1", now + 9, 1)]
     two = T.recover_models(spark.createDataFrame([("q", "A", "m"), ("q", "B", "n"), ("q", None, None), ("q", "C", None)], "session_id string, label string, model string")).collect()
     assert sorted((str(r.label), r.model) for r in two) == [("A", "m"), ("B", "n"), ("C", None), ("None", None)]
+
+
+def test_traces_leave_what_exact_rows_do_not_cover(spark):
+    trace = lambda i, total, **more: json.dumps({"trace": {"traceId": i, "sessionId": "s", "startedAt": 1_700_000_000_000, "endedAt": 1_700_000_009_000, "totalTokens": total, "modelInfo": {"models": ["m"], "totalInputTokens": total - 1, "totalOutputTokens": 1, "totalCachedTokens": 1} | more}})
+    docs = spark.createDataFrame([("p1", trace("a", 50)), ("p2", json.dumps({"trace": {"traceId": "no start"}})), ("p3", trace("b", 50).replace('"s"', '"other"'))], "path string, doc string")
+    columns = "dedup_key string, app string, session_id string, model string, ts_start long, input_tokens long, output_tokens long, cache_read_tokens long, cache_write_5m_tokens long, cache_write_1h_tokens long, unclassified_tokens long"
+    exact = spark.createDataFrame([("x", "codebuddy_cli", "s", "m", 1_700_000_001_000, 20, 0, 0, 0, 0, 0), ("y", "else", "s", "m", 1_700_000_001_000, 90, 0, 0, 0, 0, 0)], columns)
+    got = {r.session_id: (r.input_tokens, r.output_tokens, r.cache_read_tokens, r.unclassified_tokens) for r in D.normalize_traces(docs, exact).collect()}
+    assert got == {"a": (0, 0, 0, 30), "b": (48, 1, 1, 0)}
