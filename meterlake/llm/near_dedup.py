@@ -172,8 +172,9 @@ def _blockwise(members: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFr
     block = F.pmod(F.xxhash64("node"), F.col("blocks"))
     dealt = members.join(sizes, "key").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "c")
-    known = texts.join(nodes.select("node", "bands").dropDuplicates(["node"]), texts.doc_id == nodes.node).select(F.col("node").alias("_node"), "bands", "text")
-    full = dealt.join(known, F.col("node") == F.col("_node")).drop("_node")
+    known = texts.join(nodes.select("node", "bands"), texts.doc_id == nodes.node).select(F.col("node").alias("_node"), "bands", "text")
+    # an id that stands for several texts has several lists of bands
+    full = dealt.join(known, F.col("node") == F.col("_node")).where(F.array_contains("bands", F.col("key"))).drop("_node")
     return full.groupBy("key", "low", "high").applyInPandas(_crossed, "a long, b long")
 
 

@@ -100,6 +100,8 @@ def test_large_mixed_buckets_are_compared_block_by_block(spark, monkeypatch):
                 if root[i] > root[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
                     root[i], changed = root[j], True
     assert {r.doc_id: r.component_id for r in got} == root
+    twice = [*made, *((i, t.replace("b5", "other")) for i, t in made[:30]), (3, "x y z"), (3, None)]
+    assert near_dedup.near_duplicates(table(spark, twice)).count() == len(twice)
 
 
 def test_sketches_estimate_jaccard_and_fill():
