@@ -242,6 +242,39 @@ def test_fingerprints_follow_the_edited_text(spark, rows):
     assert one.edited_sha256 == hashlib.sha256(b"abc abc").hexdigest() and one.near_next == 1
 
 
+@pytest.mark.parametrize("own_words", [False, True])
+def test_large_groups_of_near_copies_keep_like_fingerprints(spark, own_words):
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(4000)]
+    others = [(i, " ".join(rng.choices(words, k=120))) for i in range(120)]
+    base = [f"own{i}" for i in range(120)] if own_words else rng.choices(words, k=120)
+    copies = []
+    for i in range(60):  # a third of the rows
+        copy = list(base)
+        copy[rng.randrange(120)] = rng.choice(words)
+        copies.append((1000 + i, " ".join(copy)))
+    got = fingerprints.fingerprint_edits(table(spark, others + copies + copies[:5])).collect()
+    group = [r for r in got if r.doc_id > 1000]  # the next document of the last copy is another text
+    assert sum(r.near_next > 0.5 for r in group) >= 0.95 * len(group) and all(r.near_next > 0 for r in group)
+    assert all(r.near_edited > 0 for r in group)  # half of the text is replaced
+    alone = [r for r in got if r.doc_id < 120]
+    assert sum(r.near_edited > r.near_next for r in alone) > 0.9 * len(alone)
+
+
+def test_groups_of_near_copies_are_counted_about_once(spark):
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(200)]
+    made = [(i, " ".join(rng.choices([f"w{i}" for i in range(4000)], k=100))) for i in range(50)]
+    made += made[:3] + [(60, ""), (61, None), (62, "one two"), (63, "one two")]
+    edits = [list(base) for _ in range(100)]
+    for k, copy in enumerate(edits):
+        copy[k * 2 % 200] = f"edit{k}"
+    made += [(100 + k, " ".join(copy)) for k, copy in enumerate(edits)]
+    scratch = fingerprints.Scratch(spark, "test")
+    assert 52 <= fingerprints.differing(scratch, table(spark, made).select("text")).count() <= 54
+    assert not fingerprints.differing(scratch, table(spark, []).select("text")).count()
+
+
 def test_toxicity_ranks_held_out_documents(spark):
     rng = random.Random(2)
     words = [f"w{i}" for i in range(300)]
