@@ -18,10 +18,18 @@ from pyspark.sql import functions as F
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?|\"[^\"]*\"|'[^']*'")
+_HIDDEN = re.compile(r"hidden|display\s*:\s*none", re.I)
+_NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
 
-_RAW = {"script", "style", "title", "textarea", "noscript", "iframe", "noframes", "template", "svg", "math", "select", "object"}
+#: Elements of raw text: without an end tag, they last to the end of the page, as in browsers.
+_RAW = {"script", "style", "title", "textarea"}
+#: Elements left out up to their end tag. Without one they end at the next block, or with the element around them.
+_FRAME = {"iframe", "noframes", "noscript"}
+_NESTED = {"svg", "math", "select", "object", "template"}
+_LOOSE = _FRAME | _NESTED
 _RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in _RAW}
+_FRAME_TAG = {tag: re.compile(rf"<(/?){tag}(?:[\s/][^>]*)?>", re.I) for tag in _FRAME}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _LEAF = {"p", "li", "dt", "dd", "td", "th", "pre", "blockquote", "figcaption", "caption", "summary", "address"}
 _HEADING = {"h1", "h2", "h3", "h4", "h5", "h6"}
@@ -46,6 +54,50 @@ _BODY_WORDS = frozenset({"article", "content", "body", "text", "main", "post", "
 _PARTS = re.compile(r"[^a-z0-9]+")
 
 
+def _hidden(attributes: str) -> bool:
+    """Whether an attribute is named hidden, or the style takes the element out of the page."""
+    return any((name := (m[1] or "").lower()) == "hidden" or name == "style" and _NO_DISPLAY.search(m[2] or "") for m in _ATTRIBUTE.finditer(attributes))
+
+
+def _raw_end(source: str, tag: str, at: int) -> int | None:
+    """Where the raw text that begins at ``at`` ends with its end tag; None for a frame that another follows first."""
+    if tag in _RAW:
+        closed = _RAW_END[tag].search(source, at)
+        return closed.end() if closed else len(source)
+    following = _FRAME_TAG[tag].search(source, at)
+    return following.end() if following and following[1] else None
+
+
+def _nested_ends(source: str) -> dict[int, int]:
+    """Where the elements of _NESTED end that have an end tag of their own, by where their start tags end.
+
+    The end tag of a block around such an element comes first where its own is missing.
+    """
+    ends: dict[int, int] = {}
+    stack: list[tuple[str, int]] = []
+    opened: dict[str, int] = {}
+    at = 0
+    while match := _TOKEN.search(source, at):
+        at, tag = match.end(), (match[2] or "").lower()
+        if tag in _RAW or tag in _FRAME:
+            if not match[1] and not match[3].endswith("/"):
+                at = _raw_end(source, tag, at) or at
+        elif tag not in _NESTED and tag not in _BLOCK or tag in _VOID:
+            continue
+        elif not match[1]:
+            if tag in _BLOCK or not match[3].endswith("/"):
+                stack.append((tag, at))
+                opened[tag] = opened.get(tag, 0) + 1
+        elif opened.get(tag):
+            name = ""
+            while name != tag:
+                name, begun = stack.pop()
+                opened[name] -= 1
+            if tag in _NESTED:
+                ends[begun] = at
+    return ends
+
+
 class _Page:
     """Elements of a page by number, 0 being the root, and its text blocks."""
 
@@ -59,7 +111,7 @@ class _Page:
         self._read(source)
 
     def _read(self, source: str) -> None:
-        at = 0
+        at, ends = 0, None
         while match := _TOKEN.search(source, at):
             self._add(source[at : match.start()])
             at = match.end()
@@ -68,10 +120,18 @@ class _Page:
             tag = match[2].lower()
             if match[1]:
                 self._end(tag)
-            elif tag in _RAW:
-                if not match[3].endswith("/"):
-                    closed = _RAW_END[tag].search(source, at)
-                    at = closed.end() if closed else len(source)
+            elif tag in _RAW or tag in _LOOSE:
+                if match[3].endswith("/"):
+                    continue
+                if tag in _NESTED:
+                    ends = _nested_ends(source) if ends is None else ends
+                    end = ends.get(at)
+                else:
+                    end = _raw_end(source, tag, at)
+                if end is None:
+                    self._start(tag, match[3])
+                else:
+                    at = end
             else:
                 self._start(tag, match[3])
         self._add(source[at:])
@@ -112,6 +172,8 @@ class _Page:
     def _start(self, tag: str, attributes: str) -> None:
         if tag in _BLOCK:
             self._flush()
+            if any(self._open.get(x) for x in _LOOSE):
+                self._cut(next(i for i, e in enumerate(self._stack) if self.tags[e] in _LOOSE))
             if self._open.get("p"):
                 self._close_to({"p"}, _SCOPE | {"li", "td", "th", "dd", "blockquote"})
             if tag in _CLOSES:
@@ -140,11 +202,11 @@ class _Page:
                     return  # an inline end tag closes nothing outside its block
 
     def _clutter(self, tag: str, attributes: str) -> bool:
-        if tag in _CLUTTER or tag == "header" and not any(self._open.get(x) for x in _SEMANTIC):
+        if tag in _CLUTTER or tag in _LOOSE or tag == "header" and not any(self._open.get(x) for x in _SEMANTIC):
             return True
         if tag in ("html", "body") or not attributes.strip():
             return False
-        if _HIDDEN.search(attributes):
+        if _HIDDEN.search(attributes) and _hidden(attributes):
             return True
         semantic = any(self._open.get(x) for x in _SEMANTIC)
         for match in _NAMES.finditer(attributes):

@@ -31,6 +31,24 @@ def test_main_text_of_odd_pages():
     assert html_text.main_text(f"<article><p>{ARTICLE}<p>next</article><!-- <p>hidden</p> -->") == f"{ARTICLE}\nnext"
 
 
+def test_elements_without_end_tags_lose_no_article():
+    for tag in ("svg", "math", "select", "object", "noframes", "noscript", "iframe", "template"):
+        assert html_text.main_text(f"<article><p>a<{tag} x=1>no<p>b</article>") == "a\nb"
+        assert html_text.main_text(f"<p>x<b><{tag}>no</b> y</p><{tag}>no<article><p>{ARTICLE}</article><{tag}>no</{tag}>") == ARTICLE
+        assert html_text.main_text(f"<article><p>a<{tag}>no</p>b<p>c<{tag}>no</{tag}>d</article><{tag}>no</{tag}>") == "a\nb\ncd"
+    for tag in ("svg", "object", "template"):
+        assert html_text.main_text(f"<article><p>a<{tag}><div><{tag}><p>no</{tag}>no</div></{tag} >b</p></article>") == "ab"
+    assert html_text.main_text("<article><p>a<svg><text>no</svg><script>var x = '<svg>'</script><select/>b") == "ab"
+    assert html_text.main_text("<article><p>a<script>var x = '<p>b</article>'") == "a"
+
+
+def test_hidden_is_an_attribute_and_not_a_word():
+    for kept in ('title="a hidden gem"', "alt='hidden'", 'data-x = "y" title="no display: none" class="hidden-gem"', "aria-hidden=false", "href=hidden", 'title=" hidden = 1 "'):
+        assert html_text.main_text(f"<article><p>a</p><p {kept}>b</p></article>") == "a\nb", kept
+    for gone in ("hidden", "HIDDEN", 'title="x" hidden', 'hidden=""', "style='color: red; Display : none'", "id=x hidden=until-found", 'class="a"hidden'):
+        assert html_text.main_text(f"<article><p>a</p><p {gone}>b</p></article>") == "a", gone
+
+
 def test_extract_text_keeps_every_row(spark):
     pages = [(1, "u", "<p>é x</p>"), (1, "u", "<p>é x</p>"), (None, None, None), (3, "v", "")]
     got = html_text.extract_text(spark.createDataFrame([(*p, 5) for p in pages], "page_id long, url string, html string, n_chars int")).collect()
