@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterlake.llm import tokens
@@ -77,7 +77,7 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in tokens.words(batch.column("text"), tokens.PLAIN):
             owner, feature = features(chunk)
             sets += np.split(feature, np.searchsorted(owner, np.arange(1, len(chunk.bounds) - 1)))
-        yield pa.record_batch([batch.column("kind"), batch.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], names=["kind", "doc_id", "words"])
+        yield pa.record_batch([*(batch.column(c) for c in ("kind", "doc_id", "nth")), pa.array(sets, pa.list_(pa.int64()))], names=["kind", "doc_id", "nth", "words"])
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -182,7 +182,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         return fit(np.zeros(0, np.int64), [], [], 0.5)
     prior = min(max(toxic / n, 1e-3), 0.9)
     by_hash = F.xxhash64("doc_id")
-    ids = docs.select(F.col("doc_id").cast("long")).where("doc_id IS NOT NULL").where(fold(F.col("doc_id")) != 1)
+    ids = docs.select(F.col("doc_id").cast("long")).where("doc_id IS NOT NULL").where(fold(F.col("doc_id")) != 1).distinct()
     taken = [
         known.where("toxic = 1").select("doc_id", F.lit(0).alias("kind")).orderBy(by_hash).limit(MAX_POSITIVES),
         ids.select("doc_id", F.lit(1).alias("kind")).orderBy(by_hash).limit(MAX_UNLABELLED),
@@ -191,8 +191,15 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     # at most the sum of the three bounds above: small enough to broadcast whatever the corpus
     sample = taken[0].unionByName(taken[1]).unionByName(taken[2]).distinct()
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(sample), "doc_id").select("kind", "doc_id", "text")
+    # equal rows are one example; of ids with several texts, all first texts come before any second one
+    most = (MAX_POSITIVES, MAX_UNLABELLED, MAX_CLEAN)
+    texts = texts.withColumn("key", F.xxhash64("text")).dropDuplicates(["kind", "doc_id", "key"])
+    texts = texts.withColumn("nth", F.row_number().over(Window.partitionBy("kind", "doc_id").orderBy("key"))).where(F.col("nth") <= max(most))
     scratch = Scratch(docs.sparkSession, "toxicity")
-    found = scratch.save(texts.mapInArrow(_distinct, "kind int, doc_id long, words array<long>"), "features")
+    found = scratch.save(texts.select("kind", "doc_id", "nth", "text").mapInArrow(_distinct, "kind int, doc_id long, nth int, words array<long>"), "features")
+    found = found.withColumn("place", F.row_number().over(Window.partitionBy("kind").orderBy("nth", by_hash))).where(F.col("place") <= max(most))
+    found = found.where(F.col("place") <= F.element_at(F.array(*map(F.lit, most)), F.col("kind") + 1))
+    found = scratch.save(found.select("kind", "doc_id", "words"), "sample")
     words = _chosen(found)
     listed = F.array(*map(F.lit, words)).cast("array<bigint>")
     got = found.select("kind", "doc_id", F.array_intersect("words", listed).alias("words")).toPandas().sort_values(["kind", "doc_id"])

@@ -301,6 +301,24 @@ def test_toxicity_ranks_held_out_documents(spark):
     assert all(r.score < 0.01 for r in none)
 
 
+def test_toxicity_samples_are_bounded_in_rows(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MAX_UNLABELLED", 20)
+    monkeypatch.setattr(toxicity, "MAX_POSITIVES", 15)
+    sizes = []
+    fit = toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda words, positives, unlabelled, prior: sizes.append((len(positives), len(unlabelled))) or fit(words, positives, unlabelled, prior))
+    ids = [r.doc_id for r in spark.range(200).select(F.col("id").alias("doc_id")).where(toxicity.fold(F.col("doc_id")) != 1).orderBy(F.xxhash64("doc_id")).collect()]
+    labels = spark.createDataFrame([(i, None, 1) for i in ids[:10]], "doc_id long, quality int, toxic int")
+    once = [(i, f"text w{i} vile") for i in ids]
+    for more, expected in (
+        ([], (10, 20)),
+        ([once[0]] * 50, (10, 20)),  # one text many times over
+        ([(ids[0], f"other x{k}") for k in range(50)], (15, 20)),  # many texts of one id
+    ):
+        toxicity.train(table(spark, once + more), labels)
+        assert sizes.pop() == expected
+
+
 def test_languages_are_told_apart(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = language_id.identify(docs, language_id.learn_profiles(docs)).join(docs.select("doc_id", "lang"), "doc_id").collect()
