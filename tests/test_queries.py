@@ -1,5 +1,11 @@
 """Registered queries against their oracles, and streams against batches."""
 
+import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
+
 import duckdb
 import pytest
 
@@ -36,6 +42,17 @@ def test_query_without_an_oracle_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
 
+@pytest.mark.parametrize("gone", [("meterlake/llm",), ("meterlake/llm", "corpus_pipeline.py")])
+def test_the_rest_works_without_the_corpus_operators(tmp_path, gone):
+    root = Path(__spark_entry__.__file__).parent
+    left = shutil.ignore_patterns("__pycache__", ".git", *(Path(x).name for x in gone))
+    shutil.copytree(root, tmp_path / "copy", ignore=left)
+    code = "import __spark_entry__ as e; q = e.queries(); assert set(e.oracle_sql()) <= set(q); print(len(q), sum(n.startswith('op') or n == 'pipeline' for n in q))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "copy", env=os.environ | {"PYTHONPATH": ""}, capture_output=True, text=True)
+    assert out.returncode == 0, out.stderr
+    assert out.stdout.split()[-2:] == [str(len(QUERIES)), "0"]
+
+
 def test_entry_points(spark):
     assert __spark_entry__.entry(spark).count() == 5
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
