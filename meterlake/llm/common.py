@@ -27,14 +27,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a folder of this machine only where none is set, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder that the cluster names; a folder of this machine only where a local session sets none, as in tests."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        context_dir = spark.sparkContext.getCheckpointDir()
-        named = context_dir or f"file://{tempfile.mkdtemp(prefix='spark-')}"
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        named = f"file://{tempfile.mkdtemp(prefix='spark-')}"
     return named.rstrip("/")
 
 
+#: Keys that spread_join splits at most, and rows of a key below which it never does.
+MAX_HOT_KEYS, HOT_ROWS = 10_000, 200_000
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], count: str, by: Column, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right``, whose rows are unique by ``keys`` and say in ``count`` how many of left's rows they meet.
+
+    Keys of many rows are split by the hash ``by`` into parts that go to different tasks. A key is split that holds more
+    than HOT_ROWS rows and more than one in MAX_HOT_KEYS of all, so the keys that are broadcast have that bound.
+    """
+    total = right.agg(F.sum(count)).first()[0] or 0
+    limit = max(HOT_ROWS, total // MAX_HOT_KEYS)
+    parts = F.ceil(F.col(count) / limit).cast("long")
+    hot = right.where(F.col(count) > limit).select(*keys, parts.alias("_parts"))
+    dealt = left.join(F.broadcast(hot), keys, "left").withColumn("_part", F.pmod(by, F.coalesce("_parts", F.lit(1)))).drop("_parts")
+    return dealt.join(right.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))), [*keys, "_part"], how).drop("_part")
+
+
 class Scratch:
     """Written tables that cut lineage. They live in the shared checkpoint folder, so any executor can read or remake them."""
 
@@ -54,6 +73,15 @@ class Scratch:
             self.spark.conf.unset(_CLEANUP) if before is None else self.spark.conf.set(_CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def bucketed(self, df: DataFrame, name: str, buckets: int, keys: list[str]) -> DataFrame:
+        """Write ``df`` in buckets by ``keys`` and read it back; joins on these keys needn't deal it again."""
+        path = self.paths[name] = f"{self.path}/{name}-{uuid.uuid4().hex[:8]}"
+        known = f"scratch_{uuid.uuid4().hex}"
+        df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).option("path", path).saveAsTable(known)
+        out = self.spark.table(known)
+        self.spark.sql(f"DROP TABLE {known}")  # only its entry in the catalog: the files are this folder's
+        return out
+
     def drop(self, name: str) -> None:
         """Remove a table that no later step reads."""
         jvm = self.spark._jvm

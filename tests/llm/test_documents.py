@@ -142,6 +142,35 @@ def test_repeats_match_brute_force(spark, rows):
     assert sorted(len(SPACED.findall(r.text or "")) for r in new.collect()) == sorted(r.n_words - r.n_removed for r in got)
 
 
+def test_sketch_estimates_never_fall_below_true_counts():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    chunks = [rng.integers(0, 3000, 2000) for _ in range(5)]
+    true = Counter(np.concatenate(chunks).tolist())
+    for bits in (8, 12, 24):  # more anchors than counters, about as many, and two blocks of counters at least
+        pieces = {}
+        for chunk in chunks:
+            for row, block, cells, times in substring_dedup.sketch_pieces(chunk, bits):
+                assert (np.diff(cells) > 0).all()
+                pieces.setdefault((row, block), []).append((cells, times))
+        totals = {at: substring_dedup.merged(own, 1 << min(bits, substring_dedup.BLOCK_BITS)) for at, own in pieces.items()}
+        for anchor, n in true.items():
+            places = [(row, int(substring_dedup.cells_of(np.array([anchor]), row, bits)[0])) for row in range(substring_dedup.ROWS)]
+            estimate = min(totals[row, at >> substring_dedup.BLOCK_BITS][at & ((1 << substring_dedup.BLOCK_BITS) - 1)] for row, at in places)
+            assert estimate >= n and (bits < 24 or estimate == n)
+    assert sum(t.sum() for (row, _), t in totals.items() if row == 0) == 10_000
+
+
+def test_repeats_in_small_chunks_match_those_in_large_ones(spark, rows, monkeypatch):
+    plain = Counter(map(tuple, substring_dedup.remove_repeats(table(spark, rows)).collect()))
+    monkeypatch.setattr(substring_dedup, "CHUNK_ANCHORS", 5)
+    monkeypatch.setattr(substring_dedup, "CHUNK_WINDOWS", 7)
+    monkeypatch.setattr(substring_dedup, "BLOCK_BITS", 3)
+    monkeypatch.setattr("meterlake.llm.common.HOT_ROWS", 1)
+    assert Counter(map(tuple, substring_dedup.remove_repeats(table(spark, rows)).collect())) == plain
+
+
 def test_contamination_matches_brute_force_in_one_block_and_in_many(spark, rows):
     items = [(1, " ".join(SPACED.findall(rows[0][1])[:15])), (2, "Two WORDS"), (3, ""), (4, None), (5, "one"), (6, "w1 w2, w3"), (7, rows[5][1])]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
