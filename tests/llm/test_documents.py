@@ -162,13 +162,11 @@ def test_sketch_estimates_never_fall_below_true_counts():
     assert sum(t.sum() for (row, _), t in totals.items() if row == 0) == 10_000
 
 
-def test_repeats_in_small_chunks_match_those_in_large_ones(spark, rows, monkeypatch):
-    plain = Counter(map(tuple, substring_dedup.remove_repeats(table(spark, rows)).collect()))
-    monkeypatch.setattr(substring_dedup, "CHUNK_ANCHORS", 5)
-    monkeypatch.setattr(substring_dedup, "CHUNK_WINDOWS", 7)
-    monkeypatch.setattr(substring_dedup, "BLOCK_BITS", 3)
-    monkeypatch.setattr("meterlake.llm.common.HOT_ROWS", 1)
-    assert Counter(map(tuple, substring_dedup.remove_repeats(table(spark, rows)).collect())) == plain
+def test_repeats_are_the_same_where_copies_are_spread(spark, rows, monkeypatch):
+    many = rows + [(3000 + i, *rows[0][1:]) for i in range(30)]
+    plain = Counter(map(tuple, substring_dedup.remove_repeats(table(spark, many)).collect()))
+    monkeypatch.setattr("meterlake.llm.common.HOT_ROWS", 2)
+    assert Counter(map(tuple, substring_dedup.remove_repeats(table(spark, many)).collect())) == plain
 
 
 def test_contamination_matches_brute_force_in_one_block_and_in_many(spark, rows):
