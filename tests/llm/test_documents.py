@@ -222,24 +222,67 @@ def test_mix_comes_near_its_targets(spark, rows):
     assert kept.agg(F.sum(F.col("mix_times") * F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")))).first()[0] == sum(r.taken for r in got)
 
 
-def test_license_places_match_brute_force(spark):
+def license_by_hand(text, base, templates):
+    """What a scan gives for one text, diagonal by diagonal."""
+    words = PLAIN.findall(lower(text))
+    run, places, base_labels, labels, score = license_scan.RUN, [], set(), set(), 0.0
+    at = {}
+    for p in range(len(words) - run + 1):
+        at.setdefault(tuple(words[p : p + run]), []).append(p)
+    for phrase, label, is_base in [(*t, True) for t in base] + [(*t, False) for t in templates]:
+        own = PLAIN.findall(lower(phrase))
+        runs, diagonals = len(own) - run + 1, {}
+        for t in range(runs):
+            for p in at.get(tuple(own[t : t + run]), []):
+                diagonals.setdefault(p - t, set()).add(t)
+        bands = []
+        for d in sorted(diagonals):
+            bands.append([d]) if not bands or d - bands[-1][-1] > license_scan.DRIFT else bands[-1].append(d)
+        for band in bands:
+            spans, last = [], None
+            for d in sorted(band, key=lambda d: (d + min(diagonals[d]), d)):
+                begin, end = d + min(diagonals[d]), d + max(diagonals[d])
+                spans.append([d]) if last is None or begin > last + license_scan.REACH else spans[-1].append(d)
+                last = end if last is None else max(last, end)
+            for span in spans:
+                found = len(set().union(*(diagonals[d] for d in span)))
+                whole = [d for d in span if len(diagonals[d]) == runs]
+                if is_base and whole:
+                    places += whole
+                    base_labels.add(label)
+                if whole if runs <= license_scan.SHORT or is_base else found / runs >= license_scan.COVER:
+                    labels.add(label)
+                score = max(score, found / runs if runs > license_scan.SHORT or whole else found / runs / 2)
+    return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base_labels)), ",".join(sorted(labels)), round(score, 9)
+
+
+def test_licenses_match_brute_force(spark):
+    rng = random.Random(11)
+    whole = {label: text for text, label in license_scan.TEXTS}
+    edited = whole["bsd-3"].split()
+    for k in range(15, len(edited), 15):  # words put in, left out and changed
+        edited[k] = rng.choice(["", "really very " + edited[k], "other"])
     docs = [
         (1, "Released under the MIT License. Also under the MIT license, CC-BY-NC 4.0 and cc by nc"),
         (2, "Licensed under the Apache License, Version 2.0."),
         (3, "the mit license under"), (4, ""), (5, None), (None, "CC BY NC " * 2000), (7, "x"),
         (8, "Permission is hereby granted, free of charge, to any good person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without any restriction"),
-        (1, "under the mit license"), (1, "under the mit license"),
+        (1, "under the mit license"), (1, "under the mit license"), (None, None), (None, None),
+        (9, "Some words before. " + whole["bsd-3"] + " and after"), (10, " ".join(edited)), (11, whole["mit"] + whole["mit"] + whole["zlib"]),
+        (12, " ".join(whole["unlicense"].split()[:60])), (13, "all rights reserved " + whole["agpl"].upper()),
     ]
-    got = license_scan.scan_licenses(table(spark, docs)).collect()
-    assert len(got) == len(docs)
-    expected = Counter()
-    for doc_id, t in docs:
-        words = PLAIN.findall(lower(t))
-        places = [(i, label) for phrase, label in license_scan.BASE for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split()]
-        at = [i for i, _ in places]
-        expected[doc_id, len(words), len(places), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in places}))] += 1
-    assert Counter((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in got) == expected
-    assert {r.labels for r in got if r.doc_id == 8} == {"mit"} and all(0 <= r.score <= 1 for r in got)
+    long = " ".join(f"t{i % 97}x{i}" for i in range(400))
+    repeating = " ".join(f"r{i % 7}" for i in range(90))
+    docs += [(20, f"a b {long} c"), (21, " ".join(w for w in long.split() if rng.random() > 0.05)), (22, f"{long} x {long}"), (23, repeating), (24, long[: len(long) // 2])]
+    base = (*license_scan.BASE, (long, "long"))
+    templates = (*license_scan.TEXTS, (long + " tail end", "longer"), (repeating, "repeating"), ("a", "never"))
+    got = license_scan.scan_licenses(table(spark, docs), base, templates).collect()
+    expected = Counter((i, *license_by_hand(t, base, templates)) for i, t in docs)
+    assert Counter((*tuple(r)[:-1], round(r.score, 9)) for r in got) == expected
+    labels = {r.doc_id: set(r.labels.split(",")) for r in got}
+    assert "mit" in labels[8] and "bsd-3" in labels[9] & labels[10] and {"mit", "zlib"} <= labels[11] and "agpl" in labels[13] and {"long", "longer"} <= labels[20]
+    plain = license_scan.scan_licenses(table(spark, docs))
+    assert {r.score for r in plain.where("doc_id = 9").collect()} == {1.0}
     assert not license_scan.scan_licenses(table(spark, [])).count()
 
 
