@@ -74,10 +74,10 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def bucketed(self, df: DataFrame, name: str, buckets: int, keys: list[str]) -> DataFrame:
-        """Write ``df`` in buckets by ``keys`` and read it back; joins on these keys needn't deal it again."""
+        """Write ``df``, which is dealt by ``keys`` to so many partitions, in such buckets and read it back; joins on these keys needn't deal it again."""
         path = self.paths[name] = f"{self.path}/{name}-{uuid.uuid4().hex[:8]}"
         known = f"scratch_{uuid.uuid4().hex}"
-        df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).option("path", path).saveAsTable(known)
+        df.write.bucketBy(buckets, *keys).option("path", path).saveAsTable(known)
         out = self.spark.table(known)
         self.spark.sql(f"DROP TABLE {known}")  # only its entry in the catalog: the files are this folder's
         return out

@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterlake.llm import tokens
@@ -71,7 +71,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = grams[at].view(np.int64)
             counts += chunk.counts.tolist()
             for row, (begin, end) in enumerate(zip(chunk.bounds[:-1].tolist(), chunk.bounds[1:].tolist(), strict=True)):
-                digests.append(hashlib.sha256(b" ".join([chunk.word(i) for i in range(begin, end)])).digest())
+                digests.append(hashlib.sha256(chunk.joined(np.arange(begin, end))).digest())
                 once, times = np.unique(own[cuts[row] : cuts[row + 1]], return_counts=True)
                 anchors.append(np.concatenate([once, once[times > 1]]))
         new = [pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(anchors, pa.list_(pa.int64()))]
@@ -162,7 +162,7 @@ def _answered(pieces: pa.Table) -> pa.Table:
 
 
 def _estimated(bits: int):
-    kinds = pa.schema([("place", pa.int64()), ("text_a", pa.int64()), ("text_b", pa.int64()), ("wanted", pa.list_(pa.int64()))])
+    kinds = pa.schema([("place", pa.int64()), ("text_a", pa.int64()), ("wanted", pa.list_(pa.int64()))])
 
     def looked_up(texts: pa.Table, answers: pa.Table) -> pa.Table:
         """The texts of one chunk that hold anchors whose least counter is two or more, with those anchors."""
@@ -180,7 +180,7 @@ def _estimated(bits: int):
         upto = np.append(0, np.cumsum(keep))[offsets]
         some = np.flatnonzero(np.diff(upto))
         wanted = pa.array([np.unique(values[offsets[i] : offsets[i + 1]][keep[offsets[i] : offsets[i + 1]]]) for i in some.tolist()], kinds.field("wanted").type)
-        return pa.table([*(texts.column(c).combine_chunks().take(pa.array(some)) for c in ("place", "text_a", "text_b")), wanted], schema=kinds)
+        return pa.table([*(texts.column(c).combine_chunks().take(pa.array(some)) for c in ("place", "text_a")), wanted], schema=kinds)
 
     return looked_up
 
@@ -195,18 +195,22 @@ def _firsts(a: np.ndarray, b: np.ndarray, place: np.ndarray, text: np.ndarray, s
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The windows whose anchor is wanted: of each chunk the first occurrences with their hashes, the later ones without."""
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
-    names = ["window_a", "window_b", "place", "text_a", "start"]
+    """The windows whose anchor is wanted: of each chunk the first occurrences with their hashes, the later ones as lists by text."""
+    lists = pa.list_(pa.int32())
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), lists]
+    names = ["window_a", "window_b", "place", "text_a", "start", "sure"]
     held: list[list[np.ndarray]] = []
 
-    def flushed() -> pa.RecordBatch:
+    def flushed() -> Iterator[pa.RecordBatch]:
         a, b, place, text, start = (np.concatenate(x) for x in zip(*held, strict=True))
         first, later = _firsts(a, b, place, text, start)
-        both = np.concatenate([first, later])
-        gone = np.arange(len(both)) >= len(first)
-        columns = [pa.array(a[both], mask=gone), pa.array(b[both], mask=gone), *(pa.array(x[both]) for x in (place, text, start))]
-        return pa.record_batch([c.cast(k) for c, k in zip(columns, kinds, strict=True)], names=names)
+        yield pa.record_batch([*(pa.array(x[first], k) for x, k in zip((a, b, place, text, start), kinds, strict=False)), pa.nulls(len(first), lists)], names=names)
+        later = later[np.lexsort((text[later], place[later]))]
+        if len(later):
+            cuts = np.flatnonzero(np.append(True, (place[later][1:] != place[later][:-1]) | (text[later][1:] != text[later][:-1])))
+            sure = pa.ListArray.from_arrays(pa.array(np.append(cuts, len(later)), pa.int32()), pa.array(start[later], pa.int32()))
+            none = [pa.nulls(len(cuts), k) for k in kinds]
+            yield pa.record_batch([none[0], none[1], pa.array(place[later][cuts]), pa.array(text[later][cuts]), none[4], sure], names=names)
 
     for batch in batches:
         values, offsets = _lists(batch.column("wanted"))
@@ -226,10 +230,10 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             two = tokens.windows(chunk.hashes(seed=2), WINDOW, seed=2)
             held.append([tokens.windows(one, WINDOW)[at].view(np.int64), two[at].view(np.int64), places[row], texts[row], (at - chunk.bounds[owner[keep]]).astype(np.int32)])
             if sum(len(x[0]) for x in held) >= CHUNK_WINDOWS:
-                yield flushed()
+                yield from flushed()
                 held = []
     if held:
-        yield flushed()
+        yield from flushed()
 
 
 def _stays(column: pa.Array, marks: list[list[int] | None], copies: list[bool | None]) -> Iterator[tuple[int, np.ndarray, bytes]]:
@@ -245,7 +249,7 @@ def _stays(column: pa.Array, marks: list[list[int] | None], copies: list[bool |
                 np.add.at(gone, at, 1)
                 np.add.at(gone, at + WINDOW, -1)
             stays = np.flatnonzero(np.cumsum(gone[:n]) <= 0)
-            yield n, stays, b" ".join([chunk.word(begin + i) for i in stays.tolist()])
+            yield n, stays, chunk.joined(begin + stays)
 
 
 def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,53 +284,57 @@ class _Repeats:
     def __init__(self, docs: DataFrame):
         self.scratch = scratch = Scratch(docs.sparkSession, "repeats")
         self.slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumns(_keys())
+        key = ["text_a", "text_b"]
         schema = "doc_id long, place long, text_a long, text_b long, n_words long, whole binary, anchors array<long>"
-        #: every row: its keys, its words and the digest of all its words
-        self.rows = scratch.save(self.slim.mapInArrow(_read, schema), "rows")
+        read = scratch.save(self.slim.mapInArrow(_read, schema), "read")
         # equal texts are counted once, as the first of them
-        once = self.rows.where(F.size("anchors") > 0).groupBy("text_a", "text_b")
+        once = read.where(F.size("anchors") > 0).groupBy(*key)
         once = once.agg(F.min("place").alias("place"), F.count("*").alias("copies"), F.first("anchors").alias("anchors"))
-        schema = "chunk long, text_a long, text_b long, place long, copies long, anchors array<long>"
-        self.texts = scratch.save(once.mapInArrow(_chunked, schema), "texts")
-        self.candidates, self.marks = self._found(self._wanted())
-
-    def _wanted(self) -> DataFrame:
-        """(place, text_a, text_b, wanted): the anchors that the merged sketch takes for repeated."""
-        total = self.texts.agg(F.sum(F.size("anchors"))).first()[0] or 1
+        texts = scratch.save(once.mapInArrow(_chunked, "chunk long, text_a long, text_b long, place long, copies long, anchors array<long>"), "texts")
+        #: every row: its keys, its words and the digest of all its words
+        self.rows = scratch.save(read.drop("anchors"), "rows")
+        #: the texts that hold a window, their first place and how many rows have them
+        self.texts = scratch.save(texts.select(*key, "place", "copies"), "heads")
+        scratch.drop("read")
+        wanted = self._wanted(texts)
+        scratch.drop("texts")
+        self.candidates, self.marks = self._found(wanted)
+
+    def _wanted(self, texts: DataFrame) -> DataFrame:
+        """(place, text_a, wanted): the anchors that the merged sketch takes for repeated."""
+        total = texts.agg(F.sum(F.size("anchors"))).first()[0] or 1
         bits = max(8, (int(total) * CELLS_PER_ANCHOR - 1).bit_length())
-        pieces = self.texts.select("chunk", "anchors").mapInArrow(_pieces(bits), "row int, block long, chunk long, cells array<int>, times array<int>")
+        pieces = texts.select("chunk", "anchors").mapInArrow(_pieces(bits), "row int, block long, chunk long, cells array<int>, times array<int>")
         answers = self.scratch.save(pieces.groupBy("row", "block").applyInArrow(_answered, "chunk long, row int, block long, often binary"), "answers")
-        own = self.texts.select("chunk", "place", "text_a", "text_b", "anchors").groupBy("chunk")
-        wanted = own.cogroup(answers.groupBy("chunk")).applyInArrow(_estimated(bits), "place long, text_a long, text_b long, wanted array<long>")
-        return self.scratch.save(wanted, "wanted")
+        own = texts.select("chunk", "place", "text_a", "anchors").groupBy("chunk")
+        wanted = own.cogroup(answers.groupBy("chunk")).applyInArrow(_estimated(bits), "place long, text_a long, wanted array<long>")
+        wanted = self.scratch.save(wanted, "wanted")
+        self.scratch.drop("answers")
+        return wanted
 
     def _found(self, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
         """The texts that hold wanted anchors, and (place, text_a, marks): the starts of repeated windows.
 
-        Texts are dealt by their keys once, into buckets that both later joins read as they are.
+        Texts are dealt by their keys once, into buckets that both joins read as they are.
         """
         key, scratch = ["place", "text_a"], self.scratch
         size = self.slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         buckets = max(8, -(-int(size) // BUCKET_BYTES))
-        # several rows may agree in all keys; one of them is enough
-        texts = self.slim.select(*key, "text_b", "text").repartition(buckets, *key).join(wanted, [*key, "text_b"])
+        texts = self.slim.select(*key, "text").repartition(buckets, *key).join(wanted.hint("shuffle_hash"), key)
         texts = scratch.bucketed(texts.select(*key, "text", "wanted"), "candidates", buckets, key)
-        found = texts.mapInArrow(_candidates, "window_a long, window_b long, place long, text_a long, start int")
+        found = texts.mapInArrow(_candidates, "window_a long, window_b long, place long, text_a long, start int, sure array<int>")
         found = scratch.save(found, "windows")
-        window, spot = ["window_a", "window_b"], F.struct(*key, "start")
-        shared = found.where("window_a IS NOT NULL")
-        firsts = shared.groupBy(*window).agg(F.min(spot).alias("first"), F.max(spot).alias("final")).where("first <> final").drop("final")
-        firsts = scratch.save(firsts, "firsts")
-        later = shared.join(firsts, window).where(spot != F.col("first")).select(*key, "start")
-        later = later.unionByName(found.where("window_a IS NULL").select(*key, "start"))
-        marks = scratch.save(later.groupBy(*key).agg(F.collect_set("start").alias("marks")), "marks")
+        # a window's rows are as many as chunks that hold it at most; rows that agree in all their keys are no repeats
+        order = F.rank().over(Window.partitionBy("window_a", "window_b").orderBy(*key, "start"))
+        later = found.where("window_a IS NOT NULL").withColumn("order", order).where("order > 1").select(*key, F.array("start").alias("starts"))
+        later = later.unionByName(found.where("window_a IS NULL").select(*key, F.col("sure").alias("starts")))
+        marks = scratch.save(later.groupBy(*key).agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("marks")), "marks")
         scratch.drop("windows")
-        scratch.drop("firsts")
         return texts, marks
 
     def per_row(self, its: DataFrame) -> DataFrame:
         """Every row with ``its`` columns by text (text_a, text_b, copies); a text of a third of all rows is spread."""
-        return spread_join(self.rows.drop("anchors"), its, ["text_a", "text_b"], "copies", F.xxhash64("place"), "left")
+        return spread_join(self.rows, its, ["text_a", "text_b"], "copies", F.xxhash64("place"), "left")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:

@@ -82,6 +82,16 @@ class Words:
         value = letters[self.data[np.repeat(self.starts, lens) + place]] * _powers(seed, int(lens.max()))[place]
         return mix(np.add.reduceat(value, at) + lens.astype(np.uint64) * _GOLDEN)
 
+    def joined(self, at: np.ndarray) -> bytes:
+        """The words ``at``, in rising order, joined by one blank."""
+        if not len(at):
+            return b""
+        lens = self.ends[at] - self.starts[at] + 1  # each with what follows it, which turns into the blank
+        upto = np.cumsum(lens)
+        out = self.data[(np.repeat(self.starts[at] - (upto - lens), lens) + np.arange(int(upto[-1])))[:-1]]
+        out[upto[:-1] - 1] = 0x20
+        return out.tobytes()
+
     def word(self, i: int) -> bytes:
         return self.data[self.starts[i] : self.ends[i]].tobytes()
 
