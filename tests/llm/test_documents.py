@@ -3,9 +3,11 @@
 import hashlib
 import random
 import re
+import struct
 from collections import Counter
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from meterlake.llm import decontamination, fingerprints, language_id, license_scan, mixing, near_dedup, substring_dedup, toxicity
@@ -312,6 +314,82 @@ def test_fingerprints_follow_the_edited_text(spark, rows):
     assert one.edited_sha256 == hashlib.sha256(b"abc abc").hexdigest() and one.near_next == 1
 
 
+def xx(value, seed=42):
+    """Spark's xxhash64 of a text, of a number, or of several in turn, as a signed number."""
+    for x in value if isinstance(value, (list, tuple)) else [value]:
+        seed = xxhash.xxh64(x.encode() if isinstance(x, str) else struct.pack("<q", x), seed=seed).intdigest()
+    return seed - 2**64 if seed >= 2**63 else seed
+
+
+def fingerprints_by_hand(texts):
+    """The I-Match hashes of a text, as a function, after learning the lexicon of ``texts``."""
+    top = lambda h, bits: (h % 2**64) >> (64 - bits)
+    words = lambda t: [xx(w) for w in PLAIN.findall(t.lower())]
+    sketches = {}
+    for t in set(texts):
+        own, keys = words(t), []
+        shingles = [xx(own[i : i + 5]) for i in range(max(1, len(own) - 4))] if own else []
+        for band in range(fingerprints.BANDS):
+            rows = {}
+            for h in shingles:
+                if top(h, 3) == band:
+                    rows[top(h, 5)] = min(rows.get(top(h, 5), h), h)
+            if rows:
+                keys.append(xx(sorted(rows.values())))
+        if keys:
+            sketches[xx(t)] = (set(own), keys)
+    heads = {}
+    for own, (_, keys) in sketches.items():
+        for key in keys:
+            heads[key] = min(heads.get(key, own), own)
+    counted = [terms for own, (terms, keys) in sketches.items() if all(heads[k] == own for k in keys)]
+    df = Counter(t for terms in counted for t in terms)
+    most = max(fingerprints.LEAST_DOCS, fingerprints.COMMONEST * len(counted))
+    least = max(fingerprints.LEAST_DOCS, fingerprints.RAREST * len(counted))
+
+    def hashes(text):
+        every = set(words(text))
+        if not every:
+            return [xx(text) >> 32] * fingerprints.SUBSETS
+        band = {t for t in every if least <= df[t] <= most}
+        filled = [*band, *sorted(t for t in every - band if df[t] <= most), *sorted(t for t in every - band if df[t] > most)]
+        own = sorted(band if len(band) >= fingerprints.LEAST_TERMS else filled[: fingerprints.LEAST_TERMS])
+        out = []
+        for i, rate in enumerate(fingerprints.RATES):
+            bits = [(h % 2**64) >> sum(fingerprints.RATES[:i]) & ((1 << rate) - 1) for h in own]
+            for j in range(fingerprints.REPEATS):
+                part = [h for h, b in zip(own, bits, strict=True) if b == j << (rate - 3)]
+                out.append(xx(part) >> 32 if part else None)
+        return out
+
+    return hashes
+
+
+def test_fingerprints_match_brute_force(spark):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(600)] + ["Straße", "été"]
+    made = [" ".join(rng.choices(words, k=rng.randint(1, 150))) for _ in range(90)] + ["", "  ", "--", "the one", "x " * 3000]
+    made += [made[0].replace("w1", "v1"), made[0], made[5]] + [" ".join([*made[7].split(), f"end{i}"]) for i in range(30)]
+    docs = [(5 * i, t) for i, t in enumerate(made)]
+    by_hand = fingerprints_by_hand([t for _, t in docs])
+    shown = lambda hashes: "".join("-" * 8 if h is None else f"{h & 0xFFFFFFFF:08x}" for h in hashes)
+
+    def like(a, b):
+        pairs = [(x, y) for x, y in zip(a, b, strict=True) if x is not None or y is not None]
+        return round(sum(x == y for x, y in pairs) / len(pairs), 9)
+
+    order = sorted(docs, reverse=True)
+    expected = set()
+    for k, (i, t) in enumerate(order):
+        after = order[(k + 1) % len(order)][1]
+        half = len(t) // 2
+        edited = t[: len(t) - half] + after[:half]
+        own, its, new = by_hand(t), by_hand(after), by_hand(edited)
+        expected.add((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), shown(own), shown(new), like(own, new), like(own, its)))
+    got = fingerprints.fingerprint_edits(table(spark, docs)).collect()
+    assert {(*tuple(r)[:-2], round(r.near_edited, 9), round(r.near_next, 9)) for r in got} == expected and len(got) == len(docs)
+
+
 @pytest.mark.parametrize("own_words", [False, True])
 def test_large_groups_of_near_copies_keep_like_fingerprints(spark, own_words):
     rng = random.Random(7)
