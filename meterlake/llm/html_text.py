@@ -4,6 +4,11 @@ A page becomes a tree of elements and a list of text blocks in page order. Each
 and its commas, discounted by the share of its text inside links, to the element that holds it and, ever less, to that
 element's ancestors. The element with the most points is the main container; it is kept together with siblings that
 score well themselves, and what is left of them without boilerplate elements is the article.
+
+Names of elements tell boilerplate from articles. Some, such as those of comments, adverts and menus, do so for sure;
+others, such as related or discussion, only lower the score of their text, and the element goes if it isn't prose.
+
+Pages are read from left to right in a time in proportion to their length, whatever is left open in them.
 """
 
 from __future__ import annotations
@@ -16,7 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_SPECIAL = re.compile(r"[>\"']")
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?|\"[^\"]*\"|'[^']*'")
 _HIDDEN = re.compile(r"hidden|display\s*:\s*none", re.I)
@@ -26,15 +32,15 @@ _NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
 _RAW = {"script", "style", "title", "textarea"}
 #: Elements left out up to their end tag. Without one they end at the next block, or with the element around them.
 _FRAME = {"iframe", "noframes", "noscript"}
-_NESTED = {"svg", "math", "select", "object", "template"}
+_NESTED = {"svg", "math", "select", "object", "template", "button", "label"}
 _LOOSE = _FRAME | _NESTED
 _RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in _RAW}
-_FRAME_TAG = {tag: re.compile(rf"<(/?){tag}(?:[\s/][^>]*)?>", re.I) for tag in _FRAME}
+_FRAME_TAG = {tag: re.compile(rf"<(/?){tag}(?:[\s/][^<>]*)?>", re.I) for tag in _FRAME}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _LEAF = {"p", "li", "dt", "dd", "td", "th", "pre", "blockquote", "figcaption", "caption", "summary", "address"}
 _HEADING = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _BOX = {"html", "body", "div", "section", "article", "main", "ul", "ol", "dl", "table", "thead", "tbody", "tfoot", "tr", "figure", "details", "center", "hgroup"}
-_CLUTTER = {"nav", "footer", "aside", "form", "button", "menu", "dialog", "fieldset", "label", "head"}
+_CLUTTER = {"nav", "footer", "aside", "form", "menu", "dialog", "fieldset", "head"}
 _BLOCK = _LEAF | _HEADING | _BOX | _CLUTTER | {"header", "hr"}
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"td", "th", "tr"}}
 _SCOPE = {"ul", "ol", "dl", "table", "div", "section", "article", "main", "body", "html"}
@@ -43,11 +49,15 @@ _SEMANTIC = {"article", "main"}
 _CLUTTER_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner "
     "nav navbar navigation menu breadcrumb breadcrumbs pagination pager toolbar "
-    "sidebar aside widget related recommended popular trending footer masthead contentinfo complementary search "
-    "comment comments reply replies respond disqus discussion reviews "
+    "sidebar footer masthead contentinfo "
+    "comment comments reply replies respond disqus "
     "notice notices cookie cookies consent gdpr alert popup modal overlay newsletter subscribe signup login paywall "
     "share sharing social".split()
 )
+#: Words that may as well stand for a part of the article: the element stays if it is prose.
+_DOUBTFUL_WORDS = frozenset("aside widget related recommended popular trending complementary search discussion reviews".split())
+#: The weight of text in doubtful elements, the length of a block of prose and its largest share of links, and the share of prose.
+_DOUBTFUL, _PROSE, _LINKS, _MOSTLY = 0.3, 80, 0.25, 0.6
 #: First words of names that say how an element is laid out, and words for the article itself.
 _LAYOUT_WORDS = frozenset({"has", "with", "without", "no", "is"})
 _BODY_WORDS = frozenset({"article", "content", "body", "text", "main", "post", "entry", "story"})
@@ -68,6 +78,48 @@ def _raw_end(source: str, tag: str, at: int) -> int | None:
     return following.end() if following and following[1] else None
 
 
+class _Tokens:
+    """Comments, declarations and tags of a page by place. A tag ends at the first '>' outside quotes; one that never does is text."""
+
+    def __init__(self, source: str):
+        self.source, self.last = source, source.rfind(">")
+        self._asked, self._special = 0, -2  # where the next '>' or quote stands for all places from _asked on
+        self._failed: set[int] = set()  # quotes from which no end of a tag is reached
+
+    def after(self, at: int) -> tuple[int, int, str, str, str] | None:
+        """(begin, end, '/' of an end tag, name, attributes) of the first from ``at``; comments have no name."""
+        source = self.source
+        while (begin := source.find("<", at)) >= 0:
+            if begin > self.last or source.startswith("<!--", begin):
+                if (begin := source.find("<!--", begin)) < 0:
+                    return None
+                end = source.find("-->", begin + 4)
+                return begin, len(source) if end < 0 else end + 3, "", "", ""
+            if source[begin + 1 : begin + 2] in ("!", "?"):
+                return begin, source.find(">", begin) + 1, "", "", ""
+            if (tag := _TAG.match(source, begin)) and (end := self._end(tag.end())) >= 0:
+                return begin, end + 1, tag[1], tag[2].lower(), source[tag.end() : end]
+            at = begin + 1
+        return None
+
+    def _next_special(self, at: int) -> int:
+        found = _SPECIAL.search(self.source, at)
+        return found.start() if found else -1
+
+    def _end(self, at: int) -> int:
+        if self._special == -2 or not self._asked <= at <= self._special and self._special != -1:
+            self._asked, self._special = at, self._next_special(at)
+        place, passed = self._special, []
+        while place >= 0 and place not in self._failed:
+            if self.source[place] == ">":
+                return place
+            passed.append(place)
+            closing = self.source.find(self.source[place], place + 1)
+            place = self._next_special(closing + 1) if closing >= 0 else -1
+        self._failed.update(passed)
+        return -1
+
+
 def _nested_ends(source: str) -> dict[int, int]:
     """Where the elements of _NESTED end that have an end tag of their own, by where their start tags end.
 
@@ -76,16 +128,16 @@ def _nested_ends(source: str) -> dict[int, int]:
     ends: dict[int, int] = {}
     stack: list[tuple[str, int]] = []
     opened: dict[str, int] = {}
-    at = 0
-    while match := _TOKEN.search(source, at):
-        at, tag = match.end(), (match[2] or "").lower()
+    at, tokens = 0, _Tokens(source)
+    while token := tokens.after(at):
+        _, at, closing, tag, attributes = token
         if tag in _RAW or tag in _FRAME:
-            if not match[1] and not match[3].endswith("/"):
+            if not closing and not attributes.endswith("/"):
                 at = _raw_end(source, tag, at) or at
         elif tag not in _NESTED and tag not in _BLOCK or tag in _VOID:
             continue
-        elif not match[1]:
-            if tag in _BLOCK or not match[3].endswith("/"):
+        elif not closing:
+            if tag in _BLOCK or not attributes.endswith("/"):
                 stack.append((tag, at))
                 opened[tag] = opened.get(tag, 0) + 1
         elif opened.get(tag):
@@ -103,25 +155,28 @@ class _Page:
 
     def __init__(self, source: str):
         self.tags, self.parents, self.dropped = ["html"], [0], [False]
-        #: (element, whether its text stands in a leaf element, text, characters in links)
+        #: the nearest doubtful element around each, itself included, or -1
+        self.doubtful = [-1]
+        #: (element, text, characters in links)
         self.blocks: list[tuple[int, str, int]] = []
-        self._stack, self._open = [0], {"html": 1}
+        #: the open elements, where in this list those of each name stand, and where its blocks do
+        self._stack, self._places, self._block_places = [0], {"html": [0]}, [0]
         self._text: list[str] = []
         self._linked, self._in_link = 0, 0
         self._read(source)
 
     def _read(self, source: str) -> None:
-        at, ends = 0, None
-        while match := _TOKEN.search(source, at):
-            self._add(source[at : match.start()])
-            at = match.end()
-            if not match[2]:
+        at, ends, tokens = 0, None, _Tokens(source)
+        while token := tokens.after(at):
+            begin, end, closing, tag, attributes = token
+            self._add(source[at:begin])
+            at = end
+            if not tag:
                 continue
-            tag = match[2].lower()
-            if match[1]:
+            if closing:
                 self._end(tag)
             elif tag in _RAW or tag in _LOOSE:
-                if match[3].endswith("/"):
+                if attributes.endswith("/"):
                     continue
                 if tag in _NESTED:
                     ends = _nested_ends(source) if ends is None else ends
@@ -129,11 +184,11 @@ class _Page:
                 else:
                     end = _raw_end(source, tag, at)
                 if end is None:
-                    self._start(tag, match[3])
+                    self._start(tag, attributes)
                 else:
                     at = end
             else:
-                self._start(tag, match[3])
+                self._start(tag, attributes)
         self._add(source[at:])
         self._flush()
 
@@ -147,34 +202,37 @@ class _Page:
     def _flush(self) -> None:
         if self._text:
             if text := " ".join("".join(self._text).split()):
-                self.blocks.append((self._holder(), text, min(self._linked, len(text))))
+                self.blocks.append((self._stack[self._block_places[-1]], text, min(self._linked, len(text))))
             self._text, self._linked = [], 0
 
-    def _holder(self) -> int:
-        return next((e for e in reversed(self._stack) if self.tags[e] in _BLOCK), 0)
+    def _is_open(self, tags: set[str]) -> bool:
+        return any(self._places.get(x) for x in tags)
+
+    def _last(self, tags: set[str]) -> int:
+        """Where the innermost open element of these names stands, or -1."""
+        return max((own[-1] for x in tags if (own := self._places.get(x))), default=-1)
 
     def _close_to(self, wanted: set[str], barriers: set[str]) -> None:
-        for i in range(len(self._stack) - 1, 0, -1):
-            tag = self.tags[self._stack[i]]
-            if tag in wanted:
-                self._cut(i)
-                return
-            if tag in barriers:
-                return
+        place = self._last(wanted)
+        if place > 0 and place >= self._last(barriers - wanted):
+            self._cut(place)
 
     def _cut(self, i: int) -> None:
-        for e in self._stack[i:]:
-            self._open[self.tags[e]] -= 1
-            if self.tags[e] == "a":
+        for e in reversed(self._stack[i:]):
+            tag = self.tags[e]
+            self._places[tag].pop()
+            if tag in _BLOCK:
+                self._block_places.pop()
+            elif tag == "a":
                 self._in_link -= 1
         del self._stack[i:]
 
     def _start(self, tag: str, attributes: str) -> None:
         if tag in _BLOCK:
             self._flush()
-            if any(self._open.get(x) for x in _LOOSE):
-                self._cut(next(i for i, e in enumerate(self._stack) if self.tags[e] in _LOOSE))
-            if self._open.get("p"):
+            if self._is_open(_LOOSE):
+                self._cut(min(own[0] for x in _LOOSE if (own := self._places.get(x))))
+            if self._places.get("p"):
                 self._close_to({"p"}, _SCOPE | {"li", "td", "th", "dd", "blockquote"})
             if tag in _CLOSES:
                 self._close_to(_CLOSES[tag], {"ul", "ol", "dl", "table"} | ({"tr"} if tag in ("td", "th") else set()))
@@ -183,45 +241,60 @@ class _Page:
         if tag in _VOID:
             return
         above = self._stack[-1]
+        clutter, doubt = (False, False) if self.dropped[above] else self._named(tag, attributes)
         self.tags.append(tag)
         self.parents.append(above)
-        self.dropped.append(self.dropped[above] or self._clutter(tag, attributes))
+        self.dropped.append(self.dropped[above] or clutter)
+        self.doubtful.append(len(self.tags) - 1 if doubt else self.doubtful[above])
+        self._places.setdefault(tag, []).append(len(self._stack))
+        if tag in _BLOCK:
+            self._block_places.append(len(self._stack))
         self._stack.append(len(self.tags) - 1)
-        self._open[tag] = self._open.get(tag, 0) + 1
         self._in_link += tag == "a"
 
     def _end(self, tag: str) -> None:
         if tag in _BLOCK:
             self._flush()
-        if self._open.get(tag):
-            for i in range(len(self._stack) - 1, 0, -1):
-                if self.tags[self._stack[i]] == tag:
-                    self._cut(i)
-                    return
-                if tag not in _BLOCK and self.tags[self._stack[i]] in _BLOCK:
-                    return  # an inline end tag closes nothing outside its block
-
-    def _clutter(self, tag: str, attributes: str) -> bool:
-        if tag in _CLUTTER or tag in _LOOSE or tag == "header" and not any(self._open.get(x) for x in _SEMANTIC):
-            return True
+        if own := self._places.get(tag):
+            # an inline end tag closes nothing outside its block
+            if own[-1] > 0 and (tag in _BLOCK or own[-1] > self._block_places[-1]):
+                self._cut(own[-1])
+
+    def _named(self, tag: str, attributes: str) -> tuple[bool, bool]:
+        """Whether an element is no part of an article, and whether it may be none."""
+        semantic = self._is_open(_SEMANTIC)
+        if tag in _CLUTTER or tag in _LOOSE or tag == "header" and not semantic:
+            return True, False
         if tag in ("html", "body") or not attributes.strip():
-            return False
+            return False, False
         if _HIDDEN.search(attributes) and _hidden(attributes):
-            return True
-        semantic = any(self._open.get(x) for x in _SEMANTIC)
+            return True, False
+        doubt = False
         for match in _NAMES.finditer(attributes):
             for name in (match[1] or match[2] or match[3] or "").lower().split():
                 parts = [x for x in _PARTS.split(name) if x]
                 if tag in _SEMANTIC:  # these hold articles, or a reader's comment
                     if name in _CLUTTER_WORDS:
-                        return True
+                        return True, False
                 elif parts and parts[0] not in _LAYOUT_WORDS:
                     # a name's last word says what the element is ("post-comments"), its first what it belongs to
-                    if parts[-1] in _CLUTTER_WORDS or parts[0] in _CLUTTER_WORDS and parts[-1] not in _BODY_WORDS:
-                        return True
+                    begins = parts[-1] not in _BODY_WORDS
+                    if parts[-1] in _CLUTTER_WORDS or parts[0] in _CLUTTER_WORDS and begins and not semantic:
+                        return True, False
                     if parts[-1] == "header" and not semantic and parts[0] not in _BODY_WORDS:
-                        return True
-        return False
+                        return True, False
+                    doubt |= parts[-1] in _DOUBTFUL_WORDS or parts[0] in _DOUBTFUL_WORDS | _CLUTTER_WORDS and begins
+        return False, doubt
+
+    def _settle(self) -> None:
+        """Leave out the text of doubtful elements that isn't prose for the most part."""
+        sizes: dict[int, list[int]] = {}
+        for element, text, linked in self.blocks:
+            own = sizes.setdefault(self.doubtful[element], [0, 0])
+            own[0] += len(text)
+            own[1] += len(text) if len(text) >= _PROSE and linked < _LINKS * len(text) else 0
+        gone = {e for e, (size, prose) in sizes.items() if e >= 0 and prose < _MOSTLY * size}
+        self.blocks = [b for b in self.blocks if self.doubtful[b[0]] not in gone]
 
     def scores(self) -> dict[int, float]:
         points: dict[int, float] = {}
@@ -229,6 +302,7 @@ class _Page:
             if self.tags[element] in _HEADING:
                 continue
             gained = (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - linked / len(text)) * min(1.0, len(text) / 25)
+            gained *= 1.0 if self.doubtful[element] < 0 else _DOUBTFUL
             holder = self.parents[element] if self.tags[element] in _LEAF else element
             for level in range(5):
                 points[holder] = points.get(holder, 0.0) + gained / (1, 2, 4, 6, 8)[level]
@@ -249,7 +323,7 @@ class _Page:
         best = over or best
         if best == 0:
             return {0}
-        chosen, enough = {best}, max(10.0, 0.2 * points[best])
+        chosen, share = {best}, 0.2 * points[best]
         lengths: dict[int, list[int]] = {}
         for element, text, linked in self.blocks:
             if self.parents[element] == self.parents[best]:
@@ -258,11 +332,14 @@ class _Page:
         for e in [*points, *lengths]:
             if e and self.parents[e] == self.parents[best] and e not in chosen:
                 size, linked = lengths.get(e, (0, 0))
+                # of articles side by side, short ones count as well
+                enough = share if over and self.tags[e] == self.tags[over] else max(10.0, share)
                 if points.get(e, 0) >= enough or self.tags[e] == "p" and size > 80 and linked < size / 4 or self.tags[e] in ("h1", "h2") and not over:
                     chosen.add(e)
         return chosen
 
     def main_text(self) -> str:
+        self._settle()
         chosen, inside = self.kept(), {}
         for e in range(len(self.tags)):
             inside[e] = e in chosen or e > 0 and inside[self.parents[e]]

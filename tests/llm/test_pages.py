@@ -1,5 +1,7 @@
 """Page operators on made pages and urls."""
 
+import time
+
 from meterlake.llm import html_text, url_filter
 from meterlake.llm.queries import URL_RULES
 
@@ -42,6 +44,25 @@ def test_elements_without_end_tags_lose_no_article():
     assert html_text.main_text("<article><p>a<script>var x = '<p>b</article>'") == "a"
 
 
+def test_doubtful_names_keep_prose_and_lose_links():
+    links = "".join(f"<li><a href=/{i}>Another story about {i}</a></li>" for i in range(6))
+    for name in ("discussion", "related-work", "search-results", "popular", "menu-planning", "social-history"):
+        assert html_text.main_text(f"<article><p>{ARTICLE}</p><section class='{name}'><h2>Part</h2><p>{ARTICLE} here</p></section></article>").split("\n")[1:] == ["Part", f"{ARTICLE} here"], name
+        assert html_text.main_text(f"<article><p>{ARTICLE}</p><div class='{name}'><h3>More</h3><ul>{links}</ul></div></article>") == ARTICLE, name
+    assert html_text.main_text(f"<article><p>{ARTICLE}</p><div class='post-comments'><p>{ARTICLE}</p></div><div class=sidebar>{ARTICLE}</div></article>") == ARTICLE
+    assert html_text.main_text("<body><article><p>One, short.</p></article><article><p>Two, short.</p></article></body>") == "One, short.\nTwo, short."
+    assert html_text.main_text("<article><p>press <button>OK</button> or <label>x</label>wait</p></article>") == "press or wait"
+
+
+def test_hostile_pages_are_read_in_linear_time():
+    n = 200_000
+    for piece in ("<b>", "<b>\n<hr>x", "<a '", '<a "', "<a", "<", "<!", "<p", "<li>x</li>", "<iframe ", "<svg>", "<p>x<b>", "</p>", "<ul><li>", "<a \"x\"", "<!--", "<p class=", "&amp"):
+        for page in (piece * (n // len(piece)), "<b>" * (n // 6) + piece * (n // 2 // len(piece)), "<div>" * (n // 10) + piece * (n // 2 // len(piece)) + "'>\">"):
+            began = time.process_time()
+            html_text.main_text(page)
+            assert time.process_time() - began < 2, (piece, page[:10])
+
+
 def test_hidden_is_an_attribute_and_not_a_word():
     for kept in ('title="a hidden gem"', "alt='hidden'", 'data-x = "y" title="no display: none" class="hidden-gem"', "aria-hidden=false", "href=hidden", 'title=" hidden = 1 "'):
         assert html_text.main_text(f"<article><p>a</p><p {kept}>b</p></article>") == "a\nb", kept
