@@ -116,15 +116,23 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFram
     slim = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), size.alias("size"), hashed.alias("mix_hash"))
     sizes = scratch.save(slim, "sizes")
     mixed = _of(sizes, _plan(scratch, sizes, weights))
+    scratch.keep_only("sizes", "plan")
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * _times()).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """The rows of ``docs`` that the mix takes, with all their columns and mix_times, how often each is taken."""
+    """The rows of ``docs`` that the mix takes, with all their columns and mix_times, how often each is taken.
+
+    Rows, nulls and repeats are treated as by mix_sources; rows without words are never taken. Further columns may have
+    any names, but for one called mix_times, which is replaced.
+    """
     scratch = Scratch(docs.sparkSession, "mix")
     size, hashed = _sized(docs)
     sizes = scratch.save(docs.select(F.col("source").cast("string"), size.alias("size"), hashed.alias("mix_hash")), "sizes")
-    plan = _plan(scratch, sizes, weights).select(F.struct("rounds", "threshold").alias("_mix_plan"), F.col("source").alias("_mix_source"))
-    joined = docs.join(plan, F.col("source").cast("string").eqNullSafe(F.col("_mix_source")))
-    times = F.col("_mix_plan.rounds") + (hashed <= F.col("_mix_plan.threshold")).cast("long")
-    return joined.withColumn("mix_times", times).where((F.col("mix_times") > 0) & (size > 0)).select(*docs.columns, "mix_times")
+    plan = _plan(scratch, sizes, weights).select("source", "rounds", "threshold")
+    scratch.keep_only("plan")
+    # a struct keeps the columns of documents apart from those of the plan
+    own = [c for c in docs.columns if c != "mix_times"]
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("row"), F.col("source").cast("string"), size.alias("size"), hashed.alias("mix_hash"))
+    mixed = _of(rows, plan).withColumn("mix_times", _times()).where("mix_times > 0 AND size > 0")
+    return mixed.select("row.*", "mix_times")

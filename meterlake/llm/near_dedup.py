@@ -10,8 +10,8 @@ Documents of equal sets are one node. In every bucket the node of smallest id is
 full sets in three rounds: each node with the hub it shares most buckets with, then with its other hubs, then with the
 other members of buckets that still hold several components. Pairs that components already join are never compared, so
 a large group costs a comparison or two for each member. Buckets that hold several components even so are compared
-block by block: a task gets two blocks of BLOCK members, takes only the pairs whose first common band is this bucket's,
-leaves out those that the links found in the task already join, and returns links, not pairs.
+block by block: a task gets two blocks of about BLOCK_SHINGLES shingles, takes only the pairs whose first common band is
+this bucket's, leaves out those that the links found in the task already join, and returns links, not pairs.
 """
 
 from __future__ import annotations
@@ -21,11 +21,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterlake.llm import tokens
-from meterlake.llm.common import Scratch
+from meterlake.llm.common import Scratch, spread_join
 
 SHINGLE = 5
 BANDS, ROWS = 50, 5
@@ -34,8 +34,8 @@ COORDINATES = BANDS * ROWS
 PERCENT = 75
 #: Members compared with one copy of their hub's text.
 GROUP = 64
-#: Members of a mixed bucket that one task holds of each of two blocks.
-BLOCK = 512
+#: Shingles of a mixed bucket's members that one task holds, as 64-bit numbers, of each of two blocks.
+BLOCK_SHINGLES = 1_000_000
 
 _ROUND, _VALUE = 10, 45
 _SEEDS = tokens.stream(77, 2 * COORDINATES)
@@ -102,7 +102,7 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rows.append((0, None, None, None))
         cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-        yield pa.record_batch([batch.column("doc_id"), *map(pa.array, cols, kinds)], names=["doc_id", "n_shingles", "set_a", "set_b", "bands"])
+        yield pa.record_batch([batch.column("doc_id"), batch.column("own"), *map(pa.array, cols, kinds)], names=["doc_id", "own", "n_shingles", "set_a", "set_b", "bands"])
 
 
 def _linked(group: pd.DataFrame) -> pd.DataFrame:
@@ -114,7 +114,7 @@ def _linked(group: pd.DataFrame) -> pd.DataFrame:
     for i, own in zip(ids, sets, strict=True):
         for other in hubs:
             if i != hub and 100 * min(len(own), len(other)) >= PERCENT * max(len(own), len(other)):
-                shared = len(np.intersect1d(own, other, assume_unique=True))
+                shared = int(np.isin(own, other, assume_unique=True).sum())
                 if 100 * shared >= PERCENT * (len(own) + len(other) - shared):
                     found.add(int(i))
     return pd.DataFrame({"a": hub, "b": sorted(found)}, columns=["a", "b"])
@@ -138,17 +138,14 @@ def _crossed(group: pd.DataFrame) -> pd.DataFrame:
     """Links between members of different components in two blocks of a bucket, or in one with itself."""
     group = group.drop_duplicates(["node", "text"]).reset_index(drop=True)
     key, low, high = (int(group[c].iloc[0]) for c in ("key", "low", "high"))
-    sets = [frozenset(s.tolist()) for s in shingle_sets(pa.array(group["text"], pa.large_string()))]
-    nodes, sizes, bands = group["node"].to_numpy(), np.array([len(s) for s in sets]), np.stack(group["bands"].to_numpy())
-    side, own = group["block"].to_numpy(), group["c"].to_numpy()
+    sets = list(shingle_sets(pa.array(group["text"], pa.large_string())))
+    sizes = np.array([len(s) for s in sets])
+    first = np.cumsum(sizes) - sizes
+    known, places = np.unique(np.concatenate(sets), return_inverse=True)
+    marked = np.zeros(len(known), bool)
+    nodes, bands = group["node"].to_numpy(), np.stack(group["bands"].to_numpy())
+    side, own = group["block"].to_numpy(), np.unique(group["c"].to_numpy(), return_inverse=True)[1]
     band = int(np.flatnonzero(bands[0] == key)[0])
-    root = {c: c for c in set(own.tolist())}
-
-    def find(c: int) -> int:
-        while root[c] != c:
-            root[c] = c = root[root[c]]
-        return c
-
     found = []
     order = np.arange(len(group)) if low == high else np.flatnonzero(side == low)
     for i in order.tolist():
@@ -156,19 +153,23 @@ def _crossed(group: pd.DataFrame) -> pd.DataFrame:
         alike = PERCENT * np.maximum(sizes[i], sizes[others]) <= 100 * np.minimum(sizes[i], sizes[others])
         others = others[alike & (own[others] != own[i])]
         others = others[(bands[others] == bands[i]).argmax(axis=1) == band]
-        for j in others.tolist():
-            a, b = find(int(own[i])), find(int(own[j]))
-            if a != b:
-                shared = len(sets[i] & sets[j])
-                if 100 * shared >= PERCENT * (len(sets[i]) + len(sets[j]) - shared):
-                    found.append((int(nodes[i]), int(nodes[j])))
-                    root[a] = b
+        if not len(others):
+            continue
+        marked[places[first[i] : first[i] + sizes[i]]] = True
+        upto = np.cumsum(sizes[others])
+        at = np.arange(int(upto[-1])) + np.repeat(first[others] - (upto - sizes[others]), sizes[others])
+        shared = np.add.reduceat(marked[places[at]].astype(np.int64), upto - sizes[others])
+        marked[places[first[i] : first[i] + sizes[i]]] = False
+        for j in others[100 * shared >= PERCENT * (sizes[i] + sizes[others] - shared)].tolist():
+            if own[j] != own[i]:
+                found.append((int(nodes[i]), int(nodes[j])))
+                own[own == own[j]] = own[i]
     return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
 
 def _blockwise(members: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (a, b) between the members (key, node, c) of mixed buckets."""
-    sizes = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    """Links (a, b) between the members (key, node, n, c) of mixed buckets."""
+    sizes = members.groupBy("key").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("blocks"))
     block = F.pmod(F.xxhash64("node"), F.col("blocks"))
     dealt = members.join(sizes, "key").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "c")
@@ -214,21 +215,17 @@ def _alike(a: str, b: str):
     return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row of ``docs`` (doc_id, text).
+def _own(text: Column) -> Column:
+    return F.xxhash64(text.cast("string"))
 
-    Words are runs of anything but ASCII white space, A-Z lower-cased. A text with fewer words than a shingle is one
-    shingle; without words, or null, its set is empty and it is linked with nothing. Links have at least PERCENT % of
-    their union in common. component_id is the smallest doc_id that links reach; kept says that it is the row's own.
-    Repeated rows get equal results. A null doc_id can't name a component: such a row takes the component of its text's
-    other copies, or null, and is kept if that is null. An empty table gives no rows. Other columns are not read.
-    """
-    scratch = Scratch(docs.sparkSession, "near")
-    slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    rows = scratch.save(slim.mapInArrow(_sketched, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"), "sketches")
+
+def _found(scratch: Scratch, docs: DataFrame) -> DataFrame:
+    """(doc_id, own, n_shingles, set_a, set_b, component_id) of every row of ``docs``, own being a hash of its text."""
+    slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("own", _own(F.col("text")))
+    rows = scratch.save(slim.mapInArrow(_sketched, "doc_id long, own long, n_shingles long, set_a long, set_b long, bands array<long>"), "sketches")
 
     nodes = rows.where("set_a IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_a", "set_b")
-    nodes = scratch.save(nodes.agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "nodes")
+    nodes = scratch.save(nodes.agg(F.min("doc_id").alias("node"), F.count("*").alias("rows"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "nodes")
     bands = scratch.save(nodes.select(F.explode("bands").alias("key"), "node", "n"), "bands")
     hubs = bands.groupBy("key").agg(F.min(F.struct("node", "n")).alias("first"), F.count("*").alias("size")).where("size > 1")
     hubs = scratch.save(hubs.select("key", F.col("first.node").alias("hub"), F.col("first.n").alias("hub_n"), "size"), "hubs")
@@ -255,7 +252,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = links.unionByName(_verified(scratch, texts, others, "second"))
     joined = components(scratch, links, "second")
 
-    split = component(met.where("size > 2").select("key", "size", "node", "n", "hub"), "node", "c")
+    split = component(met.where("size > 2").select("key", "node", "n", "hub"), "node", "c")
     split = scratch.save(split, "split")
     mixed = split.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most").select(F.col("key").alias("mixed"))
     mixed = scratch.save(mixed, "mixed")
@@ -263,7 +260,56 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = links.unionByName(scratch.save(_blockwise(open_, nodes, texts), "third_links"))
     joined = components(scratch, links, "third")
 
-    ends = scratch.save(component(nodes.select("set_a", "set_b", "node"), "node", "component_id").select("set_a", "set_b", "component_id"), "ends")
-    out = rows.select("doc_id", "n_shingles", "set_a", "set_b").join(ends, ["set_a", "set_b"], "left")
-    out = out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
+    ends = scratch.save(component(nodes.select("set_a", "set_b", "node", "rows"), "node", "component_id").select("set_a", "set_b", "component_id", "rows"), "ends")
+    scratch.keep_only("sketches", "ends")
+    out = spread_join(rows.drop("bands"), ends, ["set_a", "set_b"], "rows", F.xxhash64("doc_id", "own"), "left").drop("rows")
+    return out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row of ``docs`` (doc_id, text).
+
+    Words are runs of anything but ASCII white space, A-Z lower-cased. A text with fewer words than a shingle is one
+    shingle; without words, or null, its set is empty and it is linked with nothing. Links have at least PERCENT % of
+    their union in common. component_id is the smallest doc_id that links reach; kept says that it is the row's own.
+    Repeated rows get equal results. A null doc_id can't name a component: such a row takes the component of its text's
+    other copies, or null, and is kept if that is null. An empty table gives no rows. Other columns are not read.
+    """
+    out = _found(Scratch(docs.sparkSession, "near"), docs)
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each group of near duplicates, with all its columns, whatever their names.
+
+    The row of smallest doc_id stays; of several texts with that id the one of smallest hash, and of rows that agree in
+    both any one. Rows without words are near to nothing, so of them only repeats of doc_id and text go. A row without a
+    doc_id goes if a row with one has its set of shingles; of rows without doc_ids that have equal sets one stays. An
+    empty table gives no rows.
+    """
+    scratch = Scratch(docs.sparkSession, "near")
+    out = _found(scratch, docs).groupBy("doc_id", "own").agg(
+        F.first("component_id").alias("component_id"), F.first("set_a").alias("set_a"), F.first("set_b").alias("set_b"), F.count("*").alias("times")
+    )
+    out = scratch.save(out, "found")
+    # those that may stay, by what only one of them may stay for
+    open_ = out.where("set_a IS NOT NULL AND component_id <=> doc_id")
+    best = open_.groupBy("component_id", F.when(F.col("component_id").isNull(), F.struct("set_a", "set_b")).alias("set")).agg(F.min(F.struct("own", "doc_id")).alias("best")).select("best.*")
+    stays = out.where("set_a IS NULL").select("own", "doc_id").unionByName(best)
+    where = lambda df: df.select(F.col("own").alias("_own"), F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none"))
+    same = ["_own", "_id", "_none"]
+    gone = where(out).join(where(stays), same, "left_anti").withColumn("_gone", F.lit(True))
+    twice = where(out.where("times > 1")).withColumn("_twice", F.lit(True))
+    marked = scratch.save(gone.join(twice, same, "full"), "marked")
+    scratch.keep_only("marked")
+    # a struct keeps the columns of documents apart from those of this join
+    rows = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), _own(F.col("text")).alias("_own"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none")
+    )
+    left = rows.join(marked.where("_gone"), same, "left_anti")
+    repeated = marked.where("_twice AND _gone IS NULL").select(*same)
+    if repeated.limit(1).count():
+        one = F.row_number().over(Window.partitionBy(*same).orderBy(F.lit(0)))
+        once = left.join(repeated, same).withColumn("_nth", one).where("_nth = 1")
+        left = left.join(repeated, same, "left_anti").select("row").unionByName(once.select("row"))
+    return left.select("row.*")

@@ -82,7 +82,7 @@ def test_near_duplicates_match_brute_force(spark, rows):
 
 
 def test_large_mixed_buckets_are_compared_block_by_block(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "BLOCK", 3)
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", 200)
     rng = random.Random(5)
     base = [f"b{i}" for i in range(60)]
     made = []
