@@ -1,43 +1,40 @@
 """The corpus pipeline: documents to a clean, deduplicated and mixed training set.
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and is written as Parquet before the
-next one reads it. Stages keep every column of documents; the last adds mix_times, how often the mix takes a row.
+next one reads it. Stages keep every column of documents, whatever further columns are called; the last adds mix_times,
+how often the mix takes a row. Empty tables pass through as such.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from meterlake.llm import decontamination, mixing, near_dedup, substring_dedup, toxicity
 from meterlake.llm.common import Scratch, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model does not reject."""
+    """Documents that the toxicity model does not reject; null and empty texts stay, repeated rows share their fate."""
     return toxicity.drop_toxic(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id of each group of near duplicates; rows without an id stay."""
-    scratch = Scratch(spark, "pipeline")
-    copies = near_dedup.near_duplicates(docs).where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_copy")).distinct()
-    copies = scratch.save(copies, "copies")
-    return docs.join(copies, F.col("doc_id") == F.col("_copy"), "left_anti")
+    """One document of each group of near duplicates, that of smallest doc_id; null and empty texts are near to nothing."""
+    return near_dedup.drop_near_duplicates(docs)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the words of passages that began earlier."""
+    """All documents, without the words of passages that began earlier; texts without such words stay as they are, nulls as well."""
     return substring_dedup.without_repeats(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Documents without a passage of the benchmark; null and empty texts have none."""
     return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix of sources takes, with mix_times."""
+    """Documents that the mix of sources takes, with mix_times; texts without words are never taken, a null source is a source."""
     return mixing.mixed_documents(docs)
 
 
@@ -49,7 +46,7 @@ STAGES = [
     ("mixing", mix),
 ]
 
-#: The toxicity model is trained, which SQL can't express; tests/llm compares the stages with brute force instead.
+#: The toxicity model is trained, which SQL can't express; tests/llm compares the other stages with brute force instead.
 ORACLE_SQL = None
 
 
@@ -61,4 +58,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = scratch.save(docs, name)
+            scratch.keep_only(name)
     return docs
