@@ -62,23 +62,53 @@ def to_currency(df: DataFrame, rates: DataFrame, code: str) -> DataFrame:
     return df.crossJoin(F.broadcast(rate)).withColumn("cost", F.col("cost_usd") * F.col("_rate")).drop("_rate")  # one row
 
 
-def subtract_coverage(traces: DataFrame, exact: DataFrame, longest_days: int = 31) -> DataFrame:
+def counted_upto(points: DataFrame, rows: DataFrame, key: list[str], ts: str, value: str) -> DataFrame:
+    """``points`` with _n and _sum: how many ``rows`` of the same key stand at or before their time, and their values' sum.
+
+    Rows are summed up by key and day, then within the days that points fall on, so a key of very many rows is spread
+    over its days and nothing is paired.
+    """
+    day = F.floor(F.col(ts) / DAY_MS)
+    r = rows.select(*key, F.col(ts).alias("_at"), day.alias("_day"), F.col(value).alias("_value"), F.lit(1).alias("_n"))
+    p = points.withColumns({"_at": F.col(ts), "_day": day})
+    days = r.groupBy(*key, "_day").agg(F.count("*").alias("_n"), F.sum("_value").alias("_value"))
+    days = days.unionByName(p.select(*key, "_day").distinct().withColumns({"_n": F.lit(0).cast("long"), "_value": F.lit(0).cast(days.schema["_value"].dataType)}))
+    before = Window.partitionBy(*key).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.groupBy(*key, "_day").agg(F.sum("_n").alias("_n"), F.sum("_value").alias("_value"))  # a key has no more rows here than the calendar days
+    days = days.select(*key, "_day", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n_before"), F.coalesce(F.sum("_value").over(before), F.lit(0)).alias("_before"))
+    both = p.withColumn("_side", F.lit(1)).unionByName(r.withColumn("_side", F.lit(0)), allowMissingColumns=True)
+    upto = Window.partitionBy(*key, "_day").orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    seen = both.withColumns({"_n": F.coalesce(F.sum("_n").over(upto), F.lit(0)), "_sum": F.coalesce(F.sum("_value").over(upto), F.lit(0))}).where("_side = 1")
+    found = seen.join(days, [*key, "_day"], "left")
+    total = {"_n": F.col("_n") + F.coalesce("_n_before", F.lit(0)), "_sum": F.col("_sum") + F.coalesce("_before", F.lit(0))}
+    return found.withColumns(total).select(*points.columns, "_n", "_sum")
+
+
+def subtract_coverage(traces: DataFrame, exact: DataFrame) -> DataFrame:
     """Traces minus what exact rows of the same time already account for.
 
     ``traces`` has (trace_id, session_id, start_ms, end_ms, model, total, input, output, cached), ``exact`` rows
     (session_id, model, ts_start, tokens). A trace with a session meets that session's rows without a start or inside its
-    span; one without meets all rows inside its span, of its model if it has one, found by the days they share, up to
-    ``longest_days``. A trace that exact rows cover, or one without a session that meets any, is dropped; what is left
-    of the others is unclassified unless nothing was subtracted and its own split adds up.
+    span; one without meets all rows inside its span, of its model if it has one. A trace that exact rows cover, or one
+    without a session that meets any, is dropped; what is left of the others is unclassified unless nothing was
+    subtracted and its own split adds up. What lies in a span is what lies before its end less what lies before its start.
     """
-    e = exact.select(F.col("session_id").alias("e_session"), F.col("model").alias("e_model"), F.col("ts_start").alias("e_ts"), "tokens")
-    inside = F.col("e_ts").between(F.col("start_ms"), F.col("end_ms"))
-    named = traces.where("session_id IS NOT NULL").join(e, (F.col("session_id") == F.col("e_session")) & (F.col("e_ts").isNull() | inside))
-    first, last = F.floor(F.col("start_ms") / DAY_MS), F.floor(F.col("end_ms") / DAY_MS)
-    spread = traces.where("session_id IS NULL AND end_ms >= start_ms").withColumn("day", F.explode(F.sequence(first, F.least(last, first + longest_days))))
-    timed = spread.join(e.withColumn("e_day", F.floor(F.col("e_ts") / DAY_MS)), (F.col("day") == F.col("e_day")) & inside & (F.col("model").isNull() | (F.col("model") == F.col("e_model"))))
-    met = named.select("trace_id", "tokens").unionByName(timed.select("trace_id", "tokens"))
-    covered = met.groupBy("trace_id").agg(F.count("*").alias("exact_rows"), F.sum("tokens").alias("exact_tokens"))
+    named = F.col("session_id").isNotNull()
+    kind = F.when(named, "session").when(F.col("model").isNotNull(), "model").otherwise("all")
+    spans = traces.select("trace_id", kind.alias("kind"), F.coalesce("session_id", "model", F.lit("")).alias("of"), "start_ms", "end_ms").where("end_ms >= start_ms")
+    points = spans.select("trace_id", "kind", "of", F.explode(F.array(F.struct(F.lit(1).alias("sign"), F.col("end_ms").alias("at")), F.struct(F.lit(-1).alias("sign"), (F.col("start_ms") - 1).alias("at")))).alias("p"))
+    points = points.select("trace_id", "kind", "of", "p.sign", "p.at")
+    keys = F.array(
+        F.struct(F.lit("session").alias("kind"), F.col("session_id").alias("of")), F.struct(F.lit("model").alias("kind"), F.col("model").alias("of")), F.struct(F.lit("all").alias("kind"), F.lit("").alias("of"))
+    )
+    rows = exact.where("ts_start IS NOT NULL").select(F.explode(keys).alias("k"), F.col("ts_start").alias("at"), "tokens").select("k.*", "at", "tokens").where("of IS NOT NULL")
+    # of models and of all, only what some trace asks for; few kinds of keys are asked for by name
+    rows = rows.join(points.select("kind", "of").distinct(), ["kind", "of"], "left_semi")
+    met = counted_upto(points, rows, ["kind", "of"], "at", "tokens")
+    met = met.select("trace_id", (F.col("sign") * F.col("_n")).alias("n"), (F.col("sign") * F.col("_sum")).alias("tokens"))
+    untimed = exact.where("ts_start IS NULL").groupBy("session_id").agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens"))
+    met = met.unionByName(traces.where(named).select("trace_id", "session_id").join(untimed, "session_id").select("trace_id", "n", "tokens"))
+    covered = met.groupBy("trace_id").agg(F.sum("n").alias("exact_rows"), F.sum("tokens").alias("exact_tokens"))
     both = traces.join(covered, "trace_id", "left").fillna(0, ["exact_rows", "exact_tokens"])
     gone = (F.col("exact_rows") > 0) & (F.col("session_id").isNull() | (F.col("exact_tokens") >= F.col("total")))
     split = (F.col("exact_tokens") == 0) & (F.col("input") + F.col("output") == F.col("total")) & (F.col("cached") <= F.col("input"))

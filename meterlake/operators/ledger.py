@@ -115,29 +115,42 @@ def repair_reread(df: DataFrame, paths: DataFrame) -> DataFrame:
     return df.withColumn("_path", path).join(paths.select(F.col("path").alias("_path")).distinct(), "_path", "left_anti").drop("_path")
 
 
-def read_plan(files: DataFrame, cursors: DataFrame, pinned: Column | None = None) -> DataFrame:
+#: Bytes before a place in a file that are hashed to tell whether the file still is what it was.
+TAIL_BYTES = 256
+
+
+def file_tails(files: DataFrame, cursors: DataFrame) -> DataFrame:
+    """(path, length, before, tail) of files (path, content binary): hashes of the bytes before the cursor's place and before the end."""
+    known = cursors.select("path", F.col("last_byte_offset").alias("_at"))
+    joined = files.select("path", "content", F.length("content").cast("long").alias("length")).join(known, "path", "left")
+    upto = lambda end: F.sha2(F.substring("content", F.greatest(end - (TAIL_BYTES - 1), F.lit(1)).cast("int"), F.least(end, F.lit(TAIL_BYTES)).cast("int")), 256)
+    return joined.select("path", "length", F.when(F.col("length") >= F.col("_at"), upto(F.col("_at"))).alias("before"), upto(F.col("length")).alias("tail"))
+
+
+def read_plan(tails: DataFrame, cursors: DataFrame) -> DataFrame:
     """What to read of each file: (path, action, from_offset, length, tail).
 
-    ``files`` has (path, content binary), ``cursors`` (path, last_byte_offset, fingerprint, pinned). A file as long as
-    its cursor with the same 256 bytes before it is Unchanged, a longer one Append, one whose bytes differ or that is
-    shorter is pinned, never replayed; a file without a cursor is read in Full.
+    ``tails`` has (path, length, before, tail) as of file_tails, ``cursors`` (path, last_byte_offset, fingerprint); no
+    content is looked at. A file without a cursor is read in Full, if it isn't empty. A file as long as its cursor is
+    Unchanged. A longer one is Append if the bytes before the cursor are what they were. All else was cut or rewritten: it
+    is Pinned to its end, never replayed, and appended to from there once it grows.
     """
-    length = F.length("content").cast("long")
-    known = cursors.select("path", "last_byte_offset", "fingerprint", F.coalesce("pinned", F.lit(False)).alias("was_pinned"))
-    joined = files.select("path", "content", length.alias("length")).join(known, "path", "left")
-    at = F.col("last_byte_offset")
-    tail = lambda end: F.sha2(F.substring(F.col("content"), F.greatest(end - 255, F.lit(1)).cast("int"), F.least(end, F.lit(256)).cast("int")), 256)
-    same = (F.col("length") >= at) & (tail(at) == F.col("fingerprint"))
-    action = F.when(at.isNull(), "Full").when(F.col("was_pinned") | ~same, "Pinned").when(F.col("length") == at, "Unchanged").otherwise("Append")
-    plan = joined.withColumn("action", action)
-    start = F.when(F.col("action") == "Full", 0).when(F.col("action") == "Append", at).otherwise(F.col("length"))
-    return plan.select("path", "action", start.cast("long").alias("from_offset"), "length", tail(F.col("length")).alias("tail"))
+    known = cursors.select("path", "last_byte_offset", "fingerprint")
+    joined = tails.select("path", "length", "before", "tail").join(known, "path", "left")
+    at, length = F.coalesce("last_byte_offset", F.lit(0)), F.col("length")
+    fresh = (at == 0) & F.col("fingerprint").isNull()
+    action = (
+        F.when(fresh, F.when(length == 0, "Unchanged").otherwise("Full")).when(length < at, "Pinned").when(length == at, "Unchanged")
+        .when(F.col("before").eqNullSafe(F.col("fingerprint")), "Append").otherwise("Pinned")
+    )
+    start = F.when(F.col("action") == "Full", 0).when(F.col("action") == "Append", at).otherwise(length)
+    return joined.withColumn("action", action).select("path", "action", start.cast("long").alias("from_offset"), "length", "tail")
 
 
 def advance(cursors: DataFrame, plan: DataFrame) -> DataFrame:
-    """The cursors after a plan's rows are in the ledger; a file read again before that changes nothing."""
-    done = plan.select("path", F.col("length").alias("last_byte_offset"), F.col("tail").alias("fingerprint"), (F.col("action") == "Pinned").alias("pinned"))
-    return cursors.join(plan.select("path"), "path", "left_anti").select(*done.columns).unionByName(done)
+    """The cursors after a plan's rows are in the ledger, pinned ones at their files' ends; a file read again before that changes nothing."""
+    done = plan.where("action <> 'Unchanged'").select("path", F.col("length").alias("last_byte_offset"), F.col("tail").alias("fingerprint"))
+    return cursors.join(done.select("path"), "path", "left_anti").select(*done.columns).unionByName(done)
 
 
 def batch_report(outcome: DataFrame) -> DataFrame:
@@ -145,21 +158,33 @@ def batch_report(outcome: DataFrame) -> DataFrame:
     return outcome.groupBy("source").agg(F.count_if("written").alias("ingested"), F.count_if("merged").alias("merged"), F.count_if("gated").alias("skipped"))
 
 
-def export_csv(df: DataFrame, path: str) -> None:
+#: The export's columns, in order.
+CSV_COLUMNS = (
+    "ts", "app", "model", "pricing_model", "project", "session", "input", "output", "reasoning", "cache_read", "cache_write", "credits", "cost_usd", "cost_source", "duration_ms", "raw_ref",
+    "unclassified_tokens", "speed_tps",
+)
+
+
+def export_csv(df: DataFrame, path: str, offset: str = "+00:00") -> None:
     """The ledger as guarded CSV cells, oldest first."""
-    csv_rows(df).write.mode("overwrite").option("header", True).option("quoteAll", False).option("quote", "\u0000").csv(path)
+    csv_rows(df, offset).write.mode("overwrite").option("header", True).option("quoteAll", False).option("quote", "\u0000").csv(path)
+
 
+def csv_rows(df: DataFrame, offset: str = "+00:00") -> DataFrame:
+    """The export's 18 text columns, oldest first: credits with 4 decimals, costs with 6 and rates with 3; what is null is empty.
 
-def csv_rows(df: DataFrame) -> DataFrame:
-    """The export's 18 text columns, costs with 4, credits with 6 and rates with 3 decimals."""
-    text = ("app", "session_id", "project", "account_id", "provider_id", "model", "request_model", "cost_source", "provenance", "status")
+    Times are local ones of ``offset``; a row without a time has that of 1970. Text cells are guarded and quoted.
+    """
     have = lambda c: F.col(c) if c in df.columns else F.lit(None).cast("string")
-    number = lambda c, d: F.regexp_replace(F.format_number(F.coalesce(F.col(c), F.lit(0.0)), d), ",", "")
-    started = F.date_format(F.timestamp_millis("ts_start"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    ordered = df.orderBy(F.col("ts_start").asc_nulls_first(), "dedup_key")
-    return ordered.select(
-        started.alias("started"), *(E.csv_guard(have(c)).alias(c) for c in text),
-        *(F.col(c).cast("string").alias(c) for c in ("input_tokens", "output_tokens", "cache_read_tokens")), E.cache_write_tokens().cast("string").alias("cache_write_tokens"),
-        number("credits", 6).alias("credits"), number("cost_usd", 4).alias("cost_usd"),
-        F.coalesce(F.regexp_replace(F.format_number(E.output_tps(), 3), ",", ""), F.lit("")).alias("output_tps"),
-    )
+    none = lambda value: F.coalesce(value.cast("string"), F.lit(""))
+    number = lambda value, d: none(F.regexp_replace(F.format_number(value, d), ",", ""))
+    ms = F.coalesce("ts_start", F.lit(0)) + E.offset_ms(offset)
+    cells = {
+        "ts": F.concat(F.date_format(F.timestamp_millis(ms), "yyyy-MM-dd'T'HH:mm:ss"), F.lit(offset)),
+        **{c: E.csv_guard(have(c)) for c in ("app", "model", "pricing_model", "project")}, "session": E.csv_guard(have("session_id")),
+        "input": none(F.col("input_tokens")), "output": none(F.col("output_tokens")), "reasoning": none(F.col("reasoning_tokens")),
+        "cache_read": none(F.col("cache_read_tokens")), "cache_write": none(E.cache_write_tokens()), "credits": number(F.col("credits").cast("double"), 4),
+        "cost_usd": number(F.col("cost_usd"), 6), "cost_source": none(have("cost_source")), "duration_ms": none(F.col("duration_ms")), "raw_ref": E.csv_guard(have("raw_ref")),
+        "unclassified_tokens": none(F.col("unclassified_tokens")), "speed_tps": number(E.output_tps(), 3),
+    }
+    return df.orderBy(F.col("ts_start").asc_nulls_first(), "dedup_key").select(*(cells[c].alias(c) for c in CSV_COLUMNS))

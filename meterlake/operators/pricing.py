@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import json
+from collections import Counter
 from collections.abc import Iterable
 from dataclasses import asdict, dataclass, field
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -175,21 +177,29 @@ def vote(quotes: list[dict], rules: Rules) -> tuple[dict | None, str, list[str]]
 
 
 def _voted(quotes: DataFrame, rules: Rules) -> DataFrame:
-    """Every quote with its stance and its group's verdict. A group is one model's quotes: a few dozen rows."""
+    """Every quote with its stance and its group's verdict. A group is one model's quotes: a few dozen, as many as sources and spellings."""
     columns = [c for c in PRICE_COLUMNS if c in quotes.columns]
     numbers = quotes.select("source", "model_id", *(F.col(c).cast("double") for c in columns), *(F.lit(None).cast("double").alias(c) for c in PRICE_COLUMNS if c not in columns))
-    grouped = quote_groups(numbers.fillna(0.0, ["input", "output", "cache_read", "cache_write"]), rules)
-
-    def decide(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.assign(_rank=[rules.rank(s) for s in group["source"]]).sort_values(["_rank", "model_id", "source"], kind="stable")
-        price, source, stances = vote(group.to_dict("records"), rules)
-        out = group[["canon", "display", "source", "model_id"]].assign(stance=stances, verdict_source=source, priced=price is not None)
-        for c in PRICE_COLUMNS:
-            out[c] = pd.Series([None if price is None else price[c]] * len(out), index=out.index, dtype="float64")
-        return out
-
+    numbers = numbers.fillna(0.0, ["input", "output", "cache_read", "cache_write"]).withColumn("canon", E.canon_key(F.col("model_id"))).where("canon <> ''")
+    quote = ["source", "model_id", *PRICE_COLUMNS]
+    grouped = numbers.groupBy("canon").agg(F.collect_list(F.struct(*quote)).alias("quotes"))
+
+    def decide(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for canon, group in zip(batch.column("canon").to_pylist(), batch.column("quotes").to_pylist(), strict=True):
+                spelled = Counter(q["model_id"] for q in group)
+                display = min(spelled, key=lambda m: (-spelled[m], m))
+                group.sort(key=lambda q: (rules.rank(q["source"]), q["model_id"], q["source"]))
+                price, source, stood = vote(group, rules)
+                shown = dict.fromkeys(PRICE_COLUMNS) if price is None else price
+                out += [{"canon": canon, "display": display, "source": q["source"], "model_id": q["model_id"], "stance": s, "verdict_source": source, "priced": price is not None, **shown} for q, s in zip(group, stood, strict=True)]
+            yield pa.RecordBatch.from_pylist(out, schema)
+
+    text, price = [(c, pa.string()) for c in ("canon", "display", "source", "model_id", "stance", "verdict_source")], [(c, pa.float64()) for c in PRICE_COLUMNS]
+    schema = pa.schema([*text, ("priced", pa.bool_()), *price])
     prices = ", ".join(f"{c} double" for c in PRICE_COLUMNS)
-    return grouped.groupBy("canon").applyInPandas(decide, f"canon string, display string, source string, model_id string, stance string, verdict_source string, priced boolean, {prices}")
+    return grouped.mapInArrow(decide, f"canon string, display string, source string, model_id string, stance string, verdict_source string, priced boolean, {prices}")
 
 
 def consensus(quotes: DataFrame, rules: Rules = Rules()) -> DataFrame:

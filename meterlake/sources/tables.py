@@ -163,13 +163,24 @@ def cline_v3(documents: DataFrame, sidecar: DataFrame) -> DataFrame:
 
 
 def kiro_credits(turns: DataFrame) -> DataFrame:
-    """Turns of the IDE's sessions (session_id, execution_id, offset, kind, ts, credits): usage inside start and end marks, priced by the list."""
-    mark = F.when(F.col("kind") == "turn_start", F.col("execution_id")).when(F.col("kind") == "turn_end", "")
-    running = F.last(mark, ignorenulls=True).over(Window.partitionBy("session_id").orderBy("offset").rowsBetween(Window.unboundedPreceding, 0))
-    used = turns.withColumn("turn", F.nullif(running, F.lit(""))).where("kind = 'usage' AND turn IS NOT NULL AND credits > 0")
+    """Usage summaries of the IDE's sessions (path, session_id, project, model, execution_id, offset, kind, ts, credits).
+
+    A summary belongs to the execution that it names, or else to the one that a turn_start mark opened and no turn_end
+    closed; it starts with that turn, or when it was written. Summaries outside of turns count as well. Each has its
+    place in the file in its key, and costs the list price.
+    """
+    opened = F.when(F.col("kind") == "turn_start", F.struct(text("execution_id").alias("exec"), F.col("ts").alias("ts")))
+    mark = opened.when(F.col("kind") == "turn_end", F.struct(F.lit(None).cast("string").alias("exec"), F.lit(None).cast("long").alias("ts")))
+    turn = F.last(mark, ignorenulls=True).over(Window.partitionBy("path").orderBy("offset").rowsBetween(Window.unboundedPreceding, 0))
+    used = turns.withColumn("turn", turn).where("kind = 'usage_summary' AND credits > 0")
+    owner = F.coalesce(text("execution_id"), F.col("turn.exec"))
+    place = F.concat(F.lit("@"), F.col("offset").cast("string"))
+    start = F.coalesce("turn.ts", "ts")
+    model = F.when(F.lower("model") == "auto", "kiro-auto").otherwise(text("model"))
     return ledger_rows(
-        used, dedup_key=F.concat_ws(":", F.lit("kiro"), "session_id", "turn", F.col("offset").cast("string")), app="kiro", session_id=F.col("session_id"), ts_start=F.col("ts"),
-        credits=F.col("credits"), cost_usd=F.col("credits") * KIRO_CREDIT_USD, cost_source="estimated", provenance="local_jsonl",
+        used, dedup_key=F.concat(F.lit("kiro-v2:"), F.coalesce("session_id", F.lit("")), F.coalesce(F.concat(F.lit(":"), owner), F.lit("")), place), app="kiro", session_id=F.col("session_id"),
+        project=F.col("project"), provider_id="kiro", model=model, request_model=model, ts_start=start, ts_end=F.col("ts"), duration_ms=E.derived_duration(start, F.col("ts")),
+        credits=F.col("credits"), cost_usd=F.col("credits") * KIRO_CREDIT_USD, cost_source="provider_reported", provenance="local_jsonl", raw_ref=F.concat("path", place),
     )
 
 

@@ -85,9 +85,12 @@ def ingest_stream(source: DataFrame, sink: str, checkpoint: str, offset: str = "
 
 
 def without_repeats(source: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Rows that were not sent before within ``delay`` of event time: a cheap filter before the upsert, which decides."""
-    timed = source.withColumn("_event_time", F.timestamp_millis(F.coalesce("ts_start", F.lit(0))))
-    return timed.withWatermark("_event_time", delay).dropDuplicatesWithinWatermark(["dedup_key", "output_tokens"]).drop("_event_time")
+    """Rows that were not sent before within ``delay`` of their arrival: a cheap filter before the upsert, which decides.
+
+    The watermark is on the time of arrival, so rows are never too late, whatever their own time, null included.
+    """
+    timed = source.withColumn("_arrived", F.current_timestamp())
+    return timed.withWatermark("_arrived", delay).dropDuplicatesWithinWatermark(["dedup_key", "output_tokens"]).drop("_arrived")
 
 
 class LatestPoint(StatefulProcessor):

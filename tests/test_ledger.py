@@ -169,6 +169,10 @@ def test_as_of_and_coverage(spark):
     exact = spark.createDataFrame([("s", "m", 5, 40), ("q", "m", None, 10)], "session_id string, model string, ts_start long, tokens long")
     got = {r.trace_id: (r.input_tokens, r.output_tokens, r.cache_read_tokens, r.unclassified_tokens) for r in J.subtract_coverage(traces, exact).collect()}
     assert got == {"a": (0, 0, 0, 60), "b": (60, 10, 30, 0)}
+    day = 86_400_000
+    traces = spark.createDataFrame([("long", None, 0, 60 * day, None, 100, 1, 1, 0), ("other model", None, 0, 60 * day, "n", 100, 90, 10, 0), ("no span", None, 9, 3, "m", 100, 90, 10, 0), ("later", None, 45 * day + 1, 90 * day, "m", 100, 90, 10, 0)], schema)
+    late = spark.createDataFrame([("z", "m", 45 * day, 5)], exact.schema)
+    assert {r.trace_id for r in J.subtract_coverage(traces, late).collect()} == {"other model", "no span", "later"}
 
 
 def test_csv_cells_are_guarded(spark):
@@ -188,12 +192,22 @@ def test_read_plan_of_growing_files(spark):
     old = b"x" * 300
     tail = lambda b: hashlib.sha256(b[-256:]).hexdigest()
     files = spark.createDataFrame([("same", bytearray(old)), ("more", bytearray(old + b"yy")), ("cut", bytearray(b"x" * 10)), ("new", bytearray(b"abc")), ("other", bytearray(b"z" * 302))], "path string, content binary")
-    cursors = spark.createDataFrame([(p, 300, tail(old), False) for p in ("same", "more", "cut", "other")], "path string, last_byte_offset long, fingerprint string, pinned boolean")
-    plan = L.read_plan(files, cursors)
+    cursors = spark.createDataFrame([(p, 300, tail(old)) for p in ("same", "more", "cut", "other")], "path string, last_byte_offset long, fingerprint string")
+    plan = L.read_plan(L.file_tails(files, cursors), cursors)
     assert {r.path: (r.action, r.from_offset) for r in plan.collect()} == {"same": ("Unchanged", 300), "more": ("Append", 300), "cut": ("Pinned", 10), "new": ("Full", 0), "other": ("Pinned", 302)}
     assert {r.path: r.last_byte_offset for r in L.advance(cursors, plan).collect()}["more"] == 302
 
 
+def test_a_file_that_was_cut_is_appended_to_from_its_new_end(spark):
+    file = lambda content: spark.createDataFrame([("f", bytearray(content))], "path string, content binary")
+    cursors, done = spark.createDataFrame([], "path string, last_byte_offset long, fingerprint string"), []
+    for content in (b"", b"a" * 400, b"b" * 30, b"b" * 30, b"b" * 30 + b"new", b"b" * 30 + b"new and more", b"c" * 50):
+        plan = L.read_plan(L.file_tails(file(content), cursors), cursors)
+        done += [(r.action, r.from_offset) for r in plan.collect()]
+        cursors = spark.createDataFrame(L.advance(cursors, plan).collect(), cursors.schema)
+    assert done == [("Unchanged", 0), ("Full", 0), ("Pinned", 30), ("Unchanged", 30), ("Append", 30), ("Append", 33), ("Pinned", 50)]
+
+
 def test_currency_feeds(spark):
     doc = "<Cube currency='USD' rate='1.25'/><Cube currency='JPY' rate='150'/>"
     got = {r.currency: r.rate for r in feeds.parse_fx_ecb(spark.createDataFrame([(doc,)], "doc string")).collect()}
