@@ -192,7 +192,7 @@ ORACLES = {
  t AS (SELECT o AS trace_id, CASE WHEN o % 50 <> 0 THEN 's' || o::VARCHAR END AS session_id, MIN(ts) AS start_ms, MAX(ts) AS end_ms, CASE WHEN o % 100 = 0 THEN 'm' || o::VARCHAR END AS model, SUM(q)::BIGINT AS total FROM l GROUP BY o),
  e AS (SELECT 's' || o::VARCHAR AS session_id, 'm' || o::VARCHAR AS model, ts, q FROM l WHERE n % 2 = 0 AND o % 3 <> 0 AND o % 50 <> 0),
  m AS (SELECT trace_id, q FROM t JOIN e ON t.session_id = e.session_id AND ts BETWEEN start_ms AND end_ms
- UNION ALL SELECT trace_id, q FROM t JOIN e ON t.session_id IS NULL AND ts BETWEEN start_ms AND end_ms AND (t.model IS NULL OR t.model = e.model) AND ts // 86400000 <= start_ms // 86400000 + 31),
+ UNION ALL SELECT trace_id, q FROM t JOIN e ON t.session_id IS NULL AND ts BETWEEN start_ms AND end_ms AND (t.model IS NULL OR t.model = e.model)),
  c AS (SELECT trace_id, COUNT(*) AS n, SUM(q) AS q FROM m GROUP BY 1),
  b AS (SELECT t.*, COALESCE(n, 0) AS n, COALESCE(q, 0) AS q, COALESCE(q, 0) = 0 AND total >= 2 AS split FROM t LEFT JOIN c USING (trace_id))
  SELECT trace_id, session_id, model, start_ms, end_ms, (CASE WHEN split THEN total - 2 ELSE 0 END)::BIGINT AS input_tokens, (CASE WHEN split THEN 1 ELSE 0 END)::BIGINT AS output_tokens,

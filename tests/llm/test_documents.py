@@ -328,7 +328,8 @@ def fingerprints_by_hand(texts):
     sketches = {}
     for t in set(texts):
         own, keys = words(t), []
-        shingles = [xx(own[i : i + 5]) for i in range(max(1, len(own) - 4))] if own else []
+        sampled = [i for i in range(max(1, len(own) - 4)) if len(own) <= fingerprints.SAMPLED or own[i] % fingerprints.SAMPLE == 0]
+        shingles = [xx(own[i : i + 5]) for i in sampled] if own else []
         for band in range(fingerprints.BANDS):
             rows = {}
             for h in shingles:
@@ -336,8 +337,8 @@ def fingerprints_by_hand(texts):
                     rows[top(h, 5)] = min(rows.get(top(h, 5), h), h)
             if rows:
                 keys.append(xx(sorted(rows.values())))
-        if keys:
-            sketches[xx(t)] = (set(own), keys)
+        if own:
+            sketches[xx(t)] = (set(own), keys or [xx(t)])
     heads = {}
     for own, (_, keys) in sketches.items():
         for key in keys:
