@@ -10,6 +10,7 @@ whose results are put together by document.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -24,29 +25,37 @@ from meterlake.llm.common import PLAIN_WORD, lower_ascii
 WINDOW = 10
 #: Most windows of one broadcast block of the benchmark (about 100 bytes each).
 MAX_WINDOWS = 200_000
+#: Windows of one part of an item.
+PART_WINDOWS = 10_000
 TABLE_BITS = 20
 
 SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
 class WuManber:
-    """Patterns of one length in words."""
+    """Windows of one length in words, of items (item, words)."""
 
-    def __init__(self, patterns: dict[tuple[bytes, ...], list[str]], length: int):
+    def __init__(self, items: list[tuple[str, list[str]]], length: int):
         self.length, self.width = length, min(2, length)
-        self.owners = patterns
-        self.shift = np.full(1 << TABLE_BITS, length - self.width + 1, np.int64)
+        last = length - self.width
+        self.owners: dict[tuple[bytes, ...], list[str]] = {}
+        self.shift = np.full(1 << TABLE_BITS, last + 1, np.int64)
         self.buckets: dict[int, list[tuple[bytes, ...]]] = defaultdict(list)
-        ordered = list(patterns)
-        column = pa.array([b" ".join(p).decode() for p in ordered], pa.large_string())
+        column = pa.array([" ".join(own) for _, own in items], pa.large_string())
         for chunk in tokens.words(column, tokens.PLAIN):
-            blocks = self.blocks(chunk.hashes(lower=True)).tolist()
-            for row, begin in enumerate(chunk.bounds[:-1].tolist()):
-                last = length - self.width
-                for i in range(last + 1):
-                    block = blocks[begin + i]
-                    self.shift[block] = min(self.shift[block], last - i)
-                self.buckets[blocks[begin + last]].append(ordered[chunk.first + row])
+            blocks = self.blocks(chunk.hashes(lower=True))
+            for row, (begin, end) in enumerate(zip(chunk.bounds[:-1].tolist(), chunk.bounds[1:].tolist(), strict=True)):
+                item, own = items[chunk.first + row]
+                # a block stands the further back in some window the more words come before it
+                place = np.arange(end - begin - self.width + 1)
+                np.minimum.at(self.shift, blocks[begin : begin + len(place)], last - np.minimum(place, last))
+                plain = [w.encode() for w in own]
+                for i, block in enumerate(blocks[begin + last : begin + len(place)].tolist()):
+                    pattern = tuple(plain[i : i + length])
+                    if pattern not in self.owners:
+                        self.owners[pattern] = []
+                        self.buckets[block].append(pattern)
+                    self.owners[pattern].append(item)
 
     def blocks(self, hashes: np.ndarray) -> np.ndarray:
         return (tokens.windows(hashes, self.width, seed=9) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
@@ -67,13 +76,27 @@ class WuManber:
 
 
 def _automata(items: list[tuple[str, list[str]]]) -> list[WuManber]:
-    by_length: dict[int, dict[tuple[bytes, ...], list[str]]] = defaultdict(lambda: defaultdict(list))
+    by_length: dict[int, list[tuple[str, list[str]]]] = defaultdict(list)
     for item, item_words in items:
-        plain = [w.encode() for w in item_words]
-        length = min(WINDOW, len(plain))
-        for i in range(len(plain) - length + 1):
-            by_length[length][tuple(plain[i : i + length])].append(item)
-    return [WuManber(dict(patterns), length) for length, patterns in sorted(by_length.items())]
+        by_length[min(WINDOW, len(item_words))].append((item, item_words))
+    return [WuManber(own, length) for length, own in sorted(by_length.items())]
+
+
+_BUILT: dict[str, list[WuManber]] = {}
+
+
+class _Block:
+    """A block of the benchmark, broadcast; its tables are built once in each Python worker, where those of the block before are let go."""
+
+    def __init__(self, items: DataFrame):
+        self.name = uuid.uuid4().hex
+        self.shared = items.sparkSession.sparkContext.broadcast([tuple(r) for r in items.select("item", "words").collect()])
+
+    def tables(self) -> list[WuManber]:
+        if self.name not in _BUILT:
+            _BUILT.clear()
+            _BUILT[self.name] = _automata(self.shared.value)
+        return _BUILT[self.name]
 
 
 def _found(column: pa.Array, automata: list[WuManber]) -> Iterator[tuple[int, int, np.ndarray, set[str]]]:
@@ -98,18 +121,24 @@ def _digest(met: set[str]) -> str:
 
 
 def _items(benchmark: DataFrame, max_windows: int) -> tuple[DataFrame, int]:
-    """(item, words, block) of the items that have words, dealt to so many blocks."""
+    """(item, words, block) of the items that have words, dealt to so many blocks; long items come in parts that share no window."""
     items = benchmark.select(
         F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"),
         F.regexp_extract_all(lower_ascii(F.coalesce(F.col("text").cast("string"), F.lit(""))), F.lit(f"({PLAIN_WORD})")).alias("words"),
     ).where(F.size("words") > 0)
-    total = items.agg(F.sum(F.greatest(F.size("words") - (WINDOW - 1), F.lit(1)))).first()[0] or 0
+    windows = F.greatest(F.size("words") - (WINDOW - 1), F.lit(1))
+    total = items.agg(F.sum(windows)).first()[0] or 0
     blocks = max(1, -(-int(total) // max_windows))
-    return items.withColumn("block", F.pmod(F.xxhash64("item", "words"), F.lit(blocks))), blocks
+    part = max(1, min(PART_WINDOWS, max_windows))
+    parts = F.transform(F.sequence(F.lit(1), windows, F.lit(part)), lambda at: F.slice("words", at, part + WINDOW - 1))
+    return items.select("item", F.explode(parts).alias("words")).withColumn("block", F.pmod(F.xxhash64("item", "words"), F.lit(blocks))), blocks
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, max_windows: int = MAX_WINDOWS) -> DataFrame:
-    """The rows of ``docs`` without a word in a window of ``benchmark``, with all their columns."""
+    """The rows of ``docs`` without a word in a window of ``benchmark``, with all their columns, whatever their names.
+
+    Nulls, empty texts, repeated rows and empty tables are treated as by find_contamination.
+    """
     items, blocks = _items(benchmark, max_windows)
     for block in range(blocks):  # what one block of the benchmark leaves goes to the next
         docs = _filtered(docs, items.where(F.col("block") == block))
@@ -117,10 +146,10 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, max_windows: int =
 
 
 def _filtered(docs: DataFrame, items: DataFrame) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in items.select("item", "words").collect()])
+    block = _Block(items)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automata = _automata(shared.value)
+        automata = block.tables()
         for batch in batches:
             yield batch.filter(pa.array([not hit.any() for _, _, hit, _ in _found(batch.column("text"), automata)], pa.bool_()))
 
@@ -134,14 +163,13 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, max_windows: int =
     for each row in, repeated rows included. A null or empty text has no words and is not contaminated; without items
     nothing is. Null item ids count as the item ''. Columns besides those named are not read.
     """
-    spark = docs.sparkSession
     items, blocks = _items(benchmark, max_windows)
     if blocks > 1:
         return _in_blocks(docs, items, blocks)
-    shared = spark.sparkContext.broadcast([tuple(r) for r in items.select("item", "words").collect()])
+    block = _Block(items)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automata = _automata(shared.value)
+        automata = block.tables()
         for batch in batches:
             rows = [(n, int(hit.sum()), len(met), _digest(met), bool(hit.any())) for _, n, hit, met in _found(batch.column("text"), automata)]
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
@@ -156,15 +184,14 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, max_windows: int =
 
 def _in_blocks(docs: DataFrame, items: DataFrame, blocks: int) -> DataFrame:
     """The same for a benchmark that is too large to broadcast at once: each block's hits, put together by row."""
-    spark = docs.sparkSession
     key = [F.col("doc_id").cast("long"), F.xxhash64("text").alias("a"), F.xxhash64(F.lit(7), "text").alias("b")]
     rows = docs.select(*key, "text").withColumn("copy", F.row_number().over(Window.partitionBy("doc_id", "a", "b").orderBy(F.lit(0))))
     parts = []
-    for block in range(blocks):
-        shared = spark.sparkContext.broadcast([tuple(r) for r in items.where(F.col("block") == block).select("item", "words").collect()])
+    for number in range(blocks):
+        block = _Block(items.where(F.col("block") == number))
 
-        def hits(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            automata = _automata(shared.value)
+        def hits(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+            automata = block.tables()
             for batch in batches:
                 found = list(_found(batch.column("text"), automata))
                 yield pa.record_batch(
