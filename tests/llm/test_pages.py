@@ -96,3 +96,13 @@ def test_urls_by_rule_and_by_words(spark):
     by_id = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in got}
     assert {u: by_id[i] for i, u in enumerate(urls)} == urls
     assert sum(r.page_id is None and r.verdict == "allow" for r in got) == 2
+
+
+def test_urls_take_a_vocabulary_table_and_hostile_rows(spark):
+    words = spark.createDataFrame([("Zebra", 2), ("zebra", 1), ("lion", 1), ("tiger", 1), ("", 2), (None, 2), ("zero", 0)], "word string, weight int")
+    urls = ["http://a.org/zebra", "http://a.org/lion", "http://a.org/lion/tiger", "http://a.org/porn", "http://a.org/zero", "http://a.org/" + "x" * 200_000 + "/zebra", "://", "a://b://c"]
+    table = spark.createDataFrame([(i, u, "clash", 7) for i, u in enumerate(urls)], "page_id long, url string, rule string, weight int")
+    got = {r.page_id: r for r in url_filter.filter_urls(table, [], vocabulary=words).collect()}
+    assert [got[i].verdict for i in range(len(urls))] == ["block", "allow", "block", "allow", "allow", "block", "allow", "allow"]
+    assert (got[6].host, got[6].path, got[7].host, got[7].path) == ("", "", "b:", "//c")
+    assert not url_filter.filter_urls(table.limit(0), URL_RULES).count()
