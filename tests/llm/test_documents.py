@@ -189,7 +189,7 @@ def test_contamination_matches_brute_force_in_one_block_and_in_many(spark, rows)
                     hit |= set(range(j, j + k))
                     met |= owners
         expected[doc_id, len(words), len(hit), len(met), hashlib.sha256(",".join(sorted(met)).encode()).hexdigest(), bool(hit)] += 1
-    for most in (10_000, 7):
+    for most in (10_000, 70, 7):  # one block, parts of items, and blocks of them
         got = decontamination.find_contamination(table(spark, rows), benchmark, most).collect()
         assert Counter(tuple(r) for r in got) == expected
         left = decontamination.drop_contaminated(table(spark, rows), benchmark, most)
