@@ -2,7 +2,7 @@
 
 A profile is the ranking of the most frequent character 1- to 3-grams, words being padded with a blank. A document gets
 the language whose profile is at the least out-of-place distance: the sum, over the document's own ranking, of how far
-each n-gram stands from its place in the profile. N-grams are counted in 2**16 hashed cells.
+each n-gram stands from its place in the profile. An n-gram is a number that spells its code points, so none share one.
 """
 
 from __future__ import annotations
@@ -12,16 +12,18 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CELLS = 1 << 16
 #: Ranks of a profile and of a document.
 TOP = 400
-#: Labelled documents for each language, about, and languages that profiles are learned from at most.
-MAX_DOCS, MAX_LANGS = 2_000, 500
+#: Labelled documents for each language, about, that profiles are learned from.
+MAX_DOCS = 2_000
+#: Languages beyond which labels can't be languages: there are some 8,000 on earth. Bounds what is collected and broadcast.
+MOST_LANGS = 10_000
 UNDETERMINED = "und"
-_WEIGHTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
+#: Bits of a code point; what pads words is the control character of number 1.
+_BITS, _BLANK = np.uint64(21), np.uint64(1)
 
 
 def fold(doc_id: Column) -> Column:
@@ -34,59 +36,79 @@ def _letters() -> np.ndarray:
     return np.array([chr(i).isalpha() for i in range(0x110000)], bool)
 
 
-def gram_counts(text: str | None) -> np.ndarray | None:
-    """How often each cell's n-grams stand in a text; None without letters."""
+def grams(text: str | None) -> np.ndarray | None:
+    """The n-grams of a text, as often as they stand in it; None without letters."""
     codes = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
     letter = _letters()[codes]
     if not letter.any():
         return None
-    line = np.zeros(len(codes) + 2, np.uint64)
-    line[1:-1] = np.where(letter, codes, 0)
+    line = np.full(len(codes) + 2, _BLANK)
+    line[1:-1] = np.where(letter, codes, _BLANK)
     keep = np.ones(len(line), bool)
-    keep[1:] = (line[1:] != 0) | (line[:-1] != 0)
+    keep[1:] = (line[1:] != _BLANK) | (line[:-1] != _BLANK)
     line = line[keep]
-    one = line * _WEIGHTS[0]
-    two = one[:-1] + line[1:] * _WEIGHTS[1]
-    three = two[:-1] + line[2:] * _WEIGHTS[2]
-    cells = np.concatenate([one[line != 0], two, three[line[1:-1] != 0]]) * _WEIGHTS[1] >> np.uint64(48)
-    return np.bincount(cells.astype(np.int64), minlength=CELLS)
+    two = (line[:-1] << _BITS) | line[1:]
+    three = (two[:-1] << _BITS) | line[2:]
+    return np.concatenate([line[line != _BLANK], two, three[line[1:-1] != _BLANK]]).view(np.int64)
 
 
-def ranking(counts: np.ndarray) -> np.ndarray:
-    """The most frequent cells, ties by cell."""
-    seen = np.flatnonzero(counts)
-    order = (counts[seen].astype(np.int64) << 16) | (CELLS - 1 - seen)
-    if len(order) > TOP:
-        order = np.partition(order, len(order) - TOP)[-TOP:]
-    return CELLS - 1 - (np.sort(order)[::-1] & (CELLS - 1))
+def ranking(found: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The most frequent of distinct n-grams, which come in rising order; ties by number."""
+    return found[np.argsort(-counts, kind="stable")[:TOP]]
 
 
 def learn_profiles(docs: DataFrame) -> dict[str, np.ndarray]:
-    """The ranking of each language's n-grams over a sample of its labelled rows that are not held out."""
+    """The ranking of each language's n-grams over a sample of its labelled rows that are not held out.
+
+    TOP numbers a language reach the driver; more than MOST_LANGS languages are refused.
+    """
     known = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"))
     known = known.where("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL").where(fold(F.col("doc_id")) != 2)
-    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS)
-    # at most MAX_LANGS rows: small enough to broadcast whatever the corpus
+    sizes = known.groupBy("lang").count()
+    if sizes.limit(MOST_LANGS + 1).count() > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} languages")
     rate = F.greatest(F.ceil(F.col("count") / MAX_DOCS), F.lit(1))
     sample = known.join(F.broadcast(sizes), "lang").where(F.pmod(F.xxhash64("doc_id"), rate) == 0).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sums: dict[str, np.ndarray] = {}
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                if (counts := gram_counts(text)) is not None:
-                    sums[lang] = sums[lang] + counts if lang in sums else counts
-            for lang, counts in sums.items():
-                seen = np.flatnonzero(counts)
-                yield pa.record_batch([pa.array([lang] * len(seen), pa.string()), pa.array(seen.astype(np.int32)), pa.array(counts[seen])], names=["lang", "cell", "n"])
-
-    totals = sample.mapInArrow(count, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
-    profiles = {}
-    for lang, part in totals.toPandas().groupby("lang"):
-        counts = np.zeros(CELLS, np.int64)
-        counts[part["cell"].to_numpy()] = part["n"].to_numpy()
-        profiles[lang] = ranking(counts)
-    return dict(sorted(profiles.items()))
+                if (every := grams(text)) is not None:
+                    found, counts = np.unique(every, return_counts=True)
+                    yield pa.record_batch([pa.array([lang] * len(found), pa.string()), pa.array(found), pa.array(counts)], names=["lang", "gram", "n"])
+
+    totals = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
+    top = totals.withColumn("place", place).where(F.col("place") <= TOP).select("lang", "place", "gram").toPandas().sort_values(["lang", "place"])
+    return {lang: part["gram"].to_numpy() for lang, part in top.groupby("lang")}
+
+
+class _Judge:
+    """The profiles as one list of n-grams in order, each with its language and its place there."""
+
+    def __init__(self, profiles: dict[str, np.ndarray]):
+        self.names = list(profiles)
+        known = np.concatenate([*profiles.values(), np.zeros(0, np.int64)])
+        order = np.argsort(known, kind="stable")
+        self.grams = known[order]
+        self.langs = np.repeat(np.arange(len(profiles)), [len(x) for x in profiles.values()])[order]
+        self.places = np.concatenate([*(np.arange(len(x)) for x in profiles.values()), np.zeros(0, np.int64)])[order]
+
+    def __call__(self, text: str | None) -> tuple[str, float]:
+        every = grams(text)
+        if every is None or not self.names:
+            return UNDETERMINED, 0.0
+        own = ranking(*np.unique(every, return_counts=True))
+        begin, end = np.searchsorted(self.grams, own), np.searchsorted(self.grams, own, "right")
+        met = end - begin
+        at = np.arange(int(met.sum())) + np.repeat(begin - (np.cumsum(met) - met), met)
+        nearer = TOP - np.abs(self.places[at] - np.repeat(np.arange(len(own)), met))
+        far = TOP * len(own) - np.bincount(self.langs[at], nearer, len(self.names))
+        best = int(far.argmin())
+        if len(self.names) == 1:
+            return self.names[0], 1.0
+        second = np.partition(far, 1)[1]
+        return self.names[best], float(second / (second + far[best])) if second else 0.5
 
 
 def identify(docs: DataFrame, profiles: dict[str, np.ndarray]) -> DataFrame:
@@ -96,27 +118,10 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray]) -> DataFrame:
     the second distance's share of the two smallest (1 with a single profile): 0.5 is a tie, which the first language by
     name wins. A null doc_id is neither learned from nor held out. Repeated rows agree; other columns are not read.
     """
-    names = list(profiles)
-    places = np.full((len(names), CELLS), TOP, np.int32)
-    for i, ranks in enumerate(profiles.values()):
-        places[i, ranks] = np.arange(len(ranks))
-    shared = docs.sparkSession.sparkContext.broadcast((names, places))
-
-    def judge(text: str | None) -> tuple[str, float]:
-        names, places = shared.value
-        counts = gram_counts(text)
-        if counts is None or not names:
-            return UNDETERMINED, 0.0
-        own = ranking(counts)
-        its = places[:, own]
-        far = np.where(its < TOP, np.abs(its - np.arange(len(own))), TOP).sum(axis=1)
-        best = int(far.argmin())
-        if len(names) == 1:
-            return names[0], 1.0
-        second = np.partition(far, 1)[1]
-        return names[best], float(second / (second + far[best])) if second else 0.5
+    shared = docs.sparkSession.sparkContext.broadcast(_Judge(profiles))
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = shared.value
         for batch in batches:
             found = [judge(t.as_py()) for t in batch.column("text")]
             yield pa.record_batch(

@@ -106,6 +106,21 @@ def test_large_mixed_buckets_are_compared_block_by_block(spark, monkeypatch):
     assert near_dedup.near_duplicates(table(spark, twice)).count() == len(twice)
 
 
+def test_links_just_above_the_threshold_are_found(spark):
+    rng = random.Random(12)
+    made, pairs = [], 0
+    for i in range(1500):  # pairs of 100 words whose sets share 75 to 80 % of their union
+        own = [f"p{i}_{k}" for k in range(104)]
+        other = own[:87] + [f"o{i}_{k}" for k in range(rng.choice((6, 10)))]
+        a, b = ({tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (own, other))
+        likeness = len(a & b) / len(a | b)
+        pairs += 0.75 <= likeness
+        assert 0.72 < likeness < 0.8
+        made += [(2 * i, " ".join(own)), (2 * i + 1, " ".join(other))]
+    got = near_dedup.near_duplicates(table(spark, made))
+    assert got.where("doc_id % 2 = 1 AND component_id = doc_id - 1").count() == pairs
+
+
 def test_sketches_estimate_jaccard_and_fill():
     import numpy as np
 
@@ -479,6 +494,85 @@ def test_languages_are_told_apart(spark):
     assert {r.lang_pred for r in language_id.identify(odd, {}).collect()} == {"und"}
 
 
+def test_languages_match_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    profiles = language_id.learn_profiles(docs)
+
+    def plain_grams(text):
+        line = " ".join("".join(c if c.isalpha() else " " for c in f" {text.lower()} ").split(" "))
+        line = re.sub(" +", " ", line)
+        out = Counter(c for c in line if c != " ")
+        out.update(line[i : i + 2] for i in range(len(line) - 1))
+        out.update(line[i : i + 3] for i in range(len(line) - 2) if line[i + 1] != " ")
+        return out
+
+    def number(gram):
+        n = 0
+        for c in gram:
+            n = n << 21 | (1 if c == " " else ord(c))
+        return n
+
+    def plain_ranking(counts):
+        return [number(g) for g, _ in sorted(counts.items(), key=lambda x: (-x[1], number(x[0])))][: language_id.TOP]
+
+    every = docs.collect()
+    held = {r.doc_id for r in docs.where(language_id.fold(F.col("doc_id")) == 2).select("doc_id").collect()}
+    totals = {}
+    for r in every:
+        if r.doc_id not in held and r.lang is not None and r.text is not None:
+            totals.setdefault(r.lang, Counter()).update(plain_grams(r.text))
+    by_hand = {lang: plain_ranking(counts) for lang, counts in sorted(totals.items())}
+    assert {lang: p.tolist() for lang, p in profiles.items()} == by_hand  # fewer documents than a sample takes
+    places = {lang: {g: i for i, g in enumerate(p)} for lang, p in by_hand.items()}
+    got = {r.doc_id: r for r in language_id.identify(docs, profiles).collect()}
+    for r in every:
+        if r.text and any(c.isalpha() for c in r.text):
+            own = plain_ranking(plain_grams(r.text))
+            far = {lang: sum(abs(p[g] - i) if g in p else language_id.TOP for i, g in enumerate(own)) for lang, p in places.items()}
+            one, two = sorted(far.values())[:2]
+            assert (got[r.doc_id].lang_pred, round(got[r.doc_id].score, 9)) == (min(far, key=lambda x: (far[x], x)), round(two / (one + two), 9))
+
+
+def test_risk_gradients_and_scores_match_plain_python(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    words = np.sort(rng.choice(10_000, 6, replace=False)).astype(np.int64)
+    sets = [np.sort(rng.choice(words, rng.integers(0, 5), replace=False)) for _ in range(40)]
+    positives, unlabelled, prior = sets[:12], sets[12:], 0.3
+
+    def risk(theta, bias):
+        g = lambda own: bias + sum(theta[list(words).index(w)] for w in own)
+        soft = lambda x: np.logaddexp(0, x)
+        toxic = np.mean([soft(-g(s)) for s in positives])
+        negative = np.mean([soft(g(s)) for s in unlabelled]) - prior * np.mean([soft(g(s)) for s in positives])
+        return prior * toxic, negative, 0.5 * toxicity._DECAY * float(theta @ theta)
+
+    seen = []
+    fit_sigmoid = toxicity._sigmoid
+    monkeypatch.setattr(toxicity, "_sigmoid", lambda x: seen.append(x.copy()) or fit_sigmoid(x))
+    monkeypatch.setattr(toxicity, "_EPOCHS", 1)
+    one = toxicity.fit(words, positives, unlabelled, prior)
+    theta, bias, step = np.zeros(len(words)), float(np.log(prior / (1 - prior))), 1e-6
+    whole = lambda t, b: sum(risk(t, b)) if risk(t, b)[1] >= 0 else -risk(t, b)[1] + risk(t, b)[2]
+    slopes = [(whole(theta + step * e, bias) - whole(theta - step * e, bias)) / (2 * step) for e in np.eye(len(words))]
+    slopes.append((whole(theta, bias + step) - whole(theta, bias - step)) / (2 * step))
+    moved = np.append(one.weights, one.bias - bias)
+    # Adam's first step moves every weight by its rate against the sign of its slope
+    sure = np.abs(slopes) > 1e-5
+    assert np.allclose(moved[sure], -toxicity._RATE * np.sign(np.array(slopes)[sure]), atol=1e-3)
+
+    monkeypatch.undo()
+    texts = ["vile words viler vilest", "plain", "", None, "vile " * 3000]
+    chunk = next(toxicity.tokens.words(pa.array(texts), toxicity.tokens.PLAIN))
+    owner, feature = toxicity.features(chunk)
+    some = np.unique(feature)[::2]
+    model = toxicity.Model(some, np.linspace(-1, 1, len(some)), 0.1, 2.0, -0.3)
+    by_hand = [1 / (1 + np.exp(-(2.0 * (0.1 + sum(model.weights[list(some).index(f)] for f in set(feature[owner == i].tolist()) & set(some.tolist()))) - 0.3))) for i in range(len(texts))]
+    assert np.allclose(toxicity._Scorer(model)(pa.array(texts)), by_hand)
+
+
 def test_empty_tables_give_empty_results(spark):
     none = table(spark, [])
     bench = spark.createDataFrame([], "item_id long, text string")
