@@ -3,53 +3,133 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meterlake.functions import exprs as E
 from meterlake.operators.ledger import with_completeness
-from meterlake.plans.fixtures import DUCK_ARRIVALS, DUCK_LEDGER, arrivals, ledger
-from meterlake.plans.oracles import _COMPLETE, _VALUES, HEAD
+from meterlake.plans.fixtures import DUCK_ARRIVALS, DUCK_LEDGER, OFFSET, arrivals, ledger
+from meterlake.plans.oracles import _COMPLETE, _ROLL, _VALUES, DAY, HEAD
+from meterlake.plans.queries import rounded
 from meterlake.streaming import streams
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    """A new folder where the cluster keeps checkpoints, so that every executor sees it."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """A new folder where the cluster keeps checkpoints, so that every executor sees it; of this machine only in a local session that sets none."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         import tempfile
 
         root = f"file://{tempfile.mkdtemp(prefix='spark-')}"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def _keyed_state(spark: SparkSession):
+    """Stateful processors keep their state in RocksDB."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All arrivals landed in four files, one a batch, then read again from the start: the replay changes nothing."""
+    """Four sets of arrivals, each ingested once it has landed, then all read again from the start: the replay changes nothing."""
     base = _folder(spark, "upsert")
     rows = arrivals(spark, sf_dir)
+    source = None
     for seq in range(4):
-        rows.where(F.col("seq") == seq).coalesce(1).write.mode("append").parquet(f"{base}/in")
-    source = streams.landed(spark, f"{base}/in", rows.schema, 1)
-    streams.ingest_stream(source, f"{base}/ledger", f"{base}/progress").awaitTermination()
+        rows.where(F.col("seq") == seq).write.mode("append").parquet(f"{base}/in")
+        source = streams.landed(spark, f"{base}/in", rows.schema)
+        streams.ingest_stream(source, f"{base}/ledger", f"{base}/progress").awaitTermination()
     streams.ingest_stream(source, f"{base}/ledger", f"{base}/again").awaitTermination()
     return with_completeness(streams.read_ledger(spark, f"{base}/ledger")).select("dedup_key", *_VALUES.split(", "), "completeness")
 
 
+def stream_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rollups that the ingest keeps for the days that its batches touch: the poor arrivals, then the full ones of some days."""
+    base = _folder(spark, "rollups")
+    rows = arrivals(spark, sf_dir)
+    some = (F.col("seq") == 1) & (E.day_index(F.col("ts_start"), OFFSET) % 3 == 0)
+    for wave in (F.col("seq") == 0, some):
+        rows.where(wave).write.mode("append").parquet(f"{base}/in")
+        source = streams.landed(spark, f"{base}/in", rows.schema)
+        streams.ingest_stream(source, f"{base}/ledger", f"{base}/progress", OFFSET, f"{base}/rollups").awaitTermination()
+    return rounded(streams.read_ledger(spark, f"{base}/rollups"))
+
+
 def stream_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Velocity windows over the whole table; the sink keeps the windows, which are as many as hours."""
     base = _folder(spark, "rates")
     rows = ledger(spark, sf_dir).select("ts_start", "input_tokens", "output_tokens", "cache_read_tokens", "unclassified_tokens", "cost_usd")
     rows.write.parquet(f"{base}/in")
     windows = streams.velocity_stream(streams.landed(spark, f"{base}/in", rows.schema), "3650 days", "1 hour", "1 hour")
-    name = f"rates_{uuid.uuid4().hex}"
-    query = windows.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{base}/progress").trigger(availableNow=True).start()
+    keep = lambda batch, batch_id: batch.write.mode("overwrite").parquet(f"{base}/out/{batch_id}")
+    query = windows.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{base}/progress").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name).withColumn("cost_usd", F.round("cost_usd", 8))
+    last = query.lastProgress.batchId
+    return spark.read.schema(windows.schema).parquet(f"{base}/out/{last}").withColumn("cost_usd", F.round("cost_usd", 8))
+
+
+def stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that arrive in any order, old ones and ones without a time last, some of them twice: each is let through once."""
+    base = _folder(spark, "late")
+    rows = ledger(spark, sf_dir).select("dedup_key", "event_id", "ts_start", "output_tokens")
+    late = F.when(F.col("ts_start").isNull(), 2).otherwise(1 - F.floor(F.col("event_id") / 500) % 2)
+    waves = [rows.where(late == 0), rows.where(late <= 1), rows]
+    for wave in waves:
+        wave.write.mode("append").parquet(f"{base}/in")
+        once = streams.without_repeats(streams.landed(spark, f"{base}/in", rows.schema))
+        once.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/progress").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{base}/out")
+
+
+def stream_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest point of each series after points have come in two waves, the newer first."""
+    base = _folder(spark, "metrics")
+    c = F.col
+    points = ledger(spark, sf_dir).where("ts_start IS NOT NULL").select(F.lit("tokens").alias("metric"), "session_id", c("app").alias("attr_sig"), c("ts_start").alias("ts_ms"), (c("ts_start") % 1_000_003).cast("double").alias("value"))
+    with _keyed_state(spark):
+        for newer in (True, False):
+            points.where((F.floor(c("ts_ms") / 3_600_000) % 3 == 0) == newer).write.mode("append").parquet(f"{base}/in")
+            changes = streams.metric_stream(streams.landed(spark, f"{base}/in", points.schema))
+            keep = lambda batch, batch_id: batch.write.mode("append").parquet(f"{base}/out")
+            changes.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{base}/progress").trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.schema(points.schema).parquet(f"{base}/out")
+    return out.groupBy("metric", "session_id", "attr_sig").agg(F.max("ts_ms").alias("ts_ms"), F.max_by("value", "ts_ms").alias("value"))
+
+
+def stream_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers with the time of the question before, where files grow between batches."""
+    base = _folder(spark, "parse")
+    c = F.col
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    lines = turns.select(F.concat(F.lit("/c/"), c("conv_id").cast("string")).alias("path"), c("turn").cast("long").alias("line_offset"), c("role").alias("kind"), (c("turn") * 1000 + 5).cast("long").alias("ts"))
+    with _keyed_state(spark):
+        for wave in (lines.where("line_offset < 3"), lines.where("line_offset >= 3")):
+            wave.write.mode("append").parquet(f"{base}/in")
+            parsed = streams.stateful_parse(streams.landed(spark, f"{base}/in", lines.schema))
+            parsed.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/progress").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("path", "line_offset", "ts", "asked")
 
 
-QUERIES = {"stream_upsert": stream_upsert, "stream_rates": stream_rates}
+QUERIES = {"stream_upsert": stream_upsert, "stream_rollups": stream_rollups, "stream_rates": stream_rates, "stream_late": stream_late, "stream_metrics": stream_metrics, "stream_parse": stream_parse}
 ORACLES = {
     "stream_upsert": f"""WITH {DUCK_ARRIVALS}, u AS (SELECT *, row_number() OVER (PARTITION BY dedup_key ORDER BY {_COMPLETE} DESC, seq DESC) AS k, {_COMPLETE} AS completeness FROM arrivals)
  SELECT dedup_key, {_VALUES}, completeness FROM u WHERE k = 1""",
     "stream_rates": f"""WITH {DUCK_LEDGER} SELECT (ts_start // 3600000 * 3600000)::BIGINT AS start_ms, (ts_start // 3600000 * 3600000 + 3600000)::BIGINT AS end_ms, COUNT(*) AS events,
  SUM({HEAD})::BIGINT AS tokens, ROUND(SUM(cost_usd), 8) AS cost_usd FROM ledger WHERE ts_start IS NOT NULL GROUP BY 1, 2""",
+    "stream_rollups": f"""WITH {DUCK_ARRIVALS}, u AS (SELECT *, row_number() OVER (PARTITION BY dedup_key ORDER BY {_COMPLETE} DESC, seq DESC) AS k FROM arrivals WHERE seq = 0 OR seq = 1 AND {DAY} % 3 = 0)
+ {_ROLL.replace('FROM ledger', 'FROM (SELECT * FROM u WHERE k = 1)')} GROUP BY 1, 2, 3, 4, 5""",
+    "stream_late": f"WITH {DUCK_LEDGER} SELECT dedup_key, event_id, ts_start, output_tokens FROM ledger",
+    "stream_metrics": f"WITH {DUCK_LEDGER} SELECT 'tokens' AS metric, session_id, app AS attr_sig, MAX(ts_start) AS ts_ms, (MAX(ts_start) % 1000003)::DOUBLE AS value FROM ledger WHERE ts_start IS NOT NULL GROUP BY 2, 3",
+    "stream_parse": """SELECT '/c/' || t.conv_id::VARCHAR AS path, t.turn::BIGINT AS line_offset, (t.turn * 1000 + 5)::BIGINT AS ts, (u.turn * 1000 + 5)::BIGINT AS asked FROM conversations t
+ ASOF LEFT JOIN (SELECT conv_id, turn FROM conversations WHERE role = 'user') u ON t.conv_id = u.conv_id AND t.turn >= u.turn WHERE t.role <> 'user'""",
 }

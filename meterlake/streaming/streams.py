@@ -31,49 +31,86 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return jpath.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(jpath)
 
 
-def _current(spark: SparkSession, sink: str) -> tuple[int, DataFrame | None]:
-    """The newest complete version of a ledger and its number."""
+def _versions(spark: SparkSession, sink: str) -> tuple[int, dict[int | None, int]]:
+    """The newest complete version of a ledger, and the version that each of its days was last written in."""
     versions = []
     if _exists(spark, sink):
         jpath = spark._jvm.org.apache.hadoop.fs.Path(sink)
         fs = jpath.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
         for status in fs.listStatus(jpath):
             name = status.getPath().getName()
-            if name.startswith("v") and _exists(spark, f"{sink}/{name}/_SUCCESS"):
-                versions.append(int(name[1:]))
+            if name.startswith("days") and _exists(spark, f"{sink}/{name}/_SUCCESS"):
+                versions.append(int(name[4:]))
     newest = max(versions, default=-1)
-    return newest, spark.read.parquet(f"{sink}/v{newest:08d}") if versions else None
+    # a row for each day: as many as the calendar has
+    return newest, {r.day: r.version for r in spark.read.parquet(f"{sink}/days{newest:08d}").collect()} if versions else {}
+
+
+def _read_days(spark: SparkSession, sink: str, days: dict[int | None, int]) -> DataFrame | None:
+    if not days:
+        return None
+    name = lambda day: "__HIVE_DEFAULT_PARTITION__" if day is None else day
+    return spark.read.parquet(*(f"{sink}/v{version:08d}/day={name(day)}" for day, version in sorted(days.items(), key=str)))
 
 
 def read_ledger(spark: SparkSession, sink: str) -> DataFrame:
-    table = _current(spark, sink)[1]
+    """The newest version of a ledger that merge_batch keeps, or of its rollups."""
+    table = _read_days(spark, sink, _versions(spark, sink)[1])
     if table is None:
         raise FileNotFoundError(sink)
     return table
 
 
+def _write_days(spark: SparkSession, sink: str, rows: DataFrame, touched: list[int | None]) -> DataFrame:
+    """The next version: ``rows`` in place of the touched days, all other days as they are."""
+    newest, days = _versions(spark, sink)
+    target = newest + 1
+    rows.hint("rebalance", "day").write.mode("overwrite").partitionBy("day").parquet(f"{sink}/v{target:08d}")
+    written = spark.read.parquet(f"{sink}/v{target:08d}")
+    now = {d: v for d, v in days.items() if d not in touched} | {r.day: target for r in written.select(F.col("day").cast("long")).distinct().collect()}
+    spark.createDataFrame(list(now.items()), "day long, version long").coalesce(1).write.mode("overwrite").parquet(f"{sink}/days{target:08d}")
+    # readers of the version before still find its days; what only older ones used goes
+    for version in set(range(max(0, newest - 20), newest)) - set(now.values()) - set(days.values()):
+        old = spark._jvm.org.apache.hadoop.fs.Path(f"{sink}/v{version:08d}")
+        old.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(old, True)
+    return written
+
+
 def merge_batch(sink: str, offset: str, rollup_sink: str | None = None, prepare: Callable[[DataFrame], DataFrame] | None = None) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch step: gate, price (``prepare``) and upsert a batch, partitioned by local day.
+    """A foreachBatch step: gate, price (``prepare``) and upsert a batch into a ledger kept by local day.
 
-    A batch is folded into the next version of the ledger, which readers take up once it is complete; the version that
-    it was made from stays readable meanwhile, older ones go. A batch that is run again finds its rows stored already.
+    Only the days that the batch's rows lie on, or lay on before, are read, folded and written, and only their rollups;
+    a list of days makes them the next version, which readers take up once it is complete. A batch that is run again finds
+    its rows stored already.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         rows = gate(prepare(batch) if prepare else batch)
-        newest, stored = _current(spark, sink)
-        target = f"v{newest + 1:08d}"
         if "seq" not in rows.columns:
             rows = rows.withColumn("seq", F.lit(0))
-        both = rows if stored is None else stored.drop("day").withColumn("seq", F.lit(-1)).unionByName(rows, allowMissingColumns=True)
-        merged = fold(both.drop("completeness")).drop("seq").withColumn("day", E.day_index(F.col("ts_start"), offset))
-        merged.write.mode("overwrite").partitionBy("day").parquet(f"{sink}/{target}")
-        if rollup_sink:
-            rollups(spark.read.parquet(f"{sink}/{target}"), offset).write.mode("overwrite").parquet(f"{rollup_sink}/{target}")
-        if newest > 0:
-            old = spark._jvm.org.apache.hadoop.fs.Path(f"{sink}/v{newest - 1:08d}")
-            old.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(old, True)
+        rows = rows.withColumn("day", E.day_index(F.col("ts_start"), offset)).persist()
+        try:
+            days = _versions(spark, sink)[1]
+            stored = _read_days(spark, sink, days)
+            touched = rows.select("day")
+            if stored is not None:
+                before = stored.join(rows.select("dedup_key").distinct(), "dedup_key", "left_semi")
+                touched = touched.unionByName(before.select(E.day_index(F.col("ts_start"), offset).alias("day")))
+            touched = [r.day for r in touched.distinct().collect()]  # calendar days
+            if not touched:
+                return
+            stored = _read_days(spark, sink, {d: v for d, v in days.items() if d in touched})
+            both = rows.drop("day")
+            both = both if stored is None else stored.withColumn("seq", F.lit(-1)).unionByName(both, allowMissingColumns=True)
+            merged = fold(both.drop("completeness")).drop("seq").withColumn("day", E.day_index(F.col("ts_start"), offset))
+            written = _write_days(spark, sink, merged, touched)
+            if rollup_sink:
+                sums = rollups(written.drop("day"), offset)
+                sums = sums if "day" in sums.columns else sums.withColumn("day", F.datediff(F.to_date("date"), F.lit("1970-01-01")).cast("long"))
+                _write_days(spark, rollup_sink, sums, touched)
+        finally:
+            rows.unpersist()
 
     return step
 
