@@ -10,8 +10,8 @@ Documents of equal sets are one node. In every bucket the node of smallest id is
 full sets in three rounds: each node with the hub it shares most buckets with, then with its other hubs, then with the
 other members of buckets that still hold several components. Pairs that components already join are never compared, so
 a large group costs a comparison or two for each member. Buckets that hold several components even so are compared
-block by block: a task gets two blocks of about BLOCK_SHINGLES shingles, takes only the pairs whose first common band is
-this bucket's, leaves out those that the links found in the task already join, and returns links, not pairs.
+block by block: a task gets two blocks of about BLOCK members, or fewer where these are long, takes only the pairs whose
+first common band is this bucket's, leaves out those that links of earlier members join, and returns links, not pairs.
 """
 
 from __future__ import annotations
@@ -34,8 +34,8 @@ COORDINATES = BANDS * ROWS
 PERCENT = 75
 #: Members compared with one copy of their hub's text.
 GROUP = 64
-#: Shingles of a mixed bucket's members that one task holds, as 64-bit numbers, of each of two blocks.
-BLOCK_SHINGLES = 1_000_000
+#: Members of a mixed bucket that one task holds of each of two blocks, and about how many shingles they have together.
+BLOCK, BLOCK_SHINGLES = 512, 1_000_000
 
 _ROUND, _VALUE = 10, 45
 _SEEDS = tokens.stream(77, 2 * COORDINATES)
@@ -169,7 +169,7 @@ def _crossed(group: pd.DataFrame) -> pd.DataFrame:
 
 def _blockwise(members: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """Links (a, b) between the members (key, node, n, c) of mixed buckets."""
-    sizes = members.groupBy("key").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("blocks"))
+    sizes = members.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
     block = F.pmod(F.xxhash64("node"), F.col("blocks"))
     dealt = members.join(sizes, "key").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "c")
