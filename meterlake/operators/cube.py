@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterlake.functions import exprs as E
-from meterlake.operators.metrics import activity_daily, by_app, by_model, densify, measures, scope, totals
+from meterlake.operators.metrics import activity_daily, by_app, by_model, daily_by_app, densify, measures, rate_windows, scope, totals, unpriced_models
+from meterlake.operators.quotas import latest_quotas
 from meterlake.schema import DAY_MS
 
 KEYS = ("day", "app", "model")
@@ -75,16 +76,31 @@ def heatmap(cube: DataFrame, anchor_ms: int, offset: str) -> DataFrame:
     return densify(sums, spine, ["day"]).withColumn("date", E.date_of(F.col("day"))).orderBy("day")
 
 
-def overview(df: DataFrame, cube: DataFrame, anchor_ms: int, offset: str, from_ms: int | None, to_ms: int | None, apps=None, models=None) -> dict[str, DataFrame]:
-    """The parts of the overview, from the cube where the bounds allow, else from the rows."""
+def overview(df: DataFrame, cube: DataFrame, anchor_ms: int, offset: str, from_ms: int | None, to_ms: int | None, apps=None, models=None, quotas: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The parts of the overview, from the cube where the bounds allow, else from the rows.
+
+    Besides the sums of the range, of today and of all: the heat map, 30 dense days up to today with their average,
+    models without a price, the rates of the last hours and, where they are given, the latest quotas by app.
+    """
     shift = E.offset_ms(offset)
     midnight = (anchor_ms + shift) // DAY_MS * DAY_MS - shift
     span = cube_scope(cube, offset, from_ms, to_ms, apps, models)
     today = cube_scope(cube, offset, midnight, midnight + DAY_MS, apps, models)
     every = cube_scope(cube, offset, None, None, apps, models)
     rows = scope(df, from_ms, to_ms, apps, models)
-    parts = {"today": roll(today), "all": roll(every), "heat": heatmap(every, anchor_ms, offset)}
+    filtered = scope(df, apps=apps, models=models)
+    last = (anchor_ms + shift) // DAY_MS
+    sums = roll(every.where(F.col("day").between(last - 29, last)), "day").select("day", E.headline_tokens().alias("tokens"), "cost_usd")
+    month = densify(sums, cube.sparkSession.range(last - 29, last + 1).select(F.col("id").cast("int").alias("day")), ["day"]).withColumn("date", E.date_of(F.col("day")))
+    parts = {
+        "today": roll(today), "all": roll(every), "heat": heatmap(every, anchor_ms, offset), "trend30": month.orderBy("day"), "average30": month.agg(F.avg("tokens").alias("tokens"), F.avg("cost_usd").alias("cost_usd")),
+        "unpriced": unpriced_models(filtered), "rates": rate_windows(filtered, anchor_ms),
+    }
+    if quotas is not None:
+        parts["quotas"] = latest_quotas(quotas).groupBy("app").agg(F.count("*").alias("n"), F.max("used_percent").alias("worst_pct")).orderBy("app")
     if span is None:
+        trend = daily_by_app(rows.where("ts_start IS NOT NULL"), offset)
+        parts["trend"] = trend.groupBy("date").agg(*(F.sum(c).alias(c) for c in trend.columns if c not in ("date", "app"))).orderBy("date")
         return parts | {"span": totals(rows), "by_app": by_app(rows), "by_model": by_model(rows), "activity": activity_daily(df, anchor_ms, offset)}
     dearest = lambda part, key: part.orderBy(F.desc("cost_usd"), key)
     return parts | {

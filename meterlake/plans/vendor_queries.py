@@ -5,9 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meterlake.functions import exprs as E
+from meterlake.functions import labels
+from meterlake.operators import cube as C
 from meterlake.operators import joins as J
 from meterlake.operators import ledger as L
-from meterlake.plans.fixtures import ANCHOR_MS, DUCK_LEDGER, DUCK_QUOTES, OFFSET, ledger, quotes
+from meterlake.operators import metrics as M
+from meterlake.operators import pricing as P
+from meterlake.operators import quotas as Q
+from meterlake.plans.fixtures import ANCHOR_MS, DUCK_LEDGER, DUCK_QUOTAS, DUCK_QUOTES, OFFSET, ledger, quotas, quotes
+from meterlake.plans.oracles import DAY, HEAD, MODEL
+from meterlake.plans.oracles import ORACLES as LEDGER_ORACLES
+from meterlake.plans.price_oracles import _VOTE, _canon
 from meterlake.plans.source_queries import _E, _NAME, _file, _iso, _j, _lines, _oracle, _shown
 from meterlake.sources import documents, feeds, logs, tables, telemetry
 
@@ -310,12 +319,69 @@ def repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.groupBy("app").agg(F.count("*").alias("events"), F.sum("output_tokens").alias("output_tokens"))
 
 
+def event_tps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger(spark, sf_dir).select("dedup_key", F.round(E.output_tps(), 6).alias("tps"))
+
+
+def shown_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names for searching, guarded cells, counts as they are shown, and display names of apps."""
+    rows, c = ledger(spark, sf_dir), F.col
+    odd = F.concat(F.element_at(F.array(*map(F.lit, ("=", "a,", 'b"', "Él-", "x "))), (c("event_id") % 5 + 1).cast("int")), "session_id")
+    size = c("input_tokens") * c("event_id") * c("event_id")
+    return rows.select(
+        "dedup_key", labels.shown(c("app"), labels.APP_NAMES).alias("app_name"), E.flatten(odd).alias("flat"), E.csv_guard(odd).alias("cell"), E.fmt_exact(size).alias("exact"), E.fmt_compact(size).alias("compact"),
+        E.file_path(F.concat(F.lit("file:///w/a%20b+"), "session_id")).alias("path"), E.fmt_duration(c("duration_ms")).alias("spent"),
+    )
+
+
+def quota_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quotas(spark, sf_dir)
+    return Q.append_quotas(rows.where("id % 3 <> 0"), rows.where("id % 3 = 0")).select("id", "app", "account", "window_kind", "captured_at")
+
+
+def quote_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.quote_groups(quotes(spark, sf_dir)).select("canon", "source", "model_id", "display")
+
+
+def price_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first page of the book, and of it the disputed models whose name has both words."""
+    page = P.price_rows(quotes(spark, sf_dir), 150)
+    return P.search_prices(page, "M, 1", True).select("canon", "display", "agree", "total", F.size("quotes").alias("quotes"))
+
+
+def range_presets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, zone, out = ledger(spark, sf_dir), "Asia/Shanghai", None
+    for key in ("today", "week", "month", "all", "custom"):
+        low, high = M.range_bounds(key, ANCHOR_MS, zone, ANCHOR_MS, ANCHOR_MS - 3_600_000)
+        one = M.event_count(M.scope(rows, low, high)).toDF("events").select(F.lit(key).alias("preset"), "events", F.lit(M.is_hourly(key, low, high, zone)).alias("hourly"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def overview_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the overview shows of the last week, one figure a row."""
+    rows = ledger(spark, sf_dir)
+    midnight = (ANCHOR_MS + 28_800_000) // 86_400_000 * 86_400_000 - 28_800_000
+    parts = C.overview(rows, C.build_cube(rows, OFFSET), ANCHOR_MS, OFFSET, midnight - 6 * 86_400_000, midnight + 86_400_000, quotas=quotas(spark, sf_dir))
+    figure = lambda part, name, value: parts[part].select(F.lit(part).alias("part"), name.cast("string").alias("name"), F.round(value.cast("double"), 6).alias("value"))
+    c, none = F.col, F.lit("")
+    shown = [
+        figure("today", none, c("events")), figure("all", none, c("events")), figure("span", none, E.headline_tokens()), figure("by_app", c("app"), c("cost_usd")), figure("by_model", c("model"), c("events")),
+        figure("trend", c("date"), E.headline_tokens()), figure("trend30", c("date"), c("tokens")), figure("average30", none, c("tokens")), figure("unpriced", c("name"), c("n")), figure("quotas", c("app"), c("n")),
+    ]
+    out = shown[0]
+    for one in shown[1:]:
+        out = out.unionByName(one)
+    return out
+
+
 QUERIES = {
     "normalize_codebuddy_cli": codebuddy_cli, "normalize_commandcode": commandcode, "normalize_qoder": qoder, "normalize_dsh": dsh, "normalize_zcode": zcode, "normalize_devin": devin,
     "normalize_freebuff": freebuff, "freebuff_spend": freebuff_spend, "context_fill": context_fill, "normalize_codebuddy_ide": codebuddy_ide, "normalize_cline_v3": cline_v3, "normalize_cline_v2": cline_v2,
     "normalize_kiro_cli": kiro_cli, "normalize_kiro_ide": kiro_ide, "normalize_kiro_v1": kiro_v1, "normalize_antigravity": antigravity, "sibling_models": sibling_models, "codex_limits": codex_limits,
     "codex_quota_response": codex_response, "cursor_quota_response": cursor_response, **FEEDS, "fx_rates": fx_rates, "csv_export": csv_export, "read_plan": read_plan, "ownership": ownership,
     "vanished_keys": vanished_keys, "currency": currency, "alias_names": alias_names, "active_ranges": active_ranges, "batch_report": batch_report, "repairs": repairs,
+    "event_tps": event_tps, "shown_names": shown_names, "quota_append": quota_append, "quote_groups": quote_groups, "price_search": price_search, "range_presets": range_presets, "overview_bundle": overview_bundle,
 }
 
 _LOG = "'rollout-' || " + _E
@@ -412,4 +478,28 @@ ORACLES = {
     "active_ranges": _led("""SELECT MIN(day) AS first_day, MAX(day) AS last_day FROM (SELECT day, day - row_number() OVER (ORDER BY day) AS island FROM (SELECT DISTINCT ts_start // 86400000 AS day FROM ledger WHERE ts_start IS NOT NULL AND event_id % 7 = 0) WHERE day % 5 <> 0) GROUP BY island"""),
     "batch_report": _led("SELECT app AS source, COUNT(*) FILTER (WHERE event_id % 2 = 0) AS ingested, COUNT(*) FILTER (WHERE event_id % 6 = 0) AS merged, COUNT(*) FILTER (WHERE event_id % 5 = 0) AS skipped FROM ledger GROUP BY 1"),
     "repairs": _led("SELECT app, COUNT(*) AS events, SUM(output_tokens + CASE WHEN app = 'codex' THEN reasoning_tokens ELSE 0 END)::BIGINT AS output_tokens FROM ledger WHERE app <> 'cursor' AND event_id % 10 >= 2 GROUP BY 1"),
+    "event_tps": _led(f"SELECT dedup_key, ROUND({_CSV_TPS.replace('output_tokens * 8', 'output_tokens').replace('THEN 1000 WHEN', 'THEN duration_ms WHEN')}, 6) AS tps FROM ledger"),
+    "shown_names": _led(f"""SELECT dedup_key, CASE app WHEN 'claude' THEN 'Claude' WHEN 'codex' THEN 'Codex' WHEN 'cursor' THEN 'Cursor' WHEN 'opencode' THEN 'OpenCode' WHEN 'zcode' THEN 'ZCode' END AS app_name,
+ lower(regexp_replace(odd, '[^\\p{{L}}\\p{{N}}]', '', 'g')) AS flat, CASE event_id % 5 WHEN 0 THEN '"''=' || session_id || '"' WHEN 1 THEN '"a,' || session_id || '"' WHEN 2 THEN '"b""' || session_id || '"' ELSE odd END AS cell,
+ format('{{:,}}', size) AS exact, CASE WHEN size < 1000 THEN size::VARCHAR WHEN size < 1000000 THEN regexp_replace(printf('%.1f', size / 1e3), '\\.0$', '') || 'K' WHEN size < 1000000000 THEN regexp_replace(printf('%.1f', size / 1e6), '\\.0$', '') || 'M'
+ ELSE regexp_replace(format('{{:,.1f}}', size / 1e9), '\\.0$', '') || 'B' END AS compact, '/w/a b+' || session_id AS path, CASE WHEN duration_ms >= 60000 THEN NULL ELSE (duration_ms // 1000)::VARCHAR || 's' END AS spent
+ FROM (SELECT *, CASE event_id % 5 WHEN 0 THEN '=' WHEN 1 THEN 'a,' WHEN 2 THEN 'b"' WHEN 3 THEN 'Él-' ELSE 'x ' END || session_id AS odd, input_tokens * event_id * event_id AS size FROM ledger)"""),
+    "quota_append": f"""WITH {DUCK_QUOTAS}, s AS (SELECT *, row_number() OVER (PARTITION BY app, account, window_kind ORDER BY captured_at DESC, id DESC) AS k FROM quotas WHERE id % 3 <> 0),
+ b AS (SELECT * EXCLUDE (k), FALSE AS new FROM s WHERE k = 1 UNION ALL SELECT *, TRUE FROM quotas WHERE id % 3 = 0),
+ l AS (SELECT *, row_number() OVER w AS n, lag(used) OVER w AS u, lag(used_percent) OVER w AS p, lag(resets_at) OVER w AS r FROM b WINDOW w AS (PARTITION BY app, account, window_kind ORDER BY captured_at, id))
+ SELECT id, app, account, window_kind, captured_at FROM l WHERE new AND (n = 1 OR used IS DISTINCT FROM u OR used_percent IS DISTINCT FROM p OR resets_at IS DISTINCT FROM r)""",
+    "quote_groups": f"""WITH {DUCK_QUOTES}, q AS (SELECT {_canon('model_id')} AS canon, source, model_id FROM quotes), d AS (SELECT canon, model_id AS display, row_number() OVER (PARTITION BY canon ORDER BY COUNT(*) DESC, model_id) AS k FROM q GROUP BY 1, 2)
+ SELECT canon, source, model_id, display FROM q JOIN d USING (canon) WHERE k = 1""",
+    "price_search": f"""WITH RECURSIVE {_VOTE}, d AS (SELECT canon, model_id AS display, row_number() OVER (PARTITION BY canon ORDER BY COUNT(*) DESC, model_id) AS k FROM q GROUP BY 1, 2),
+ a AS (SELECT canon, COUNT(*) FILTER (WHERE stance = 'Agrees') AS agree, COUNT(*) FILTER (WHERE stance IN ('Agrees', 'Dissents')) AS total, COUNT(*)::INT AS quotes FROM st GROUP BY 1)
+ SELECT * FROM (SELECT canon, display, agree, total, quotes FROM a JOIN d USING (canon) WHERE k = 1 ORDER BY display LIMIT 150) WHERE agree < total AND display LIKE '%m%' AND display LIKE '%1%'""",
+    "range_presets": _led(f"""SELECT preset, COUNT(event_id) AS events, preset IN ('today', 'custom') AS hourly FROM (VALUES ('today', 0), ('week', 6), ('month', 29), ('all', NULL), ('custom', NULL)) AS k(preset, back)
+ LEFT JOIN ledger ON preset = 'all' OR preset = 'custom' AND ts_start >= {ANCHOR_MS - 3_600_000} AND ts_start < {ANCHOR_MS} OR {DAY} BETWEEN {(ANCHOR_MS + 28_800_000) // 86_400_000} - back AND {(ANCHOR_MS + 28_800_000) // 86_400_000} GROUP BY 1"""),
+    "overview_bundle": f"""WITH {DUCK_LEDGER}, {DUCK_QUOTAS}, r AS (SELECT *, {DAY} AS day, {HEAD} AS tokens, {MODEL} AS shown FROM ledger), t AS (SELECT {(ANCHOR_MS + 28_800_000) // 86_400_000} AS today),
+ w AS (SELECT * FROM r, t WHERE day BETWEEN today - 6 AND today), m AS (SELECT d.day, COALESCE(SUM(tokens), 0) AS tokens FROM (SELECT unnest(range(today - 29, today + 1)) AS day FROM t) d LEFT JOIN r USING (day) GROUP BY 1)
+ SELECT 'today' AS part, '' AS name, COUNT(*)::DOUBLE AS value FROM r, t WHERE day = today UNION ALL SELECT 'all', '', COUNT(*) FROM r UNION ALL SELECT 'span', '', SUM(tokens) FROM w
+ UNION ALL SELECT 'by_app', app, ROUND(SUM(cost_usd), 6) FROM w GROUP BY 2 UNION ALL SELECT 'by_model', shown, COUNT(*) FROM w GROUP BY 2 UNION ALL SELECT 'trend', strftime(DATE '1970-01-01' + day::INT, '%Y-%m-%d'), SUM(tokens) FROM w GROUP BY 2
+ UNION ALL SELECT 'trend30', strftime(DATE '1970-01-01' + day::INT, '%Y-%m-%d'), tokens FROM m UNION ALL SELECT 'average30', '', ROUND(AVG(tokens), 6) FROM m
+ UNION ALL SELECT 'unpriced', name, n FROM (UNPRICED) UNION ALL SELECT 'quotas', app, COUNT(*) FROM (SELECT DISTINCT app, account, window_kind FROM quotas) GROUP BY 2""",
 }
+ORACLES["overview_bundle"] = ORACLES["overview_bundle"].replace("UNPRICED", LEDGER_ORACLES["unpriced_models"].split(f"WITH {DUCK_LEDGER}", 1)[1])
