@@ -20,13 +20,14 @@ from meterlake.plans.price_oracles import _VOTE, _canon
 from meterlake.plans.source_queries import _E, _NAME, _file, _iso, _j, _lines, _oracle, _shown
 from meterlake.sources import documents, feeds, logs, tables, telemetry
 
-_BAD = F.lit('{"type": "assistant", "message": {broken')
+def _bad() -> Column:
+    return F.lit('{"type": "assistant", "message": {broken')
 
 
 def _raw(df: DataFrame, path: Column, *lines: Column) -> DataFrame:
     """Like _lines, with a line that is no JSON at the end of each file."""
     good = _lines(df, path, *lines)
-    return good.unionByName(df.select(path.alias("path"), F.lit(9000).cast("long").alias("line_offset"), _BAD.alias("line")))
+    return good.unionByName(df.select(path.alias("path"), F.lit(9000).cast("long").alias("line_offset"), _bad().alias("line")))
 
 
 def _id(prefix: str) -> Column:
@@ -145,7 +146,7 @@ def kiro_cli(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, c = ledger(spark, sf_dir), F.col
     turn = _j(metering_usage=F.array(_j(unit=F.lit("credit"), value=c("credits"))), input_token_count=c("input_tokens"), output_token_count=c("output_tokens"), cache_read_input_token_count=c("cache_read_tokens"), message_ids=F.array(_id("m")), turn_duration=_j(secs=F.lit(3), nanos=F.lit(0)), end_timestamp=c("ts_start"), model=c("model"))
     doc = _j(session_id=c("session_id"), cwd=F.lit("/k"), session_state=_j(conversation_metadata=_j(user_turn_metadatas=F.array(turn))))
-    made = rows.select(_id("/k/").alias("path"), F.to_json(doc).alias("doc")).unionByName(rows.select(_id("/bad/").alias("path"), _BAD.alias("doc")))
+    made = rows.select(_id("/k/").alias("path"), F.to_json(doc).alias("doc")).unionByName(rows.select(_id("/bad/").alias("path"), _bad().alias("doc")))
     return _shown(documents.normalize_kiro_cli(made))
 
 
@@ -164,7 +165,7 @@ def kiro_ide(spark: SparkSession, sf_dir: str) -> DataFrame:
 def kiro_v1(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, c = ledger(spark, sf_dir), F.col
     doc = _j(executionId=_even(_id("e")), id=_id("i"), sessionId=c("session_id"), modelName=c("model"), startTime=c("ts_start"), endTime=c("ts_end"), usageSummary=F.array(_j(usage=c("credits")), _j(usage=F.lit(-1.0))))
-    made = rows.select(_id("/v1/").alias("path"), F.to_json(doc).alias("doc")).unionByName(rows.select(_id("/bad/").alias("path"), _BAD.alias("doc")))
+    made = rows.select(_id("/v1/").alias("path"), F.to_json(doc).alias("doc")).unionByName(rows.select(_id("/bad/").alias("path"), _bad().alias("doc")))
     return _shown(documents.normalize_kiro_v1(made))
 
 
@@ -219,7 +220,7 @@ def _feed(parse, doc):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         c = F.col
         rows = quotes(spark, sf_dir).withColumn("id", F.concat("source", F.lit("-"), "model_id"))
-        made = rows.select(F.to_json(doc(c)).alias("doc")).unionByName(rows.limit(1).select(_BAD.alias("doc")))  # one document is no JSON
+        made = rows.select(F.to_json(doc(c)).alias("doc")).unionByName(rows.limit(1).select(_bad().alias("doc")))  # one document is no JSON
         out = parse(made, ANCHOR_MS)
         return out.select("source", "model_id", *(F.round(x, 6).alias(x) for x in ("input", "output", "cache_read")), "fetched_at")
 
