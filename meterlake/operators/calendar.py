@@ -65,8 +65,8 @@ def receipt(df: DataFrame, lines: int = 6) -> DataFrame:
 
 def pie_slices(shares: DataFrame, value: str = "tokens") -> DataFrame:
     """Shares of at least a ten-thousandth of the whole, largest first."""
-    whole = F.sum(value).over(Window.partitionBy())
-    out = shares.withColumn("percentage", F.col(value) / whole * 100)
+    whole = shares.agg(F.sum(value).alias("_whole"))
+    out = shares.crossJoin(F.broadcast(whole)).withColumn("percentage", F.col(value) / F.col("_whole") * 100).drop("_whole")  # one row
     return out.where((F.col(value) > 0.0001) & (F.col("percentage") >= 0.01)).orderBy(F.desc(value))
 
 
@@ -76,9 +76,10 @@ def top_k(df: DataFrame, value: str, name: str, k: int) -> DataFrame:
 
 def top_k_others(df: DataFrame, name: str, value: str, k: int = 4) -> DataFrame:
     """The ``k`` largest and the sum of the rest as 'others'; what is not above 0 is left out. ``df`` has a row a name."""
-    rank = F.row_number().over(Window.orderBy(F.desc(value), name))
-    kept = df.where(F.col(value) > 0).withColumn("rank", rank)
-    label = F.when(F.col("rank") <= k, F.col(name)).otherwise("others")
+    kept = df.where(F.col(value) > 0)
+    best = top_k(kept, value, name, k).select(F.col(name).alias("_best"), F.lit(True).alias("_is_best"))
+    kept = kept.join(F.broadcast(best), F.col(name).eqNullSafe(F.col("_best")), "left")  # k rows
+    label = F.when(F.col("_is_best"), F.col(name)).otherwise("others")
     return kept.groupBy(label.alias(name)).agg(F.sum(value).alias(value)).where(F.col(value) > 0)
 
 
