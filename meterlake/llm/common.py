@@ -45,13 +45,15 @@ def spread_join(left: DataFrame, right: DataFrame, keys: list[str], count: str,
     """``left`` joined with ``right``, whose rows are unique by ``keys`` and say in ``count`` how many of left's rows they meet.
 
     Keys of many rows are split by the hash ``by`` into parts that go to different tasks. A key is split that holds more
-    than HOT_ROWS rows and more than one in MAX_HOT_KEYS of all, so the keys that are broadcast have that bound.
+    than HOT_ROWS rows and more than one in MAX_HOT_KEYS of all, so the keys that are broadcast have that bound. Rows of
+    null keys meet nothing and are spread as well.
     """
     total = right.agg(F.sum(count)).first()[0] or 0
     limit = max(HOT_ROWS, total // MAX_HOT_KEYS)
     parts = F.ceil(F.col(count) / limit).cast("long")
     hot = right.where(F.col(count) > limit).select(*keys, parts.alias("_parts"))
-    dealt = left.join(F.broadcast(hot), keys, "left").withColumn("_part", F.pmod(by, F.coalesce("_parts", F.lit(1)))).drop("_parts")
+    none = F.when(F.concat_ws("", *(F.when(F.col(k).isNull(), "x") for k in keys)) != "", F.lit(1024))
+    dealt = left.join(F.broadcast(hot), keys, "left").withColumn("_part", F.pmod(by, F.coalesce(none, "_parts", F.lit(1)))).drop("_parts")
     return dealt.join(right.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))), [*keys, "_part"], how).drop("_part")
 
 
