@@ -79,4 +79,31 @@ v AS (SELECT page_id, host, path, {_OP10_WEIGHT} AS weight, CASE
   WHEN ('.' || host) LIKE '%.com' AND path LIKE '/%' THEN 'com/' END AS rule FROM u)
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
   WHEN weight >= 2 THEN 'block' ELSE 'allow' END AS verdict FROM v""",
+    "op12_hard_negatives": r"""
+WITH e AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+  list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (SELECT a.r AS a, a.vec_id AS anchor_id, b.r AS b, b.vec_id, a.label = b.label AS same, list_inner_product(a.q, b.q)::BIGINT AS score
+  FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.r <> b.r),
+p AS (SELECT a, anchor_id, b, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.a, p.b ORDER BY score DESC, vec_id)::INT AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON p.a = s.a AND NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY row_number() OVER (PARTITION BY p.a, p.b ORDER BY score DESC, vec_id) <= 5""",
+    # the checksum bit by bit, from its polynomial
+    "op13_prefix_trie": r"""
+WITH t AS MATERIALIZED (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos, {'r': coalesce(role, ''), 't': coalesce(text, '')} AS x
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, xor(list_reduce(list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT), lambda s, x: list_reduce([0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[],
+  lambda v, z: xor(v >> 1, 3988292384 * (v & 1)), xor(s, x)), 4294967295), 4294967295) % 9 AS h FROM t GROUP BY conv_id),
+w AS (SELECT c.conv_id, 0 AS part, pos, x FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 5 AND pos <= h
+  UNION ALL SELECT c.conv_id, 1, pos, x FROM c JOIN t ON t.conv_id = c.conv_id AND pos > h),
+v AS MATERIALIZED (SELECT conv_id, coalesce(list(x ORDER BY part, pos) FILTER (x IS NOT NULL), []) AS xs FROM c LEFT JOIN w USING (conv_id) GROUP BY conv_id),
+n AS MATERIALIZED (SELECT xs[:d] AS path, d AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+  coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len(xs) = d), '') AS ends FROM v, unnest(range(0, len(xs) + 1)) AS u(d) GROUP BY ALL),
+k AS MATERIALIZED (SELECT n.*, (SELECT count(*) FROM n m WHERE m.depth = n.depth + 1 AND m.path[:n.depth] = n.path) AS n_children FROM n),
+b AS (SELECT m.path[:d] AS path, sum((m.n_children = 0)::INT) AS n_leaves, sum((m.n_convs - 1) * CASE WHEN m.depth > 0 THEN strlen(m.path[m.depth].t) ELSE 0 END) AS saved
+  FROM k m, unnest(range(0, m.depth + 1)) AS u(d) GROUP BY 1)
+SELECT k.conv_id, k.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, k.n_convs, k.n_children, b.n_leaves::BIGINT AS n_leaves, b.saved::BIGINT AS saved_tokens, sha256(k.ends) AS ends_sha256
+FROM k JOIN b USING (path) LEFT JOIN n p ON p.depth = k.depth - 1 AND p.path = k.path[:k.depth - 1] AND k.depth > 0""",
 }

@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterlake.llm import decontamination, fingerprints, html_text, language_id, license_scan, mixing, near_dedup, substring_dedup, toxicity, url_filter
+from meterlake.llm import (
+    decontamination,
+    fingerprints,
+    hard_negatives,
+    html_text,
+    language_id,
+    license_scan,
+    mixing,
+    near_dedup,
+    packing,
+    prefix_trie,
+    substring_dedup,
+    toxicity,
+    url_filter,
+)
 from meterlake.llm.common import table
 from meterlake.llm.oracles import ORACLES  # noqa: F401  read by __spark_entry__
 
@@ -60,6 +74,25 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def word_bpe() -> str:
+    """The tokenizer's file, wherever a task finds it."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), word_bpe, size=2048)
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.build_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_html_text": op1_html_text,
     "op2_near_duplicates": op2_near_duplicates,
@@ -71,4 +104,7 @@ QUERIES = {
     "op8_fingerprints": op8_fingerprints,
     "op9_decontamination": op9_decontamination,
     "op10_url_filter": op10_url_filter,
+    "op11_best_fit_packing": op11_best_fit_packing,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_prefix_trie": op13_prefix_trie,
 }
