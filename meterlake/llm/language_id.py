@@ -60,15 +60,17 @@ def ranking(found: np.ndarray, counts: np.ndarray) -> np.ndarray:
 def learn_profiles(docs: DataFrame) -> dict[str, np.ndarray]:
     """The ranking of each language's n-grams over a sample of its labelled rows that are not held out.
 
-    TOP numbers a language reach the driver; more than MOST_LANGS languages are refused.
+    Rows are drawn by id and text, and each language's row of smallest hash is, so that none is lost however its rows
+    repeat. TOP numbers a language reach the driver; more than MOST_LANGS languages are refused.
     """
     known = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"))
     known = known.where("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL").where(fold(F.col("doc_id")) != 2)
-    sizes = known.groupBy("lang").count()
+    known = known.withColumn("draw", F.xxhash64("doc_id", "text"))
+    sizes = known.groupBy("lang").agg(F.count("*").alias("count"), F.min(F.when(F.col("text").rlike(r"\p{L}"), F.col("draw"))).alias("least"))
     if sizes.limit(MOST_LANGS + 1).count() > MOST_LANGS:
         raise ValueError(f"more than {MOST_LANGS} languages")
     rate = F.greatest(F.ceil(F.col("count") / MAX_DOCS), F.lit(1))
-    sample = known.join(F.broadcast(sizes), "lang").where(F.pmod(F.xxhash64("doc_id"), rate) == 0).select("lang", "text")
+    sample = known.join(F.broadcast(sizes), "lang").where((F.pmod("draw", rate) == 0) | (F.col("draw") == F.col("least"))).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

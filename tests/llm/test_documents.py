@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import struct
+import zlib
 from collections import Counter
 
 import pytest
@@ -343,8 +344,7 @@ def fingerprints_by_hand(texts):
     sketches = {}
     for t in set(texts):
         own, keys = words(t), []
-        sampled = [i for i in range(max(1, len(own) - 4)) if len(own) <= fingerprints.SAMPLED or own[i] % fingerprints.SAMPLE == 0]
-        shingles = [xx(own[i : i + 5]) for i in sampled] if own else []
+        shingles = [xx(own[i : i + 5]) for i in range(max(1, len(own) - 4))] if own else []
         for band in range(fingerprints.BANDS):
             rows = {}
             for h in shingles:
@@ -425,6 +425,21 @@ def test_large_groups_of_near_copies_keep_like_fingerprints(spark, own_words):
     assert sum(r.near_edited > r.near_next for r in alone) > 0.9 * len(alone)
 
 
+def test_near_copies_of_any_length_share_bands(spark):
+    """A text and its edits by one word, added or replaced, at lengths from 100 to 300."""
+    rng = random.Random(9)
+    made = []
+    for n in [*range(100, 301, 10), 127, 128, 129, 255, 256, 257]:
+        own = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        made += [" ".join(own), " ".join([*own, "added"]), " ".join([*own[: n // 2], "edited", *own[n // 2 + 1 :]])]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(made)], "i int, text string")
+    keys = [set(r.keys) for r in rows.select("i", fingerprints._buckets(fingerprints._words(F.col("text"))).alias("keys")).orderBy("i").collect()]
+    shared = [len(keys[i] & keys[i + k]) for i in range(0, len(keys), 3) for k in (1, 2)]
+    assert min(shared) >= 3 and sum(shared) / len(shared) > 6
+    heads = fingerprints.differing(fingerprints.Scratch(spark, "test"), rows.select("text")).count()
+    assert heads <= len(made) / 3 * 1.1
+
+
 def test_groups_of_near_copies_are_counted_about_once(spark):
     rng = random.Random(8)
     base = [f"b{i}" for i in range(200)]
@@ -465,6 +480,18 @@ def test_toxicity_ranks_held_out_documents(spark):
     assert all(r.score < 0.01 for r in none)
 
 
+@pytest.mark.parametrize("n", [2000, 2001, 2500])
+def test_a_language_of_rows_under_one_id_is_learned(spark, n):
+    for doc_id in (i for i in range(20) if zlib.crc32(str(i).encode()) % 4 != 2):
+        rows = [(doc_id, f"le texte numéro {i} est écrit en français" if doc_id % 2 else "toujours la même chose", "fr") for i in range(n)]
+        rows += [(i, "the text is written in English", "en") for i in range(30)]
+        docs = table(spark, rows)
+        profiles = language_id.learn_profiles(docs)
+        assert set(profiles) == {"en", "fr"} and len(profiles["fr"]) > 10
+        if doc_id >= 4:
+            break
+
+
 def test_toxicity_samples_are_bounded_in_rows(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "MAX_UNLABELLED", 20)
     monkeypatch.setattr(toxicity, "MAX_POSITIVES", 15)
