@@ -16,7 +16,7 @@ from meterlake.plans.queries import rounded
 from meterlake.streaming import streams
 
 
-def _folder(spark: SparkSession, name: str) -> str:
+def new_folder(spark: SparkSession, name: str) -> str:
     """A new folder where the cluster keeps checkpoints, so that every executor sees it; of this machine only in a local session that sets none."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
@@ -42,7 +42,7 @@ def _keyed_state(spark: SparkSession):
 
 def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four sets of arrivals, each ingested once it has landed, then all read again from the start: the replay changes nothing."""
-    base = _folder(spark, "upsert")
+    base = new_folder(spark, "upsert")
     rows = arrivals(spark, sf_dir)
     source = None
     for seq in range(4):
@@ -55,7 +55,7 @@ def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rollups that the ingest keeps for the days that its batches touch: the poor arrivals, then the full ones of some days."""
-    base = _folder(spark, "rollups")
+    base = new_folder(spark, "rollups")
     rows = arrivals(spark, sf_dir)
     some = (F.col("seq") == 1) & (E.day_index(F.col("ts_start"), OFFSET) % 3 == 0)
     for wave in (F.col("seq") == 0, some):
@@ -67,7 +67,7 @@ def stream_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Velocity windows over the whole table; the sink keeps the windows, which are as many as hours."""
-    base = _folder(spark, "rates")
+    base = new_folder(spark, "rates")
     rows = ledger(spark, sf_dir).select("ts_start", "input_tokens", "output_tokens", "cache_read_tokens", "unclassified_tokens", "cost_usd")
     rows.write.parquet(f"{base}/in")
     windows = streams.velocity_stream(streams.landed(spark, f"{base}/in", rows.schema), "3650 days", "1 hour", "1 hour")
@@ -78,9 +78,51 @@ def stream_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(windows.schema).parquet(f"{base}/out/{last}").withColumn("cost_usd", F.round("cost_usd", 8))
 
 
+def stream_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows at three bounds of a batch's bytes; no batch of several files is above its bound."""
+    base = new_folder(spark, "bounded")
+    rows = ledger(spark, sf_dir).select("dedup_key", "output_tokens")
+    rows.repartition(12, "dedup_key").write.parquet(f"{base}/in")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(f"{base}/in").agg(F.max("length"), F.sum("length")).first()
+    out = None
+    for part, bound in enumerate((files[0] + 1, files[1] // 2, files[1] + 1)):
+        source = streams.landed(spark, f"{base}/in", rows.schema, max_bytes=bound).withColumns({"file": F.col("_metadata.file_path"), "size": F.col("_metadata.file_size")})
+
+        def keep(batch: DataFrame, batch_id: int, part: int = part) -> None:
+            batch.withColumn("batch", F.lit(batch_id)).write.mode("append").parquet(f"{base}/out/{part}")
+
+        query = source.writeStream.foreachBatch(keep).option("checkpointLocation", f"{base}/progress/{part}").trigger(availableNow=True).start()
+        query.awaitTermination()
+        got = spark.read.parquet(f"{base}/out/{part}")
+        sums = got.select("batch", "file", "size").distinct().groupBy("batch").agg(F.sum("size").alias("bytes"))
+        largest, batches = sums.agg(F.max("bytes"), F.count("*")).first()
+        bounded = largest <= bound and batches == (1 if part == 2 else max(batches, 2))
+        got = got.agg(F.lit(part).alias("part"), F.count("*").alias("events"), F.countDistinct("dedup_key").alias("keys"), F.sum("output_tokens").alias("output_tokens")).withColumn("bounded", F.lit(bounded))
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+#: Events of two hours, made dense enough for sliding minutes; the first and the late half; and one far later, which closes all windows.
+_DENSE_MS, _FLUSH_MS = 7_200_000, 36_000_000
+
+
+def stream_velocity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums of 5, 15 and 60 minutes, sliding by one, in append mode; of the late rows those within the watermark count."""
+    base = new_folder(spark, "velocity")
+    c = F.col
+    rows = ledger(spark, sf_dir).select("event_id", "input_tokens", "output_tokens", "cache_read_tokens", "unclassified_tokens", "cost_usd")
+    rows = rows.withColumn("ts_start", (c("event_id") * 977) % _DENSE_MS)
+    flush = rows.limit(1).withColumn("ts_start", F.lit(_FLUSH_MS).cast("long"))
+    for wave in (rows.where("event_id % 2 = 0"), rows.where("event_id % 2 = 1"), flush):
+        wave.write.mode("append").parquet(f"{base}/in")
+        windows = streams.velocities(streams.landed(spark, f"{base}/in", rows.schema))
+        windows.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/progress").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(windows.schema).parquet(f"{base}/out").withColumn("cost_usd", F.round("cost_usd", 8))
+
+
 def stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that arrive in any order, old ones and ones without a time last, some of them twice: each is let through once."""
-    base = _folder(spark, "late")
+    base = new_folder(spark, "late")
     rows = ledger(spark, sf_dir).select("dedup_key", "event_id", "ts_start", "output_tokens")
     late = F.when(F.col("ts_start").isNull(), 2).otherwise(1 - F.floor(F.col("event_id") / 500) % 2)
     waves = [rows.where(late == 0), rows.where(late <= 1), rows]
@@ -93,22 +135,22 @@ def stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The latest point of each series after points have come in two waves, the newer first."""
-    base = _folder(spark, "metrics")
+    base = new_folder(spark, "metrics")
     c = F.col
     points = ledger(spark, sf_dir).where("ts_start IS NOT NULL").select(F.lit("tokens").alias("metric"), "session_id", c("app").alias("attr_sig"), c("ts_start").alias("ts_ms"), (c("ts_start") % 1_000_003).cast("double").alias("value"))
     with _keyed_state(spark):
         for newer in (True, False):
             points.where((F.floor(c("ts_ms") / 3_600_000) % 3 == 0) == newer).write.mode("append").parquet(f"{base}/in")
             changes = streams.metric_stream(streams.landed(spark, f"{base}/in", points.schema))
-            keep = lambda batch, batch_id: batch.write.mode("append").parquet(f"{base}/out")
+            keep = lambda batch, batch_id: batch.withColumn("batch", F.lit(batch_id)).write.mode("append").parquet(f"{base}/out")
             changes.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{base}/progress").trigger(availableNow=True).start().awaitTermination()
-    out = spark.read.schema(points.schema).parquet(f"{base}/out")
-    return out.groupBy("metric", "session_id", "attr_sig").agg(F.max("ts_ms").alias("ts_ms"), F.max_by("value", "ts_ms").alias("value"))
+    out = spark.read.parquet(f"{base}/out")  # what was emitted last, whatever it says
+    return out.groupBy("metric", "session_id", "attr_sig").agg(F.max_by("ts_ms", "batch").alias("ts_ms"), F.max_by("value", "batch").alias("value"))
 
 
 def stream_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers with the time of the question before, where files grow between batches."""
-    base = _folder(spark, "parse")
+    base = new_folder(spark, "parse")
     c = F.col
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     lines = turns.select(F.concat(F.lit("/c/"), c("conv_id").cast("string")).alias("path"), c("turn").cast("long").alias("line_offset"), c("role").alias("kind"), (c("turn") * 1000 + 5).cast("long").alias("ts"))
@@ -120,12 +162,17 @@ def stream_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{base}/out").select("path", "line_offset", "ts", "asked")
 
 
-QUERIES = {"stream_upsert": stream_upsert, "stream_rollups": stream_rollups, "stream_rates": stream_rates, "stream_late": stream_late, "stream_metrics": stream_metrics, "stream_parse": stream_parse}
+QUERIES = {"stream_upsert": stream_upsert, "stream_rollups": stream_rollups, "stream_rates": stream_rates, "stream_late": stream_late, "stream_bounded": stream_bounded, "stream_velocity": stream_velocity, "stream_metrics": stream_metrics, "stream_parse": stream_parse}
 ORACLES = {
     "stream_upsert": f"""WITH {DUCK_ARRIVALS}, u AS (SELECT *, row_number() OVER (PARTITION BY dedup_key ORDER BY {_COMPLETE} DESC, seq DESC) AS k, {_COMPLETE} AS completeness FROM arrivals)
  SELECT dedup_key, {_VALUES}, completeness FROM u WHERE k = 1""",
     "stream_rates": f"""WITH {DUCK_LEDGER} SELECT (ts_start // 3600000 * 3600000)::BIGINT AS start_ms, (ts_start // 3600000 * 3600000 + 3600000)::BIGINT AS end_ms, COUNT(*) AS events,
  SUM({HEAD})::BIGINT AS tokens, ROUND(SUM(cost_usd), 8) AS cost_usd FROM ledger WHERE ts_start IS NOT NULL GROUP BY 1, 2""",
+    "stream_bounded": f"WITH {DUCK_LEDGER} SELECT part, COUNT(*) AS events, COUNT(DISTINCT dedup_key) AS keys, SUM(output_tokens)::BIGINT AS output_tokens, true AS bounded FROM ledger, (SELECT unnest([0, 1, 2])::INT AS part) GROUP BY part",
+    "stream_velocity": f"""WITH {DUCK_LEDGER}, r AS (SELECT *, (event_id * 977) % {_DENSE_MS} AS ts FROM ledger), w AS (SELECT max(ts) - 1800000 AS mark FROM r WHERE event_id % 2 = 0),
+ p AS (SELECT ts // 60000 AS minute, COUNT(*) AS events, SUM({HEAD})::BIGINT AS tokens, SUM(cost_usd) AS cost_usd FROM r, w WHERE event_id % 2 = 0 OR (ts // 60000 + 1) * 60000 > mark GROUP BY 1),
+ s AS (SELECT width, minute - back AS first, events, tokens, cost_usd FROM p, (SELECT unnest([5, 15, 60]) AS width), unnest(range(0, width)) AS u(back))
+ SELECT width::INT AS minutes, (first * 60000)::BIGINT AS start_ms, ((first + width) * 60000)::BIGINT AS end_ms, SUM(events)::BIGINT AS events, SUM(tokens)::BIGINT AS tokens, ROUND(SUM(cost_usd), 8) AS cost_usd FROM s GROUP BY 1, 2, 3""",
     "stream_rollups": f"""WITH {DUCK_ARRIVALS}, u AS (SELECT *, row_number() OVER (PARTITION BY dedup_key ORDER BY {_COMPLETE} DESC, seq DESC) AS k FROM arrivals WHERE seq = 0 OR seq = 1 AND {DAY} % 3 = 0)
  {_ROLL.replace('FROM ledger', 'FROM (SELECT * FROM u WHERE k = 1)')} GROUP BY 1, 2, 3, 4, 5""",
     "stream_late": f"WITH {DUCK_LEDGER} SELECT dedup_key, event_id, ts_start, output_tokens FROM ledger",

@@ -18,11 +18,12 @@ from meterlake.functions import exprs as E
 from meterlake.operators.ledger import fold, gate, rollups
 
 
-def landed(spark: SparkSession, path: str, schema: StructType, max_files: int | None = None) -> DataFrame:
-    """A stream of Parquet files that land in a folder, at most ``max_files`` a batch."""
+def landed(spark: SparkSession, path: str, schema: StructType, max_files: int | None = None, max_bytes: int | None = None) -> DataFrame:
+    """A stream of Parquet files that land in a folder, at most ``max_files``, or files of ``max_bytes`` together, a batch (a larger file alone)."""
     reader = spark.readStream.schema(schema)
-    if max_files:
-        reader = reader.option("maxFilesPerTrigger", max_files)
+    for name, value in (("maxFilesPerTrigger", max_files), ("maxBytesPerTrigger", max_bytes)):
+        if value:
+            reader = reader.option(name, value)
     return reader.parquet(path)
 
 
@@ -190,3 +191,19 @@ def velocity_stream(events: DataFrame, watermark: str = "30 minutes", width: str
     timed = events.where("ts_start IS NOT NULL").withColumn("event_time", F.timestamp_millis("ts_start")).withWatermark("event_time", watermark)
     out = timed.groupBy(F.window("event_time", width, slide)).agg(F.count("*").alias("events"), F.sum(E.headline_tokens()).alias("tokens"), F.sum("cost_usd").alias("cost_usd"))
     return out.select(F.unix_millis("window.start").alias("start_ms"), F.unix_millis("window.end").alias("end_ms"), "events", "tokens", "cost_usd")
+
+
+def velocities(events: DataFrame, watermark: str = "30 minutes", widths: tuple[int, ...] = (5, 15, 60)) -> DataFrame:
+    """Tokens, requests and cost of sliding windows of so many minutes, one row a window once it is closed.
+
+    Rows are summed by minute first, and windows are sums of minutes, so a row is kept in one state row and not in one for
+    each window that holds it. A row counts unless its minute ended before the watermark.
+    """
+    timed = events.where("ts_start IS NOT NULL").withColumn("event_time", F.timestamp_millis("ts_start")).withWatermark("event_time", watermark)
+    minutes = timed.groupBy(F.window("event_time", "1 minute")).agg(F.count("*").alias("events"), F.sum(E.headline_tokens()).alias("tokens"), F.sum("cost_usd").alias("cost_usd"))
+    out = None
+    for width in widths:
+        sums = minutes.groupBy(F.window(F.window_time("window"), f"{width} minutes", "1 minute")).agg(*(F.sum(k).alias(k) for k in ("events", "tokens", "cost_usd")))
+        sums = sums.select(F.lit(width).alias("minutes"), F.unix_millis("window.start").alias("start_ms"), F.unix_millis("window.end").alias("end_ms"), "events", "tokens", "cost_usd")
+        out = sums if out is None else out.unionByName(sums)
+    return out
