@@ -115,9 +115,14 @@ def stream_velocity(spark: SparkSession, sf_dir: str) -> DataFrame:
     flush = rows.limit(1).withColumn("ts_start", F.lit(_FLUSH_MS).cast("long"))
     for wave in (rows.where("event_id % 2 = 0"), rows.where("event_id % 2 = 1"), flush):
         wave.write.mode("append").parquet(f"{base}/in")
-        windows = streams.velocities(streams.landed(spark, f"{base}/in", rows.schema))
-        windows.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/progress").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(windows.schema).parquet(f"{base}/out").withColumn("cost_usd", F.round("cost_usd", 8))
+        running = []
+        for width in (5, 15, 60):
+            windows = streams.velocities(streams.landed(spark, f"{base}/in", rows.schema), width)
+            to = windows.writeStream.format("parquet").option("path", f"{base}/out/{width}").option("checkpointLocation", f"{base}/progress/{width}")
+            running.append(to.trigger(availableNow=True).start())
+        for query in running:
+            query.awaitTermination()
+    return spark.read.schema(windows.schema).parquet(*(f"{base}/out/{width}" for width in (5, 15, 60))).withColumn("cost_usd", F.round("cost_usd", 8))
 
 
 def stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:

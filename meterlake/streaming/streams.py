@@ -193,17 +193,14 @@ def velocity_stream(events: DataFrame, watermark: str = "30 minutes", width: str
     return out.select(F.unix_millis("window.start").alias("start_ms"), F.unix_millis("window.end").alias("end_ms"), "events", "tokens", "cost_usd")
 
 
-def velocities(events: DataFrame, watermark: str = "30 minutes", widths: tuple[int, ...] = (5, 15, 60)) -> DataFrame:
-    """Tokens, requests and cost of sliding windows of so many minutes, one row a window once it is closed.
+def velocities(events: DataFrame, width: int, watermark: str = "30 minutes") -> DataFrame:
+    """Tokens, requests and cost of windows of ``width`` minutes that slide by one, a row for each once it is closed.
 
     Rows are summed by minute first, and windows are sums of minutes, so a row is kept in one state row and not in one for
-    each window that holds it. A row counts unless its minute ended before the watermark.
+    each window that holds it. A row counts unless its minute ended before the watermark. Each width is a query of its own:
+    in a union of such chains only the first one's watermark advances.
     """
     timed = events.where("ts_start IS NOT NULL").withColumn("event_time", F.timestamp_millis("ts_start")).withWatermark("event_time", watermark)
     minutes = timed.groupBy(F.window("event_time", "1 minute")).agg(F.count("*").alias("events"), F.sum(E.headline_tokens()).alias("tokens"), F.sum("cost_usd").alias("cost_usd"))
-    out = None
-    for width in widths:
-        sums = minutes.groupBy(F.window(F.window_time("window"), f"{width} minutes", "1 minute")).agg(*(F.sum(k).alias(k) for k in ("events", "tokens", "cost_usd")))
-        sums = sums.select(F.lit(width).alias("minutes"), F.unix_millis("window.start").alias("start_ms"), F.unix_millis("window.end").alias("end_ms"), "events", "tokens", "cost_usd")
-        out = sums if out is None else out.unionByName(sums)
-    return out
+    sums = minutes.groupBy(F.window(F.window_time("window"), f"{width} minutes", "1 minute")).agg(*(F.sum(k).alias(k) for k in ("events", "tokens", "cost_usd")))
+    return sums.select(F.lit(width).alias("minutes"), F.unix_millis("window.start").alias("start_ms"), F.unix_millis("window.end").alias("end_ms"), "events", "tokens", "cost_usd")
