@@ -53,6 +53,22 @@ def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_completeness(streams.read_ledger(spark, f"{base}/ledger")).select("dedup_key", *_VALUES.split(", "), "completeness")
 
 
+def stream_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ledger after some of its rows have moved to other days, in one batch of many keys and one of a few; the index is compacted between."""
+    base = new_folder(spark, "moves")
+    rows = arrivals(spark, sf_dir).where("seq = 0")
+    moved = lambda wave, by: wave.withColumns({"ts_start": F.col("ts_start") + by * 86_400_000, "output_tokens": F.lit(1).cast("long"), "seq": F.lit(by)})
+    waves = (rows, moved(rows.where("event_id % 7 = 0"), 1), moved(rows.where("event_id % 700 = 0"), 3))
+    for n, wave in enumerate(waves):
+        wave.write.mode("append").parquet(f"{base}/in")
+        streams.ingest_stream(streams.landed(spark, f"{base}/in", rows.schema), f"{base}/ledger", f"{base}/progress", OFFSET, f"{base}/rollups").awaitTermination()
+        if n == 1:
+            streams.compact_keys(spark, f"{base}/ledger")
+    kept = streams.read_ledger(spark, f"{base}/ledger").groupBy(E.day_index(F.col("ts_start"), OFFSET).cast("long").alias("day")).agg(F.count("*").alias("events"), F.countDistinct("dedup_key").alias("keys"), F.sum("output_tokens").alias("output_tokens"))
+    sums = streams.read_ledger(spark, f"{base}/rollups").groupBy(F.datediff(F.to_date("date"), F.lit("1970-01-01")).cast("long").alias("day")).agg(F.sum("events").cast("long").alias("rolled"))
+    return kept.join(sums, "day", "left")
+
+
 def stream_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rollups that the ingest keeps for the days that its batches touch: the poor arrivals, then the full ones of some days."""
     base = new_folder(spark, "rollups")
@@ -167,12 +183,15 @@ def stream_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{base}/out").select("path", "line_offset", "ts", "asked")
 
 
-QUERIES = {"stream_upsert": stream_upsert, "stream_rollups": stream_rollups, "stream_rates": stream_rates, "stream_late": stream_late, "stream_bounded": stream_bounded, "stream_velocity": stream_velocity, "stream_metrics": stream_metrics, "stream_parse": stream_parse}
+QUERIES = {"stream_upsert": stream_upsert, "stream_rollups": stream_rollups, "stream_moves": stream_moves, "stream_rates": stream_rates, "stream_late": stream_late, "stream_bounded": stream_bounded, "stream_velocity": stream_velocity, "stream_metrics": stream_metrics, "stream_parse": stream_parse}
 ORACLES = {
     "stream_upsert": f"""WITH {DUCK_ARRIVALS}, u AS (SELECT *, row_number() OVER (PARTITION BY dedup_key ORDER BY {_COMPLETE} DESC, seq DESC) AS k, {_COMPLETE} AS completeness FROM arrivals)
  SELECT dedup_key, {_VALUES}, completeness FROM u WHERE k = 1""",
     "stream_rates": f"""WITH {DUCK_LEDGER} SELECT (ts_start // 3600000 * 3600000)::BIGINT AS start_ms, (ts_start // 3600000 * 3600000 + 3600000)::BIGINT AS end_ms, COUNT(*) AS events,
  SUM({HEAD})::BIGINT AS tokens, ROUND(SUM(cost_usd), 8) AS cost_usd FROM ledger WHERE ts_start IS NOT NULL GROUP BY 1, 2""",
+    "stream_moves": f"""WITH {DUCK_ARRIVALS}, m AS (SELECT dedup_key, CASE WHEN event_id % 7 = 0 THEN 1 ELSE output_tokens END AS output_tokens,
+ {DAY} + CASE WHEN event_id % 700 = 0 THEN 3 WHEN event_id % 7 = 0 THEN 1 ELSE 0 END AS d FROM arrivals WHERE seq = 0)
+ SELECT d::BIGINT AS day, COUNT(*) AS events, COUNT(DISTINCT dedup_key) AS keys, SUM(output_tokens)::BIGINT AS output_tokens, CASE WHEN d IS NOT NULL THEN COUNT(*) END::BIGINT AS rolled FROM m GROUP BY d""",
     "stream_bounded": f"WITH {DUCK_LEDGER} SELECT part, COUNT(*) AS events, COUNT(DISTINCT dedup_key) AS keys, SUM(output_tokens)::BIGINT AS output_tokens, true AS bounded FROM ledger, (SELECT unnest([0, 1, 2])::INT AS part) GROUP BY part",
     "stream_velocity": f"""WITH {DUCK_LEDGER}, r AS (SELECT *, (event_id * 977) % {_DENSE_MS} AS ts FROM ledger), w AS (SELECT max(ts) - 1800000 AS mark FROM r WHERE event_id % 2 = 0),
  p AS (SELECT ts // 60000 AS minute, COUNT(*) AS events, SUM({HEAD})::BIGINT AS tokens, SUM(cost_usd) AS cost_usd FROM r, w WHERE event_id % 2 = 0 OR (ts // 60000 + 1) * 60000 > mark GROUP BY 1),

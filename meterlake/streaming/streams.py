@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.types import StructType
@@ -77,10 +77,69 @@ def _write_days(spark: SparkSession, sink: str, rows: DataFrame, touched: list[i
     return written
 
 
+#: Parts of the key index.
+KEY_BUCKETS = 64
+
+
+def _key() -> Column:
+    return F.xxhash64("dedup_key")
+
+
+def _bucket() -> Column:
+    return F.pmod(_key(), F.lit(KEY_BUCKETS)).cast("int")
+
+
+def key_index(spark: SparkSession, sink: str, buckets: list[int]) -> DataFrame | None:
+    """(key, day) of some parts of the index: days on which a key lies, or lay once. Only these parts' files are read."""
+    if not _exists(spark, f"{sink}/keys"):
+        return None
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sink}/keys")
+    there = {x.getPath().getName() for x in path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).listStatus(path)}
+    parts = [f"{sink}/keys/{name}" for b in sorted(buckets) if (name := f"bucket={b}") in there]
+    return spark.read.schema("key long, day long").parquet(*parts) if parts else None
+
+
+def _index_keys(spark: SparkSession, sink: str, rows: DataFrame, offset: str) -> DataFrame:
+    """The days of the stored rows with the keys of ``rows``; then the index knows the days of ``rows`` as well.
+
+    The index is only added to, and before the ledger's next version: one that knows too much, from a hash that two keys
+    share or a batch that failed, costs a day that is read in vain. A ledger without an index gets one first.
+    """
+    if not _exists(spark, f"{sink}/keys"):
+        stored = _read_days(spark, sink, _versions(spark, sink)[1])
+        if stored is not None:
+            day = E.day_index(F.col("ts_start"), offset).cast("long").alias("day")
+            stored.select(_key().alias("key"), day, _bucket().alias("bucket")).repartition("bucket").write.partitionBy("bucket").parquet(f"{sink}/keys")
+    own = rows.select(_key().alias("key"), F.col("day").cast("long").alias("day"), _bucket().alias("bucket")).distinct()
+    buckets = [r.bucket for r in rows.select(_bucket().alias("bucket")).distinct().collect()]  # KEY_BUCKETS at most
+    known = key_index(spark, sink, buckets)
+    days = own.select("day").limit(0)
+    if known is not None:
+        days = known.join(own.select("key").distinct(), "key", "left_semi").select("day").distinct()
+        days = spark.createDataFrame(days.collect(), days.schema)  # calendar days, before the index changes
+        mine, other = F.struct(own["key"], own["day"]), F.struct(known["key"], known["day"])
+        own = own.join(known, mine.eqNullSafe(other), "left_anti")
+    own.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(f"{sink}/keys")
+    return days
+
+
+def compact_keys(spark: SparkSession, sink: str) -> None:
+    """Rewrite the index as one file a bucket, each key and day once: for a pause between batches, which leave a file a bucket each."""
+    path = f"{sink}/keys"
+    whole = spark.read.schema("key long, day long, bucket int").parquet(path).distinct().repartition("bucket")
+    whole.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}.new")
+    Path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = Path(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    fs.rename(Path(path), Path(f"{path}.old"))
+    fs.rename(Path(f"{path}.new"), Path(path))
+    fs.delete(Path(f"{path}.old"), True)
+
+
 def merge_batch(sink: str, offset: str, rollup_sink: str | None = None, prepare: Callable[[DataFrame], DataFrame] | None = None) -> Callable[[DataFrame, int], None]:
     """A foreachBatch step: gate, price (``prepare``) and upsert a batch into a ledger kept by local day.
 
     Only the days that the batch's rows lie on, or lay on before, are read, folded and written, and only their rollups;
+    an index of keys says which these are, of which a batch reads the parts that its keys fall into;
     a list of days makes them the next version, which readers take up once it is complete. A batch that is run again finds
     its rows stored already.
     """
@@ -93,11 +152,7 @@ def merge_batch(sink: str, offset: str, rollup_sink: str | None = None, prepare:
         rows = rows.withColumn("day", E.day_index(F.col("ts_start"), offset)).persist()
         try:
             days = _versions(spark, sink)[1]
-            stored = _read_days(spark, sink, days)
-            touched = rows.select("day")
-            if stored is not None:
-                before = stored.join(rows.select("dedup_key").distinct(), "dedup_key", "left_semi")
-                touched = touched.unionByName(before.select(E.day_index(F.col("ts_start"), offset).alias("day")))
+            touched = rows.select("day").unionByName(_index_keys(spark, sink, rows, offset))
             touched = [r.day for r in touched.distinct().collect()]  # calendar days
             if not touched:
                 return

@@ -1,6 +1,7 @@
 """Pinned examples and equivalences of the ledger operators."""
 
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -15,7 +16,8 @@ from meterlake.operators import pricing as P
 from meterlake.operators import quotas as Q
 from meterlake.plans.fixtures import ANCHOR_MS, OFFSET, arrivals, ledger
 from meterlake.schema import DAY_MS, LEDGER_SCHEMA
-from meterlake.sources import feeds, lines
+from meterlake.sources import feeds, lines, ranges
+from meterlake.streaming import streams
 
 SF = "/root/testdata/sf0.001"
 COUNTERS = [f.name for f in LEDGER_SCHEMA if f.name.endswith("_tokens")]
@@ -224,3 +226,84 @@ def test_streaks_join_consecutive_days(spark):
 def test_arrivals_have_the_expected_winners(spark):
     won = {r.seq: r["count"] for r in L.fold(arrivals(spark, "/root/testdata/sf0.01")).groupBy("seq").count().collect()}
     assert won == {0: 6666, 1: 2665, 2: 2, 3: 667}
+
+
+def test_a_batch_of_one_key_reads_its_part_of_the_index_and_its_days(spark, tmp_path, monkeypatch):
+    sink = f"file://{tmp_path}/ledger"
+    day = 86_400_000
+    schema = "dedup_key string, app string, ts_start long, output_tokens long, seq int"
+    counters = [c for c in COUNTERS if c != "output_tokens"]
+
+    def batch(rows):
+        df = spark.createDataFrame(rows, schema).withColumns({c: F.lit(0).cast("long") for c in counters})
+        return df.withColumns({f.name: F.lit(None).cast(f.dataType) for f in LEDGER_SCHEMA if f.name not in df.columns})
+
+    read_days, read_index = [], []
+    old_days, old_index = streams._read_days, streams.key_index
+    monkeypatch.setattr(streams, "_read_days", lambda s, k, d: read_days.append(sorted(d)) or old_days(s, k, d))
+    monkeypatch.setattr(streams, "key_index", lambda s, k, b: read_index.append(x := old_index(s, k, b)) or x)
+    streams.merge_batch(sink, "+00:00")(batch([(f"k{i}", "a", i % 30 * day + 5, 1, 0) for i in range(300)]), 0)
+    files = len(list(Path(f"{tmp_path}/ledger/keys").glob("bucket=*/*.parquet")))
+    assert files > 50
+    for moved, touched in ((12, [7, 12]), (3, [3, 7, 12]), (3, [3, 7, 12])):  # its first day, and all that it has lain on
+        read_days.clear(), read_index.clear()
+        streams.merge_batch(sink, "+00:00")(batch([("k37", "a", moved * day + 5, 2, 1)]), 1)
+        assert read_days == [touched]
+        assert len(read_index[0].inputFiles()) <= 3
+        got = streams.read_ledger(spark, sink)
+        assert got.count() == 300 and [r.ts_start // day for r in got.where("dedup_key = 'k37'").collect()] == [moved]
+    streams.compact_keys(spark, sink)
+    assert len(streams.key_index(spark, sink, list(range(64))).inputFiles()) <= files
+    monkeypatch.undo()
+    import shutil
+
+    shutil.rmtree(f"{tmp_path}/ledger/keys")  # a ledger from before there was an index
+    streams.merge_batch(sink, "+00:00")(batch([("k38", "a", 20 * day + 5, 2, 1), ("k39", "b", None, 1, 0)]), 2)
+    got = streams.read_ledger(spark, sink)
+    assert got.count() == 300 and {r.ts_start for r in got.where("dedup_key IN ('k38', 'k39')").collect()} == {20 * day + 5, None} and got.where("dedup_key = 'k39'").first().app == "a"
+
+
+def test_growing_files_are_read_by_ranges(spark, tmp_path):
+    """Each pass reads what is new, whole lines only; every line is read once, at its place."""
+    rng = random.Random(4)
+    path = lambda r: r.path.rsplit("/", 1)[1]
+    cursors = spark.createDataFrame([], "path string, last_byte_offset long, fingerprint string")
+    held = {name: b"" for name in ("a", "b", "sub-c", "d")}
+    got, actions = {name: [] for name in held}, []
+    for step in range(4):
+        for name in held:
+            new = b"".join("".join(rng.choices("xyé ", k=rng.randint(0, 60))).encode() + rng.choice([b"\n", b"\r\n", b"\n\n"]) for _ in range(rng.randint(0, 40)))
+            held[name] += new + rng.choice([b"", b"begun"]) if step < 3 else b"\n"
+            if name == "d" and step == 2:
+                held[name] = held[name].replace(b"x", b"z")  # rewritten
+            (tmp_path / name).write_bytes(held[name])
+        lines_, plan = ranges.new_lines(spark, f"file://{tmp_path}", cursors, range_bytes=37)
+        for r in lines_.collect():
+            got[path(r)].append((r.line_offset, r.line))
+        actions.append({path(r): r.action for r in plan.collect()})
+        cursors = spark.createDataFrame(L.advance(cursors, plan).collect(), cursors.schema)
+        lines_, plan = ranges.new_lines(spark, f"file://{tmp_path}", cursors)
+        assert lines_.count() == 0 and {r.action for r in plan.collect()} == {"Unchanged"}
+    assert actions[2]["d"] == "Pinned" and actions[0]["a"] == "Full" and actions[3]["a"] in ("Append", "Pinned")
+    for name in ("a", "b", "sub-c"):
+        whole = spark.createDataFrame([(name, bytearray((tmp_path / name).read_bytes()))], "path string, content binary")
+        want = [(r.line_offset, r.line) for r in lines.split_lines(whole).orderBy("line_offset").collect()]
+        if actions[3][name] == "Append":
+            assert sorted(got[name]) == want
+
+
+@pytest.mark.parametrize("bound", [37, 100, 1000, 10**6])
+def test_batches_of_ranges_are_bounded_and_whole(spark, tmp_path, bound):
+    for i in range(5):
+        (tmp_path / f"f{i}").write_bytes(b"".join(b"line %d\n" % j for j in range(40 * i)))
+    none = spark.createDataFrame([], "path string, last_byte_offset long, fingerprint string")
+    plan = ranges.scan_plan(spark, f"file://{tmp_path}", none)
+    dealt = ranges.batched(ranges.cut(plan, 30), bound)
+    rows = dealt.orderBy("path", "start").collect()
+    sizes, last = {}, {}
+    for r in rows:
+        sizes[r.batch] = sizes.get(r.batch, 0) + r.stop - r.start
+        assert last.get(r.path, 0) <= r.batch
+        last[r.path] = r.batch
+    assert max(sizes.values()) <= bound and set(sizes) == set(range(len(sizes)))
+    assert ranges.read_ranges(dealt).count() == sum(40 * i for i in range(5))
