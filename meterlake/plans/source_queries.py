@@ -31,7 +31,7 @@ def _file(kind: str) -> Column:
     return F.concat(F.lit(f"/logs/{kind}/"), "session_id", F.lit("/rollout-"), F.col("event_id").cast("string"), F.lit(".jsonl"))
 
 
-def _shown(df: DataFrame) -> DataFrame:
+def shown(df: DataFrame) -> DataFrame:
     return df.select(*_SHOWN).withColumn("cost_usd", F.round("cost_usd", 8))
 
 
@@ -40,20 +40,23 @@ def claude(spark: SparkSession, sf_dir: str) -> DataFrame:
     usage = lambda out: _j(input_tokens=c("input_tokens"), output_tokens=out, output_tokens_details=_j(thinking_tokens=c("reasoning_tokens")), cache_read_input_tokens=c("cache_read_tokens"), cache_creation=_j(ephemeral_5m_input_tokens=c("cache_write_5m_tokens"), ephemeral_1h_input_tokens=c("cache_write_1h_tokens")))
     said = lambda out: _j(type=F.lit("assistant"), timestamp=_iso(c("ts_start")), sessionId=c("session_id"), cwd=F.lit("/w"), message=_j(id=F.concat(F.lit("m"), c("event_id").cast("string")), model=c("model"), usage=usage(out)))
     raw = _lines(rows, _file("claude"), _j(type=F.lit("user"), timestamp=_iso(c("ts_start") - 5000)), said(F.lit(0)), said(c("output_tokens")), _j(type=F.lit("summary")))
-    return _shown(logs.normalize_claude(raw))
+    return shown(logs.normalize_claude(raw))
 
 
-def codex(spark: SparkSession, sf_dir: str) -> DataFrame:
+def codex_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, c = ledger(spark, sf_dir), F.col
     five = _j(input_tokens=c("input_tokens") + c("cache_read_tokens"), cached_input_tokens=c("cache_read_tokens"), output_tokens=c("output_tokens"), reasoning_output_tokens=c("reasoning_tokens"))
     at = lambda back: _iso(c("ts_start") - back)
     counted = _j(type=F.lit("event_msg"), timestamp=at(0), payload=_j(type=F.lit("token_count"), info=_j(last_token_usage=five, total_token_usage=five)))
-    raw = _lines(
+    return _lines(
         rows, _file("codex"), _j(type=F.lit("turn_context"), payload=_j(model=c("model"), cwd=F.lit("/w"))),
         _j(type=F.lit("response_item"), timestamp=at(3000), payload=_j(type=F.lit("message"), role=F.lit("user"))),
         _j(type=F.lit("response_item"), timestamp=at(1000), payload=_j(type=F.lit("message"), role=F.lit("assistant"))), counted, counted,
     )
-    return _shown(logs.normalize_codex(raw))
+
+
+def codex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shown(logs.normalize_codex(codex_log(spark, sf_dir)))
 
 
 def grok(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +66,7 @@ def grok(spark: SparkSession, sf_dir: str) -> DataFrame:
     usage = F.struct(*(use[k].alias(k) for k in ("inputTokens", "cachedReadTokens", "outputTokens", "reasoningTokens", "costUsdTicks")), models.alias("modelUsage"))
     update = _j(sessionUpdate=F.lit("turn_completed"), prompt_id=F.concat(F.lit("p"), c("event_id").cast("string")), elapsed_ms=F.lit(700), usage=usage)
     raw = _lines(rows, _file("grok"), _j(method=F.lit("session/update"), timestamp=c("ts_start"), params=_j(sessionId=c("session_id"), update=update)), _j(method=F.lit("other")))
-    return _shown(logs.normalize_grok(raw))
+    return shown(logs.normalize_grok(raw))
 
 
 def kimi(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,14 +75,14 @@ def kimi(spark: SparkSession, sf_dir: str) -> DataFrame:
     usage = _j(inputOther=c("input_tokens"), output=c("output_tokens"), inputCacheRead=c("cache_read_tokens"), inputCacheCreation=c("cache_write_5m_tokens"))
     raw = _lines(rows, _file("kimi"), _j(type=F.lit("config.update"), cwd=folder), _j(type=F.lit("usage.record"), time=c("ts_start"), model=c("model"), usage=usage))
     index = rows.select(c("session_id").alias("sessionId"), F.concat(F.lit("/i/"), c("session_id")).alias("workDir")).distinct()
-    return _shown(logs.normalize_kimi(raw, index))
+    return shown(logs.normalize_kimi(raw, index))
 
 
 def workbuddy(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, c = ledger(spark, sf_dir), F.col
     usage = _j(prompt_tokens=c("input_tokens") + c("cache_read_tokens"), completion_tokens=c("output_tokens"), prompt_cache_hit_tokens=c("cache_read_tokens"), cached_tokens=F.lit(0), completion_thinking_tokens=c("reasoning_tokens"), credit=c("credits"))
     said = _j(timestamp=c("ts_start"), providerData=_j(messageId=F.concat(F.lit("w"), c("event_id").cast("string")), model=c("model"), requestModelName=c("request_model"), rawUsage=usage))
-    return _shown(logs.normalize_workbuddy(_lines(rows, _file("workbuddy"), said, _j(type=F.lit("other")))))
+    return shown(logs.normalize_workbuddy(_lines(rows, _file("workbuddy"), said, _j(type=F.lit("other")))))
 
 
 def opencode(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +91,7 @@ def opencode(spark: SparkSession, sf_dir: str) -> DataFrame:
     messages = rows.select(F.concat(F.lit("o"), c("event_id").cast("string")).alias("id"), "session_id", data.alias("data"), c("ts_start").alias("time_created"), c("ts_end").alias("time_updated"), "event_id")
     sessions = rows.select(c("session_id").alias("id"), F.lit("/w").alias("directory")).distinct()
     old, new = messages.where("event_id % 3 <> 0").drop("event_id"), messages.where("event_id % 2 = 0").drop("event_id")
-    return _shown(tables.normalize_opencode(new, old, sessions, sessions))
+    return shown(tables.normalize_opencode(new, old, sessions, sessions))
 
 
 def minimax(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,14 +99,14 @@ def minimax(spark: SparkSession, sf_dir: str) -> DataFrame:
     seconds = F.when(c("event_id") % 2 == 0, F.floor(c("ts_start") / 1000)).otherwise(c("ts_start"))
     usage = rows.select(c("event_id").alias("id"), "session_id", "model", seconds.alias("ts"), "input_tokens", "output_tokens", "cache_read_tokens", c("cache_write_5m_tokens").alias("cache_write_tokens"), (-c("reasoning_tokens")).alias("reasoning_tokens"), "cost_usd")
     sessions = rows.select("session_id", F.lit(None).cast("string").alias("project_workspace_dir"), F.lit("/m").alias("workspace_dir")).distinct()
-    return _shown(tables.normalize_minimax(usage, sessions, "main", ANCHOR_MS))
+    return shown(tables.normalize_minimax(usage, sessions, "main", ANCHOR_MS))
 
 
 def cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, c = ledger(spark, sf_dir), F.col
     value = F.to_json(_j(type=c("event_id") % 3, createdAt=_iso(c("ts_start")), modelInfo=_j(modelName=c("model"))))
     kv = rows.select(c("event_id").alias("rowid"), F.concat_ws(":", F.lit("bubbleId"), "session_id", c("event_id").cast("string")).alias("key"), value.alias("value"))
-    return _shown(tables.normalize_cursor(kv))
+    return shown(tables.normalize_cursor(kv))
 
 
 def otlp_latest(spark: SparkSession, sf_dir: str) -> DataFrame:

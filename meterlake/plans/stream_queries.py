@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from meterlake.functions import exprs as E
 from meterlake.operators.ledger import with_completeness
+from meterlake.plans import source_queries, vendor_queries
 from meterlake.plans.fixtures import DUCK_ARRIVALS, DUCK_LEDGER, OFFSET, arrivals, ledger
 from meterlake.plans.oracles import _COMPLETE, _ROLL, _VALUES, DAY, HEAD
 from meterlake.plans.queries import rounded
@@ -183,8 +184,32 @@ def stream_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{base}/out").select("path", "line_offset", "ts", "asked")
 
 
-QUERIES = {"stream_upsert": stream_upsert, "stream_rollups": stream_rollups, "stream_moves": stream_moves, "stream_rates": stream_rates, "stream_late": stream_late, "stream_bounded": stream_bounded, "stream_velocity": stream_velocity, "stream_metrics": stream_metrics, "stream_parse": stream_parse}
+def _in_segments(spark: SparkSession, rows: DataFrame, at: str, cuts: tuple[int, ...], parse) -> DataFrame:
+    """What ``parse`` makes of rows that come in segments of their files, cut at these places."""
+    base = new_folder(spark, "segments")
+    with _keyed_state(spark):
+        for low, high in zip((None, *cuts), (*cuts, None), strict=True):
+            part = rows if low is None else rows.where(F.col(at) >= low)
+            (part if high is None else part.where(F.col(at) < high)).write.mode("append").parquet(f"{base}/in")
+            parsed = parse(streams.landed(spark, f"{base}/in", rows.schema))
+            parsed.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/progress").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(parsed.schema).parquet(f"{base}/out")
+
+
+def stream_codex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codex logs in three segments: the model, what was asked and what was answered come before the count."""
+    return source_queries.shown(_in_segments(spark, source_queries.codex_log(spark, sf_dir), "line_offset", (150, 250), streams.codex_stream))
+
+
+def stream_kiro(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kiro sessions in three segments: a turn is opened in the first, used in the second and closed in the third."""
+    return vendor_queries.kiro_shown(_in_segments(spark, vendor_queries.kiro_marks(spark, sf_dir), "offset", (50, 150), streams.kiro_stream))
+
+
+QUERIES = {"stream_upsert": stream_upsert, "stream_rollups": stream_rollups, "stream_moves": stream_moves, "stream_rates": stream_rates, "stream_late": stream_late, "stream_bounded": stream_bounded, "stream_velocity": stream_velocity, "stream_metrics": stream_metrics, "stream_parse": stream_parse, "stream_codex": stream_codex, "stream_kiro": stream_kiro}
 ORACLES = {
+    "stream_codex": source_queries.ORACLES["normalize_codex"],
+    "stream_kiro": vendor_queries.ORACLES["normalize_kiro_ide"],
     "stream_upsert": f"""WITH {DUCK_ARRIVALS}, u AS (SELECT *, row_number() OVER (PARTITION BY dedup_key ORDER BY {_COMPLETE} DESC, seq DESC) AS k, {_COMPLETE} AS completeness FROM arrivals)
  SELECT dedup_key, {_VALUES}, completeness FROM u WHERE k = 1""",
     "stream_rates": f"""WITH {DUCK_LEDGER} SELECT (ts_start // 3600000 * 3600000)::BIGINT AS start_ms, (ts_start // 3600000 * 3600000 + 3600000)::BIGINT AS end_ms, COUNT(*) AS events,

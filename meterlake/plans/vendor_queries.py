@@ -17,7 +17,7 @@ from meterlake.plans.fixtures import ANCHOR_MS, DUCK_LEDGER, DUCK_QUOTAS, DUCK_Q
 from meterlake.plans.oracles import DAY, HEAD, MODEL
 from meterlake.plans.oracles import ORACLES as LEDGER_ORACLES
 from meterlake.plans.price_oracles import _VOTE, _canon
-from meterlake.plans.source_queries import _E, _NAME, _file, _iso, _j, _lines, _oracle, _shown
+from meterlake.plans.source_queries import _E, _NAME, _file, _iso, _j, _lines, _oracle, shown
 from meterlake.sources import documents, feeds, logs, tables, telemetry
 
 def _bad() -> Column:
@@ -42,14 +42,14 @@ def codebuddy_cli(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, c = ledger(spark, sf_dir), F.col
     usage = _j(prompt_tokens=c("input_tokens") + c("cache_read_tokens"), completion_tokens=c("output_tokens"), cached_tokens=c("cache_read_tokens"), completion_thinking_tokens=c("reasoning_tokens"))
     said = _j(timestamp=c("ts_start"), providerData=_j(messageId=_even(_id("w")), model=c("model"), rawUsage=usage))
-    return _shown(logs.normalize_codebuddy_cli(_raw(rows, _file("codebuddy"), said, _j(type=F.lit("other")))))
+    return shown(logs.normalize_codebuddy_cli(_raw(rows, _file("codebuddy"), said, _j(type=F.lit("other")))))
 
 
 def commandcode(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, c = ledger(spark, sf_dir), F.col
     usage = _j(inputTokens=c("input_tokens"), outputTokens=c("output_tokens"), cacheReadTokens=c("cache_read_tokens"), cacheWriteTokens=c("cache_write_5m_tokens"), cacheWriteTokens1h=c("cache_write_1h_tokens"), costUsd=c("cost_usd"))
     said = _j(type=F.lit("message"), id=_even(_id("c")), timestamp=_iso(c("ts_start")), model=c("model"), message=_j(role=F.lit("assistant")), usage=usage)
-    return _shown(logs.normalize_commandcode(_raw(rows, _file("command"), _j(type=F.lit("session"), cwd=F.lit("/c")), said, _j(message=_j(role=F.lit("user"))))))
+    return shown(logs.normalize_commandcode(_raw(rows, _file("command"), _j(type=F.lit("session"), cwd=F.lit("/c")), said, _j(message=_j(role=F.lit("user"))))))
 
 
 def qoder(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +58,7 @@ def qoder(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = _j(type=F.lit("assistant"), timestamp=_iso(c("ts_start")), sessionId=c("session_id"), directories=F.array(F.lit("/q")), message=_j(id=_id("q"), model=c("model"), usage=usage))
     raw = _raw(rows, _file("qoder"), _j(type=F.lit("user"), timestamp=_iso(c("ts_start") - 4000)), said)
     aliases = rows.where("model IN ('alpha-1', 'beta-2')").select(c("model").alias("name"), F.upper("model").alias("target")).distinct()
-    return _shown(logs.normalize_qoder(raw, aliases))
+    return shown(logs.normalize_qoder(raw, aliases))
 
 
 def dsh(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +67,7 @@ def dsh(spark: SparkSession, sf_dir: str) -> DataFrame:
     step = lambda kind, ts, **more: _j(seq=c("event_id"), type=F.lit(kind), time=ts, data=_j(turn=F.lit("1"), step=F.lit("1"), **more))
     usage = _j(input_tokens=c("input_tokens") + c("cache_read_tokens"), output_tokens=c("output_tokens"), cache_read_tokens=c("cache_read_tokens"), reasoning_tokens=c("reasoning_tokens"))
     said = step("assistant/message", _iso(c("ts_start")), usage=usage, message=_j(source=_j(model=c("model"))))
-    return _shown(logs.normalize_dsh(_raw(rows, _file("dsh"), config, step("step/start", _iso(c("ts_start") - 2000)), step("step/start", _iso(c("ts_start") - 1000)), said)))
+    return shown(logs.normalize_dsh(_raw(rows, _file("dsh"), config, step("step/start", _iso(c("ts_start") - 2000)), step("step/start", _iso(c("ts_start") - 1000)), said)))
 
 
 def zcode(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +80,7 @@ def zcode(spark: SparkSession, sf_dir: str) -> DataFrame:
         "output_tokens", "reasoning_tokens", "cache_read_tokens", c("cache_write_5m_tokens").alias("cache_write_tokens"), F.when(kind < 2, c("input_tokens") + cached + c("output_tokens")).alias("provider_total_tokens"),
         "duration_ms", c("ttft_ms").alias("time_to_first_token_ms"), F.lit(None).cast("string").alias("error_type"),
     )
-    return _shown(tables.normalize_zcode(usage))
+    return shown(tables.normalize_zcode(usage))
 
 
 def devin(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,7 +90,7 @@ def devin(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = _j(role=F.when(c("event_id") % 17 == 0, "user").otherwise("assistant"), model=model, request_id=_even(_id("d"), 3), created_at=_iso(c("ts_start")), usage=usage)
     nodes = rows.select(c("event_id").alias("row_id"), "session_id", F.to_json(said).alias("chat_message"))
     sessions = rows.select(c("session_id").alias("id"), F.lit("session-model").alias("model"), F.lit("/d").alias("working_directory")).distinct()
-    return _shown(tables.normalize_devin(nodes, sessions))
+    return shown(tables.normalize_devin(nodes, sessions))
 
 
 def freebuff(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,7 +99,7 @@ def freebuff(spark: SparkSession, sf_dir: str) -> DataFrame:
     messages = rows.select(c("session_id").alias("thread_id"), c("event_id").alias("seq"), metrics.alias("metrics_json"), c("ts_start").alias("ts"))
     threads = rows.select(c("session_id").alias("id"), F.concat(F.lit("handle-"), F.substring("session_id", -1, 1)).alias("model")).distinct()
     handles = threads.where("model < 'handle-5'").select(c("model").alias("name"), F.concat(F.lit("real-"), F.substring("model", -1, 1)).alias("target")).distinct()
-    return _shown(tables.normalize_freebuff(messages, threads, handles))
+    return shown(tables.normalize_freebuff(messages, threads, handles))
 
 
 def freebuff_spend(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,7 +121,7 @@ def codebuddy_ide(spark: SparkSession, sf_dir: str) -> DataFrame:
         out.alias("output_tokens"), "cache_read_tokens", F.lit(0).alias("cache_write_tokens"), "reasoning_tokens", "duration_ms", "credits",
     )
     folders = rows.select(c("session_id").alias("conversation"), F.lit("/i").alias("cwd")).distinct()
-    return _shown(tables.codebuddy_ide(snapshot(1, F.lit(0).cast("long")).unionByName(snapshot(2, c("output_tokens"))), folders))
+    return shown(tables.codebuddy_ide(snapshot(1, F.lit(0).cast("long")).unionByName(snapshot(2, c("output_tokens"))), folders))
 
 
 def cline_v3(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,7 +130,7 @@ def cline_v3(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.struct(_even(_id("m")).alias("id"), F.lit("assistant").alias("role"), c("ts_start").alias("ts"), metrics.alias("metrics"), F.when(c("event_id") % 3 == 0, _j(id=F.lit("own-model"), provider=F.lit("p"))).alias("modelInfo"))
     made = rows.select(_id("t").alias("task"), F.to_json(F.array(said)).alias("messages")).where("messages IS NOT NULL")
     sidecar = rows.select(_id("t").alias("task"), c("model"), F.lit("side").alias("provider"), F.lit("/v3").alias("cwd"))
-    return _shown(tables.cline_v3(made, sidecar)).where("dedup_key IS NOT NULL")
+    return shown(tables.cline_v3(made, sidecar)).where("dedup_key IS NOT NULL")
 
 
 def cline_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,7 +139,7 @@ def cline_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
     step = lambda at, say, text: rows.select(_id("t").alias("task"), F.lit(at).alias("at"), F.lit(say).alias("say"), c("ts_start").alias("ts"), text.alias("text"))
     messages = step(0, "api_req_started", F.lit("{}")).unionByName(step(1, "api_req_finished", usage)).unionByName(step(2, "text", F.lit("hello"))).unionByName(step(3, "subagent_usage", F.lit("{broken")))
     models = rows.select(_id("t").alias("task"), F.lit(0).cast("long").alias("ts"), c("model"), F.lit("p").alias("provider"))
-    return _shown(documents.normalize_cline_v2(messages, models, rows.select(_id("t").alias("task"), F.lit("/v2").alias("cwd"), F.lit(None).cast("string").alias("provider")), ANCHOR_MS))
+    return shown(documents.normalize_cline_v2(messages, models, rows.select(_id("t").alias("task"), F.lit("/v2").alias("cwd"), F.lit(None).cast("string").alias("provider")), ANCHOR_MS))
 
 
 def kiro_cli(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,10 +147,10 @@ def kiro_cli(spark: SparkSession, sf_dir: str) -> DataFrame:
     turn = _j(metering_usage=F.array(_j(unit=F.lit("credit"), value=c("credits"))), input_token_count=c("input_tokens"), output_token_count=c("output_tokens"), cache_read_input_token_count=c("cache_read_tokens"), message_ids=F.array(_id("m")), turn_duration=_j(secs=F.lit(3), nanos=F.lit(0)), end_timestamp=c("ts_start"), model=c("model"))
     doc = _j(session_id=c("session_id"), cwd=F.lit("/k"), session_state=_j(conversation_metadata=_j(user_turn_metadatas=F.array(turn))))
     made = rows.select(_id("/k/").alias("path"), F.to_json(doc).alias("doc")).unionByName(rows.select(_id("/bad/").alias("path"), _bad().alias("doc")))
-    return _shown(documents.normalize_kiro_cli(made))
+    return shown(documents.normalize_kiro_cli(made))
 
 
-def kiro_ide(spark: SparkSession, sf_dir: str) -> DataFrame:
+def kiro_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, c = ledger(spark, sf_dir), F.col
     spent = (c("event_id") % 5 / 2).cast("double")
     mark = lambda at, kind, own, ts, used: F.struct(F.lit(at).cast("long").alias("offset"), F.lit(kind).alias("kind"), own.cast("string").alias("execution_id"), ts.cast("long").alias("ts"), used.cast("double").alias("credits"))
@@ -158,15 +158,22 @@ def kiro_ide(spark: SparkSession, sf_dir: str) -> DataFrame:
     marks = F.array(
         mark(0, "turn_start", _id("e"), c("ts_start") - 1000, none), mark(100, "usage_summary", _even(_id("own")), c("ts_start"), spent), mark(200, "turn_end", none, c("ts_start"), none), mark(300, "usage_summary", none, c("ts_start"), spent)
     )
-    turns = rows.select(_id("/k/").alias("path"), "session_id", F.lit("/p").alias("project"), F.when(c("event_id") % 4 == 0, "AUTO").otherwise(c("model")).alias("model"), F.explode(marks).alias("m")).select("*", "m.*").drop("m")
-    return tables.kiro_credits(turns).select("dedup_key", "session_id", "project", "model", "ts_start", "ts_end", "duration_ms", "credits", F.round("cost_usd", 8).alias("cost_usd"), "cost_source", "raw_ref")
+    return rows.select(_id("/k/").alias("path"), "session_id", F.lit("/p").alias("project"), F.when(c("event_id") % 4 == 0, "AUTO").otherwise(c("model")).alias("model"), F.explode(marks).alias("m")).select("*", "m.*").drop("m")
+
+
+def kiro_shown(df: DataFrame) -> DataFrame:
+    return df.select("dedup_key", "session_id", "project", "model", "ts_start", "ts_end", "duration_ms", "credits", F.round("cost_usd", 8).alias("cost_usd"), "cost_source", "raw_ref")
+
+
+def kiro_ide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kiro_shown(tables.kiro_credits(kiro_marks(spark, sf_dir)))
 
 
 def kiro_v1(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, c = ledger(spark, sf_dir), F.col
     doc = _j(executionId=_even(_id("e")), id=_id("i"), sessionId=c("session_id"), modelName=c("model"), startTime=c("ts_start"), endTime=c("ts_end"), usageSummary=F.array(_j(usage=c("credits")), _j(usage=F.lit(-1.0))))
     made = rows.select(_id("/v1/").alias("path"), F.to_json(doc).alias("doc")).unionByName(rows.select(_id("/bad/").alias("path"), _bad().alias("doc")))
-    return _shown(documents.normalize_kiro_v1(made))
+    return shown(documents.normalize_kiro_v1(made))
 
 
 def antigravity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,7 +186,7 @@ def antigravity(spark: SparkSession, sf_dir: str) -> DataFrame:
     steps = rows.where("event_id % 3 = 1").select("session_id", response.alias("response_id"), F.lit(None).cast("long").alias("gen_idx"), F.lit(1_700_000_000_000).alias("ts"))
     trajectories = rows.select("session_id", F.lit(1_600_000_000_000).alias("created_ms"), F.lit(0).cast("long").alias("mtime_ms"), F.lit("/a").alias("workspace")).distinct()
     names = rows.select(F.lit("raw-0").alias("name"), F.lit("model-zero").alias("target"), F.lit("maker").alias("provider")).distinct()
-    return _shown(documents.normalize_antigravity(generations, steps, trajectories, names, rows.where("event_id % 31 = 0").select(F.concat(F.lit("agy:"), _id("r")).alias("dedup_key"), F.lit("other").alias("session_id")), ANCHOR_MS))
+    return shown(documents.normalize_antigravity(generations, steps, trajectories, names, rows.where("event_id % 31 = 0").select(F.concat(F.lit("agy:"), _id("r")).alias("dedup_key"), F.lit("other").alias("session_id")), ANCHOR_MS))
 
 
 def sibling_models(spark: SparkSession, sf_dir: str) -> DataFrame:

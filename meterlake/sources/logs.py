@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,52 +46,62 @@ def _codex_lines(raw: DataFrame) -> DataFrame:
     return parsed(raw, _CODEX).withColumn("ts", any_ms("v.timestamp"))
 
 
-def _call_spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Start and end of each counted call, from the lines of whole files in order."""
-    path = start = done = staged = None
-    for batch in batches:
-        rows = []
-        for file, at, kind, ts, counted in batch[["path", "line_offset", "kind", "ts", "counted"]].itertuples(index=False):
-            if file != path:
-                path, start, done, staged = file, None, None, None
-            ts = None if pd.isna(ts) else int(ts)
-            if kind == "asked" and ts is not None:
-                start, done, staged = ts, None, None
-            elif kind == "tool":
-                if done is not None:
-                    staged = ts if ts is not None else staged
-                elif ts is not None:
-                    start = ts
-            elif kind == "spoke" and ts is not None:
-                done = ts
-            elif kind == "counted" and counted:
-                rows.append((path, at, start, done if done is not None else ts))
-                start, staged, done = (staged if staged is not None else ts), None, None
-        yield pd.DataFrame(rows, columns=["path", "line_offset", "call_start", "call_end"]).astype({"call_start": "Int64", "call_end": "Int64"})
-
+def codex_steps(raw: DataFrame) -> DataFrame:
+    """(path, line_offset, kind, ts, model, cwd, own) of the lines that matter to calls.
 
-def normalize_codex(raw: DataFrame) -> DataFrame:
-    """token_count lines whose counts differ from the token_count before; model and folder are those of the latest turn."""
+    kind: asked, tool, spoke, counted or turn (model and folder); own has the ten counters of a token_count.
+    """
     lines = _codex_lines(raw)
-    turn = lambda c: carry_forward(F.when(F.col("v.type") == "turn_context", text(f"v.payload.{c}")), ["path"], ["line_offset"])
     kind = (
-        F.when(F.col("v.type") == "token_usage_record", "spoke")
+        F.when(F.col("v.type") == "turn_context", "turn").when(F.col("v.type") == "token_usage_record", "spoke")
         .when(F.col("v.type") == "response_item", F.when(F.col("v.payload.type").isin("custom_tool_call_output", "function_call_output"), "tool")
               .when((F.col("v.payload.type") == "message") & (F.col("v.payload.role") == "user"), "asked")
               .when((F.col("v.payload.type") == "message") & (F.col("v.payload.role") == "developer"), "none").otherwise("spoke"))
         .when((F.col("v.type") == "event_msg") & (F.col("v.payload.type") == "task_started"), "asked")
         .when((F.col("v.type") == "event_msg") & (F.col("v.payload.type") == "token_count"), "counted")
     )
-    lines = lines.withColumns({"model": turn("model"), "cwd": turn("cwd"), "kind": kind}).where("kind IS NOT NULL AND kind <> 'none'")
     five = lambda block: [count(f"v.payload.info.{block}.{c}") for c in ("input_tokens", "cached_input_tokens", "cache_write_input_tokens", "output_tokens", "reasoning_output_tokens")]
+    turn = lambda c: F.when(F.col("kind") == "turn", text(f"v.payload.{c}"))
     own = F.when(F.col("kind") == "counted", F.array(*five("last_token_usage"), *five("total_token_usage")))
-    before = F.last(own, ignorenulls=True).over(Window.partitionBy("path").orderBy("line_offset").rowsBetween(Window.unboundedPreceding, -1))
-    lines = lines.withColumns({"own": own, "before": before})
+    lines = lines.withColumn("kind", kind).where("kind <> 'none'")
+    return lines.select("path", "line_offset", "kind", "ts", turn("model").alias("model"), turn("cwd").alias("cwd"), own.alias("own"))
+
+
+def _codex_calls(steps: DataFrame) -> DataFrame:
+    """(path, line_offset, ts, model, cwd, own, call_start, call_end) of counted calls, from whole files.
+
+    What was asked and each counted call begin a stretch of lines. In it the model has spoken from its first output line
+    on: a tool's result before that restarts the call, one after it starts the next. So a stretch is summed up by one
+    aggregation, and a call needs its own stretch and the one before.
+    """
+    by_file = Window.partitionBy("path").orderBy("line_offset")
+    latest = lambda c: F.last(c, ignorenulls=True).over(by_file.rowsBetween(Window.unboundedPreceding, 0))
+    before = F.last("own", ignorenulls=True).over(by_file.rowsBetween(Window.unboundedPreceding, -1))
     used = sum((F.col("own")[i] for i in range(5)), F.lit(0))
-    lines = lines.withColumn("counted", F.coalesce((F.col("kind") == "counted") & ~F.col("own").eqNullSafe(F.col("before")) & (used > 0), F.lit(False)))
-    ordered = lines.select("path", "line_offset", "kind", "ts", "counted").repartition("path").sortWithinPartitions("path", "line_offset")
-    spans = ordered.mapInPandas(_call_spans, "path string, line_offset long, call_start long, call_end long")
-    calls = lines.where("counted").join(spans, ["path", "line_offset"])
+    lines = steps.withColumns({"model": latest("model"), "cwd": latest("cwd"), "before": before})
+    counted = F.coalesce((F.col("kind") == "counted") & ~F.col("own").eqNullSafe(F.col("before")) & (used > 0), F.lit(False))
+    lines = lines.withColumn("counted", counted).withColumn("asked", (F.col("kind") == "asked") & F.col("ts").isNotNull())
+    number = F.sum(F.col("asked").cast("int") + F.col("counted").cast("int")).over(by_file) - F.col("counted").cast("int")  # a counted call ends its stretch
+    spoke = F.when((F.col("kind") == "spoke") & F.col("ts").isNotNull(), F.col("line_offset"))
+    lines = lines.withColumn("stretch", number).withColumn("spoke", F.min(spoke).over(Window.partitionBy("path", "stretch")))
+    tool = (F.col("kind") == "tool") & F.col("ts").isNotNull()
+    after = F.coalesce(F.col("line_offset") > F.col("spoke"), F.lit(False))
+    last_ts = lambda when: F.max_by(F.when(when, F.col("ts")), F.when(when, F.col("line_offset")))
+    sums = lines.groupBy("path", "stretch").agg(
+        F.max(F.when(F.col("asked"), F.col("ts"))).alias("asked"),
+        last_ts(tool & ~after).alias("restarted"),
+        last_ts(tool & after).alias("staged"),
+        last_ts((F.col("kind") == "spoke") & F.col("ts").isNotNull()).alias("done"),
+        F.max(F.when(F.col("counted"), F.struct("line_offset", "ts", "model", "cwd", "own"))).alias("call"),
+    )
+    following = Window.partitionBy("path").orderBy("stretch")
+    carried = F.coalesce(F.lag("staged").over(following), F.lag("call.ts").over(following))
+    spans = sums.withColumn("call_start", F.coalesce("restarted", "asked", carried)).where("call IS NOT NULL")
+    return spans.select("path", "call.*", "call_start", F.coalesce("done", "call.ts").alias("call_end"))
+
+
+def codex_rows(calls: DataFrame) -> DataFrame:
+    """Ledger rows of (path, line_offset, ts, model, cwd, own, call_start, call_end)."""
     name = stem(F.col("path"))
     return ledger_rows(
         calls, dedup_key=F.concat(F.lit("codex:"), name, F.lit(":"), F.col("line_offset").cast("string")), app="codex", session_id=F.regexp_replace(name, "^(rollout-)+", ""),
@@ -104,6 +111,11 @@ def normalize_codex(raw: DataFrame) -> DataFrame:
     )
 
 
+def normalize_codex(raw: DataFrame) -> DataFrame:
+    """token_count lines whose counts differ from the token_count before; model and folder are those of the latest turn."""
+    return codex_rows(_codex_calls(codex_steps(raw)))
+
+
 def window_kind(minutes: Column) -> Column:
     return F.when(minutes.isNull(), "window").when(minutes <= 360, "5h_block").when(minutes <= 1500, "daily").when(minutes <= 11000, "weekly").otherwise("monthly")
 

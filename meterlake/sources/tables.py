@@ -172,7 +172,11 @@ def kiro_credits(turns: DataFrame) -> DataFrame:
     opened = F.when(F.col("kind") == "turn_start", F.struct(text("execution_id").alias("exec"), F.col("ts").alias("ts")))
     mark = opened.when(F.col("kind") == "turn_end", F.struct(F.lit(None).cast("string").alias("exec"), F.lit(None).cast("long").alias("ts")))
     turn = F.last(mark, ignorenulls=True).over(Window.partitionBy("path").orderBy("offset").rowsBetween(Window.unboundedPreceding, 0))
-    used = turns.withColumn("turn", turn).where("kind = 'usage_summary' AND credits > 0")
+    return kiro_rows(turns.withColumn("turn", turn).where("kind = 'usage_summary' AND credits > 0"))
+
+
+def kiro_rows(used: DataFrame) -> DataFrame:
+    """Ledger rows of usage summaries with the ``turn`` (exec, ts) that was open when they were written."""
     owner = F.coalesce(text("execution_id"), F.col("turn.exec"))
     place = F.concat(F.lit("@"), F.col("offset").cast("string"))
     start = F.coalesce("turn.ts", "ts")

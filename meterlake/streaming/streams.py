@@ -16,6 +16,7 @@ from pyspark.sql.types import StructType
 
 from meterlake.functions import exprs as E
 from meterlake.operators.ledger import fold, gate, rollups
+from meterlake.sources import logs, tables
 
 
 def landed(spark: SparkSession, path: str, schema: StructType, max_files: int | None = None, max_bytes: int | None = None) -> DataFrame:
@@ -241,6 +242,105 @@ def stateful_parse(lines: DataFrame) -> DataFrame:
     return lines.groupBy("path").transformWithStateInPandas(LastUserTime(), "path string, line_offset long, ts long, asked long", "append", "none")
 
 
+class _Growing(StatefulProcessor):
+    """State of a growing file, which expires if nothing is added for ``ttl_ms``, where that is given."""
+
+    STATES: dict[str, str] = {}
+
+    def __init__(self, ttl_ms: int | None):
+        self._ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._held = {name: handle.getValueState(name, schema, self._ttl_ms or None) for name, schema in self.STATES.items()}
+
+    def _get(self, name: str) -> tuple:
+        state = self._held[name]
+        return tuple(state.get()) if state.exists() else (None,) * len(self.STATES[name].split(","))
+
+    def close(self) -> None:
+        pass
+
+
+def _number(x) -> int | None:
+    return None if pd.isna(x) else int(x)
+
+
+class CodexCalls(_Growing):
+    """Counted calls of a file, with the counters, the call in flight and the turn as earlier batches have left them."""
+
+    STATES = {"counts": "own array<bigint>", "call": "start bigint, done bigint, staged bigint", "turn": "model string, cwd string"}
+    COLUMNS = ["path", "line_offset", "ts", "model", "cwd", "own", "call_start", "call_end"]
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        [before], (start, done, staged), (model, cwd) = self._get("counts"), self._get("call"), self._get("turn")
+        before = None if before is None else list(before)
+        lines = pd.concat(list(rows)).sort_values("line_offset")
+        out = []
+        for at, kind, ts, its_model, its_cwd, own in lines[["line_offset", "kind", "ts", "model", "cwd", "own"]].itertuples(index=False):
+            ts = _number(ts)
+            if kind == "turn":
+                model, cwd = its_model or model, its_cwd or cwd
+            elif kind == "asked" and ts is not None:
+                start, done, staged = ts, None, None
+            elif kind == "tool" and ts is not None:
+                start, staged = (ts, staged) if done is None else (start, ts)
+            elif kind == "spoke" and ts is not None:
+                done = ts
+            elif kind == "counted":
+                own = [int(x) for x in own]
+                if own != before and sum(own[:5]) > 0:
+                    out.append((key[0], at, ts, model, cwd, own, start, ts if done is None else done))
+                    start, done, staged = ts if staged is None else staged, None, None
+                before = own
+        if before is not None:
+            self._held["counts"].update((before,))
+        self._held["call"].update((start, done, staged))
+        self._held["turn"].update((model, cwd))
+        yield pd.DataFrame(out, columns=self.COLUMNS).astype({"ts": "Int64", "call_start": "Int64", "call_end": "Int64"})
+
+
+class KiroTurns(_Growing):
+    """Usage summaries of a file, with the turn that was open, which may have been opened in an earlier batch."""
+
+    STATES = {"turn": "exec string, ts bigint"}
+    COLUMNS = ["path", "session_id", "project", "model", "execution_id", "offset", "ts", "credits", "turn_exec", "turn_ts"]
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        turn = self._get("turn")
+        out = []
+        for row in pd.concat(list(rows)).sort_values("offset").itertuples(index=False):
+            if row.kind == "turn_start":
+                turn = (row.execution_id or None, _number(row.ts))
+            elif row.kind == "turn_end":
+                turn = (None, None)
+            elif row.kind == "usage_summary" and row.credits > 0:
+                out.append((key[0], row.session_id, row.project, row.model, row.execution_id, row.offset, _number(row.ts), row.credits, *turn))
+        self._held["turn"].update(turn)
+        yield pd.DataFrame(out, columns=self.COLUMNS).astype({"ts": "Int64", "turn_ts": "Int64"})
+
+
+def _clock(ttl_ms: int | None) -> str:
+    return "ProcessingTime" if ttl_ms else "None"
+
+
+def codex_stream(raw: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    """Ledger rows of Codex logs from a stream of (path, line_offset, line): what whole files give, wherever batches cut them.
+
+    A file's lines must come in order of batches; the state of one that is silent for ``ttl_ms`` goes, which needs a query
+    that runs on (under availableNow a clock never lets it end). Needs the RocksDB store.
+    """
+    out = "path string, line_offset long, ts long, model string, cwd string, own array<bigint>, call_start long, call_end long"
+    return logs.codex_rows(logs.codex_steps(raw).groupBy("path").transformWithStateInPandas(CodexCalls(ttl_ms), out, "append", _clock(ttl_ms)))
+
+
+def kiro_stream(turns: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    """Ledger rows of Kiro sessions from a stream of the rows that ``tables.kiro_credits`` takes, under the same terms."""
+    out = "path string, session_id string, project string, model string, execution_id string, offset long, ts long, credits double, turn_exec string, turn_ts long"
+    slim = turns.select("path", "session_id", "project", "model", "execution_id", "offset", "kind", "ts", "credits")
+    used = slim.groupBy("path").transformWithStateInPandas(KiroTurns(ttl_ms), out, "append", _clock(ttl_ms))
+    return tables.kiro_rows(used.withColumn("turn", F.struct(F.col("turn_exec").alias("exec"), F.col("turn_ts").alias("ts"))))
+
+
 def velocity_stream(events: DataFrame, watermark: str = "30 minutes", width: str = "5 minutes", slide: str = "1 minute") -> DataFrame:
     """Tokens, requests and cost in sliding windows; rows later than the watermark are not in them."""
     timed = events.where("ts_start IS NOT NULL").withColumn("event_time", F.timestamp_millis("ts_start")).withWatermark("event_time", watermark)

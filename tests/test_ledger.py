@@ -3,6 +3,7 @@
 import random
 from pathlib import Path
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,7 +17,7 @@ from meterlake.operators import pricing as P
 from meterlake.operators import quotas as Q
 from meterlake.plans.fixtures import ANCHOR_MS, OFFSET, arrivals, ledger
 from meterlake.schema import DAY_MS, LEDGER_SCHEMA
-from meterlake.sources import feeds, lines, ranges
+from meterlake.sources import feeds, lines, logs, ranges, tables
 from meterlake.streaming import streams
 
 SF = "/root/testdata/sf0.001"
@@ -307,3 +308,105 @@ def test_batches_of_ranges_are_bounded_and_whole(spark, tmp_path, bound):
         last[r.path] = r.batch
     assert max(sizes.values()) <= bound and set(sizes) == set(range(len(sizes)))
     assert ranges.read_ranges(dealt).count() == sum(40 * i for i in range(5))
+
+
+class Held:
+    """A processor's states, as a plain handle."""
+
+    def __init__(self):
+        self.values = {}
+
+    def getValueState(self, name, schema, ttl=None):
+        held = self.values
+
+        class State:
+            exists = staticmethod(lambda: name in held)
+            get = staticmethod(lambda: held[name])
+            update = staticmethod(lambda value: held.__setitem__(name, value))
+
+        return State
+
+
+def codex_steps(seed, n=60):
+    rng = random.Random(seed)
+    rows, ts, own = [], 1000, [0] * 10
+    for i in range(n):
+        ts += rng.randrange(1, 900)
+        kind = rng.choice(["asked", "tool", "tool", "spoke", "spoke", "counted", "counted", "turn"])
+        if kind == "counted" and rng.random() < 0.7:
+            own = [rng.randrange(3) for _ in range(10)]
+        turn = kind == "turn"
+        rows.append((f"/x/rollout-{seed}.jsonl", i * 10, kind, None if rng.random() < 0.1 else ts, f"m{i}" if turn and rng.random() < 0.7 else None, "/w" if turn and rng.random() < 0.5 else None, own if kind == "counted" else None))
+    return rows
+
+
+def codex_fold(rows):
+    """The calls of one file, line by line."""
+    start = done = staged = model = cwd = before = None
+    out = []
+    for path, at, kind, ts, its_model, its_cwd, own in rows:
+        if kind == "turn":
+            model, cwd = its_model or model, its_cwd or cwd
+        elif kind == "asked":
+            start, done, staged = (start, done, staged) if ts is None else (ts, None, None)
+        elif kind == "spoke":
+            done = done if ts is None else ts
+        elif kind == "tool" and ts is not None:
+            if done is None:
+                start = ts
+            else:
+                staged = ts
+        elif kind == "counted":
+            if own != before and sum(own[:5]):
+                out.append((path, at, ts, model, cwd, own, start, done if done is not None else ts))
+                start, done, staged = staged if staged is not None else ts, None, None
+            before = own
+    return out
+
+
+STEPS = "path string, line_offset long, kind string, ts long, model string, cwd string, own array<bigint>"
+
+
+def test_codex_calls_without_a_loop_equal_the_fold(spark):
+    files = [codex_steps(seed) for seed in range(40)]
+    got = logs._codex_calls(spark.createDataFrame([r for f in files for r in f], STEPS))
+    assert sorted(map(repr, (tuple(r) for r in got.collect()))) == sorted(repr(c) for f in files for c in codex_fold(f))
+
+
+def in_segments(processor, cuts, rows, columns):
+    """What a processor gives for one file that comes in segments; each time it starts from the states alone."""
+    held, out = Held(), []
+    for low, high in zip([0, *cuts], [*cuts, len(rows)], strict=True):
+        if low < high:
+            p = processor(None)
+            p.init(held)
+            frame = pd.DataFrame(rows[low:high], columns=columns).sample(frac=1, random_state=1)
+            plain = lambda x: None if x is None or x is pd.NA or x != x else x.item() if hasattr(x, "item") else x
+        out += [tuple(map(plain, r)) for df in p.handleInputRows((rows[0][0],), iter([frame[:3], frame[3:]]), None) for r in df.itertuples(index=False)]
+    return out
+
+
+def test_codex_segments_give_what_the_whole_file_gives(spark):
+    columns = [c.split()[0] for c in STEPS.split(", ")]
+    for seed in range(5):
+        rows = codex_steps(seed)
+        whole = codex_fold(rows)
+        for cut in range(len(rows) + 1):
+            assert in_segments(streams.CodexCalls, [cut], rows, columns) == whole
+        assert in_segments(streams.CodexCalls, [*range(1, len(rows))], rows, columns) == whole
+
+
+def test_kiro_segments_give_what_the_whole_file_gives(spark):
+    rng = random.Random(3)
+    kinds = [rng.choice(["turn_start", "usage_summary", "usage_summary", "turn_end", "other"]) for _ in range(40)]
+    rows = [("/k/1", "s", "/p", "m", rng.choice([f"e{i}", None]), i * 7, k, rng.choice([1000 * i, None]), rng.choice([0.0, 1.5])) for i, k in enumerate(kinds)]
+    columns = ["path", "session_id", "project", "model", "execution_id", "offset", "kind", "ts", "credits"]
+    schema = "path string, session_id string, project string, model string, execution_id string, offset long, kind string, ts long, credits double"
+    want = sorted(map(repr, (tuple(r) for r in tables.kiro_credits(spark.createDataFrame(rows, schema)).collect())))
+    used = "path string, session_id string, project string, model string, execution_id string, offset long, ts long, credits double, turn struct<exec: string, ts: long>"
+    for cut in range(len(rows) + 1):
+        got = [(*r[:8], r[8:]) for r in in_segments(streams.KiroTurns, [cut], rows, columns)]
+        if cut % 8 == 0:
+            assert sorted(map(repr, (tuple(r) for r in tables.kiro_rows(spark.createDataFrame(got, used)).collect()))) == want
+        first = first if cut else got
+        assert got == first
