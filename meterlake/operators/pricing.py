@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import json
 from collections import Counter
 from collections.abc import Iterable
@@ -176,8 +177,12 @@ def vote(quotes: list[dict], rules: Rules) -> tuple[dict | None, str, list[str]]
     return price, winner[0]["source"], stand
 
 
+#: A quote's own prices that the book's page shows.
+QUOTED = ("input", "output", "cache_read")
+
+
 def _voted(quotes: DataFrame, rules: Rules) -> DataFrame:
-    """Every quote with its stance and its group's verdict. A group is one model's quotes: a few dozen, as many as sources and spellings."""
+    """Every quote with its stance, its place in order of trust, and its group's verdict. A group is one model's quotes: a few dozen, as many as sources and spellings."""
     columns = [c for c in PRICE_COLUMNS if c in quotes.columns]
     numbers = quotes.select("source", "model_id", *(F.col(c).cast("double") for c in columns), *(F.lit(None).cast("double").alias(c) for c in PRICE_COLUMNS if c not in columns))
     numbers = numbers.fillna(0.0, ["input", "output", "cache_read", "cache_write"]).withColumn("canon", E.canon_key(F.col("model_id"))).where("canon <> ''")
@@ -193,23 +198,25 @@ def _voted(quotes: DataFrame, rules: Rules) -> DataFrame:
                 group.sort(key=lambda q: (rules.rank(q["source"]), q["model_id"], q["source"]))
                 price, source, stood = vote(group, rules)
                 shown = dict.fromkeys(PRICE_COLUMNS) if price is None else price
-                out += [{"canon": canon, "display": display, "source": q["source"], "model_id": q["model_id"], "stance": s, "verdict_source": source, "priced": price is not None, **shown} for q, s in zip(group, stood, strict=True)]
+                out += [{"canon": canon, "display": display, "source": q["source"], "model_id": q["model_id"], "stance": s, "verdict_source": source, "priced": price is not None, **shown, "place": i, **{f"quoted_{c}": q[c] for c in QUOTED}} for i, (q, s) in enumerate(zip(group, stood, strict=True))]
             yield pa.RecordBatch.from_pylist(out, schema)
 
     text, price = [(c, pa.string()) for c in ("canon", "display", "source", "model_id", "stance", "verdict_source")], [(c, pa.float64()) for c in PRICE_COLUMNS]
-    schema = pa.schema([*text, ("priced", pa.bool_()), *price])
+    schema = pa.schema([*text, ("priced", pa.bool_()), *price, ("place", pa.int32()), *((f"quoted_{c}", pa.float64()) for c in QUOTED)])
     prices = ", ".join(f"{c} double" for c in PRICE_COLUMNS)
-    return grouped.mapInArrow(decide, f"canon string, display string, source string, model_id string, stance string, verdict_source string, priced boolean, {prices}")
+    return grouped.mapInArrow(decide, f"canon string, display string, source string, model_id string, stance string, verdict_source string, priced boolean, {prices}, place int, " + ", ".join(f"quoted_{c} double" for c in QUOTED))
 
 
-def consensus(quotes: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """(canon, display, source, agree, total, priced, prices): the book, one row a model."""
+def _verdicts() -> list[Column]:
+    """What a group's quotes say together."""
     agree, against = (F.count_if(F.col("stance") == s) for s in ("Agrees", "Dissents"))
     one = lambda c: F.first(c).alias(c)
-    rows = _voted(quotes, rules).groupBy("canon").agg(
-        one("display"), F.first("verdict_source").alias("source"), one("priced"), agree.alias("agree"), (agree + against).alias("total"), *map(one, PRICE_COLUMNS)
-    )
-    return rows
+    return [one("display"), F.first("verdict_source").alias("source"), one("priced"), agree.alias("agree"), (agree + against).alias("total"), *map(one, PRICE_COLUMNS)]
+
+
+def consensus(quotes: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """(canon, display, source, agree, total, priced, prices): the book, one row a model."""
+    return _voted(quotes, rules).groupBy("canon").agg(*_verdicts())
 
 
 def stances(quotes: DataFrame, rules: Rules = Rules()) -> DataFrame:
@@ -218,20 +225,24 @@ def stances(quotes: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
 
 def price_rows(quotes: DataFrame, limit: int, rules: Rules = Rules()) -> DataFrame:
-    """A page of the book: each model's verdict, whether it is disputed, and its quotes."""
-    asked = quotes.withColumn("canon", E.canon_key(F.col("model_id"))).groupBy("canon").agg(F.array_sort(F.collect_list(F.struct("source", "model_id", "input", "output"))).alias("quotes"))
-    return consensus(quotes, rules).join(asked, "canon").withColumn("disputed", F.col("agree") < F.col("total")).orderBy("display").limit(limit)
+    """The book's page: each model's verdict, whether it is disputed, and its quotes with their stances, the most trusted first."""
+    quote = F.struct("place", F.col("source").alias("source"), "model_id", *(F.col(f"quoted_{c}").alias(c) for c in QUOTED), "stance")
+    rows = _voted(quotes, rules).groupBy("canon").agg(*_verdicts(), F.array_sort(F.collect_list(quote)).alias("quotes"))
+    shown = F.transform("quotes", lambda q: q.dropFields("place"))
+    return rows.withColumn("quotes", shown).withColumn("disputed", F.col("agree") < F.col("total")).orderBy("display").limit(limit)
 
 
 def search_prices(rows: DataFrame, text: str, disputed_only: bool = False) -> DataFrame:
-    """Rows whose spelling has every word of ``text``, those that begin with it first."""
-    words = [w for w in "".join(c if c.isalnum() else " " if c in ", \t\n" else "" for c in text.lower()).split() if w]
-    flat = E.flatten(F.col("display"))
+    """Rows of which some spelling has every word of ``text``, those first whose display spelling begins with the first word."""
+    words = [flat for w in re.split(r"[\s,]+", text.lower()) if (flat := "".join(c for c in w if c.isalnum()))]
+    spellings = F.array_join(F.transform(F.array_append(F.transform("quotes", lambda q: q["model_id"]), F.col("display")), E.flatten), " ")
     for w in words:
-        rows = rows.where(flat.contains(w))
+        rows = rows.where(spellings.contains(w))
     if disputed_only:
         rows = rows.where("disputed")
-    return rows.orderBy(flat.startswith("".join(words)).cast("int").desc(), "display")
+    if not words:
+        return rows.orderBy("display")
+    return rows.orderBy(E.flatten(F.col("display")).startswith(words[0]).cast("int").desc(), "display")
 
 
 def match_candidates(candidates: DataFrame, book: DataFrame) -> DataFrame:

@@ -352,9 +352,10 @@ def quote_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def price_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first page of the book, and of it the disputed models whose name has both words."""
-    page = P.price_rows(quotes(spark, sf_dir), 150)
-    return P.search_prices(page, "M, 1", True).select("canon", "display", "agree", "total", F.size("quotes").alias("quotes"))
+    """The disputed models of the whole book that have both words in a spelling, with who said what in order of trust."""
+    found = P.search_prices(P.price_rows(quotes(spark, sf_dir), 5000), "M-1, 1", True)
+    said = F.array_join(F.transform("quotes", lambda q: F.concat_ws(":", q["source"], q["model_id"], q["stance"], F.round(q["cache_read"], 4).cast("decimal(18,4)").cast("string"))), " ")
+    return found.select("canon", "display", "agree", "total", F.size("quotes").alias("quotes"), said.alias("said"))
 
 
 def range_presets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -499,8 +500,10 @@ ORACLES = {
     "quote_groups": f"""WITH {DUCK_QUOTES}, q AS (SELECT {_canon('model_id')} AS canon, source, model_id FROM quotes), d AS (SELECT canon, model_id AS display, row_number() OVER (PARTITION BY canon ORDER BY COUNT(*) DESC, model_id) AS k FROM q GROUP BY 1, 2)
  SELECT canon, source, model_id, display FROM q JOIN d USING (canon) WHERE k = 1""",
     "price_search": f"""WITH RECURSIVE {_VOTE}, d AS (SELECT canon, model_id AS display, row_number() OVER (PARTITION BY canon ORDER BY COUNT(*) DESC, model_id) AS k FROM q GROUP BY 1, 2),
- a AS (SELECT canon, COUNT(*) FILTER (WHERE stance = 'Agrees') AS agree, COUNT(*) FILTER (WHERE stance IN ('Agrees', 'Dissents')) AS total, COUNT(*)::INT AS quotes FROM st GROUP BY 1)
- SELECT * FROM (SELECT canon, display, agree, total, quotes FROM a JOIN d USING (canon) WHERE k = 1 ORDER BY display LIMIT 150) WHERE agree < total AND display LIKE '%m%' AND display LIKE '%1%'""",
+ a AS (SELECT st.canon, COUNT(*) FILTER (WHERE stance = 'Agrees') AS agree, COUNT(*) FILTER (WHERE stance IN ('Agrees', 'Dissents')) AS total, COUNT(*)::INT AS quotes,
+ string_agg(concat_ws(':', source, model_id, stance, round(coalesce(cache_read, 0), 4)::DECIMAL(18, 4)::VARCHAR), ' ' ORDER BY rank, model_id, source) AS said,
+ string_agg(regexp_replace(lower(model_id), '[^a-z0-9]', '', 'g'), ' ') AS flat FROM st JOIN q USING (canon, source, model_id) GROUP BY 1)
+ SELECT canon, display, agree, total, quotes, said FROM a JOIN d USING (canon) WHERE k = 1 AND agree < total AND flat LIKE '%m1%' AND flat LIKE '%1%'""",
     "range_presets": _led(f"""SELECT preset, COUNT(event_id) AS events, preset IN ('today', 'custom') AS hourly FROM (VALUES ('today', 0), ('week', 6), ('month', 29), ('all', NULL), ('custom', NULL)) AS k(preset, back)
  LEFT JOIN ledger ON preset = 'all' OR preset = 'custom' AND ts_start >= {ANCHOR_MS - 3_600_000} AND ts_start < {ANCHOR_MS} OR {DAY} BETWEEN {(ANCHOR_MS + 28_800_000) // 86_400_000} - back AND {(ANCHOR_MS + 28_800_000) // 86_400_000} GROUP BY 1"""),
     "overview_bundle": f"""WITH {DUCK_LEDGER}, {DUCK_QUOTAS}, r AS (SELECT *, {DAY} AS day, {HEAD} AS tokens, {MODEL} AS shown FROM ledger), t AS (SELECT {(ANCHOR_MS + 28_800_000) // 86_400_000} AS today),

@@ -376,13 +376,14 @@ def test_codex_calls_without_a_loop_equal_the_fold(spark):
 def in_segments(processor, cuts, rows, columns):
     """What a processor gives for one file that comes in segments; each time it starts from the states alone."""
     held, out = Held(), []
+    plain = lambda x: None if x is None or x is pd.NA or x != x else x.item() if hasattr(x, "item") else x
     for low, high in zip([0, *cuts], [*cuts, len(rows)], strict=True):
         if low < high:
             p = processor(None)
             p.init(held)
             frame = pd.DataFrame(rows[low:high], columns=columns).sample(frac=1, random_state=1)
-            plain = lambda x: None if x is None or x is pd.NA or x != x else x.item() if hasattr(x, "item") else x
-        out += [tuple(map(plain, r)) for df in p.handleInputRows((rows[0][0],), iter([frame[:3], frame[3:]]), None) for r in df.itertuples(index=False)]
+            for df in p.handleInputRows((rows[0][0],), iter([frame[:3], frame[3:]]), None):
+                out += [tuple(map(plain, r)) for r in df.itertuples(index=False)]
     return out
 
 
@@ -410,3 +411,16 @@ def test_kiro_segments_give_what_the_whole_file_gives(spark):
             assert sorted(map(repr, (tuple(r) for r in tables.kiro_rows(spark.createDataFrame(got, used)).collect()))) == want
         first = first if cut else got
         assert got == first
+
+
+def test_prices_are_ranked_by_the_first_word_over_all_spellings(spark):
+    quoted = [("litellm", "anthropic-claude-opus", 1.0), ("vercel", "claude-3-4-opus", 1.0), ("litellm", "claude-3.4-opus", 1.0), ("openrouter", "claude-3.4-opus", 2.0), ("litellm", "gpt-4", 1.0)]
+    quotes_ = spark.createDataFrame([(s, m, x, 5 * x, x / 10, None) for s, m, x in quoted], "source string, model_id string, input double, output double, cache_read double, cache_write double")
+    rows = P.price_rows(quotes_, 5000)
+    assert [r.display for r in P.search_prices(rows, "Claude opus").collect()] == ["claude-3.4-opus", "anthropic-claude-opus"]
+    assert [r.display for r in P.search_prices(rows, "opus, claude").collect()] == ["anthropic-claude-opus", "claude-3.4-opus"]
+    assert P.search_prices(rows, " , ").count() == 3 and P.search_prices(rows, "3-4-opus").count() == 1
+    [group] = rows.where("display = 'claude-3.4-opus'").collect()
+    rank = P.Rules().rank
+    assert [rank(q.source) for q in group.quotes] == sorted(rank(q.source) for q in group.quotes)
+    assert {(q.source, q.stance, q.cache_read) for q in group.quotes} == {("vercel", "Agrees", 0.1), ("litellm", "Agrees", 0.1), ("openrouter", "Dissents", 0.2)}
