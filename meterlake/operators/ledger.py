@@ -166,8 +166,16 @@ CSV_COLUMNS = (
 
 
 def export_csv(df: DataFrame, path: str, offset: str = "+00:00") -> None:
-    """The ledger as guarded CSV cells, oldest first."""
-    csv_rows(df, offset).write.mode("overwrite").option("header", True).option("quoteAll", False).option("quote", "\u0000").csv(path)
+    """The ledger as a folder of CSV parts, oldest first, that make one file when they are put together: only the first begins with the header.
+
+    Cells are guarded and quoted by csv_rows, so lines are written as they are.
+    """
+    order = [F.col("_part"), F.col("_at").asc_nulls_first(), F.col("_key")]
+    cells = _csv_cells(df, offset)
+    line = F.concat_ws(",", *(cells[c] for c in CSV_COLUMNS)).alias("value")
+    rows = df.select(F.lit(1).alias("_part"), F.col("ts_start").alias("_at"), F.col("dedup_key").alias("_key"), line)
+    head = df.sparkSession.range(1).select(F.lit(0).alias("_part"), F.lit(None).cast("long").alias("_at"), F.lit("").alias("_key"), F.lit(",".join(CSV_COLUMNS)).alias("value"))
+    head.unionByName(rows).orderBy(*order).select("value").write.mode("overwrite").text(path)
 
 
 def csv_rows(df: DataFrame, offset: str = "+00:00") -> DataFrame:
@@ -175,11 +183,16 @@ def csv_rows(df: DataFrame, offset: str = "+00:00") -> DataFrame:
 
     Times are local ones of ``offset``; a row without a time has that of 1970. Text cells are guarded and quoted.
     """
+    cells = _csv_cells(df, offset)
+    return df.orderBy(F.col("ts_start").asc_nulls_first(), "dedup_key").select(*(cells[c].alias(c) for c in CSV_COLUMNS))
+
+
+def _csv_cells(df: DataFrame, offset: str) -> dict[str, Column]:
     have = lambda c: F.col(c) if c in df.columns else F.lit(None).cast("string")
     none = lambda value: F.coalesce(value.cast("string"), F.lit(""))
     number = lambda value, d: none(F.regexp_replace(F.format_number(value, d), ",", ""))
     ms = F.coalesce("ts_start", F.lit(0)) + E.offset_ms(offset)
-    cells = {
+    return {
         "ts": F.concat(F.date_format(F.timestamp_millis(ms), "yyyy-MM-dd'T'HH:mm:ss"), F.lit(offset)),
         **{c: E.csv_guard(have(c)) for c in ("app", "model", "pricing_model", "project")}, "session": E.csv_guard(have("session_id")),
         "input": none(F.col("input_tokens")), "output": none(F.col("output_tokens")), "reasoning": none(F.col("reasoning_tokens")),
@@ -187,4 +200,3 @@ def csv_rows(df: DataFrame, offset: str = "+00:00") -> DataFrame:
         "cost_usd": number(F.col("cost_usd"), 6), "cost_source": none(have("cost_source")), "duration_ms": none(F.col("duration_ms")), "raw_ref": E.csv_guard(have("raw_ref")),
         "unclassified_tokens": none(F.col("unclassified_tokens")), "speed_tps": number(E.output_tps(), 3),
     }
-    return df.orderBy(F.col("ts_start").asc_nulls_first(), "dedup_key").select(*(cells[c].alias(c) for c in CSV_COLUMNS))

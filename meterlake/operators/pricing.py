@@ -358,6 +358,32 @@ def book_fingerprint(prices: DataFrame, rules: Rules = Rules()) -> DataFrame:
     return prices.agg(F.count("*").alias("n"), F.bit_xor(row).alias("content"), F.lit(rules_fingerprint(rules)).alias("rules"))
 
 
+def keep_votes(quotes: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """The book of ``consensus``, each model with what its verdict rests on: a fingerprint of its quotes, and that of the rules."""
+    return consensus(quotes, rules).join(_group_fingerprints(quotes), "canon").withColumn("rules", F.lit(rules_fingerprint(rules)))
+
+
+def _group_fingerprints(quotes: DataFrame) -> DataFrame:
+    """(canon, n_quotes, content): changes with any quote of the model; in any order of quotes the same, but for quotes that cancel out, which the count shows."""
+    prices = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in PRICE_COLUMNS if c in quotes.columns]
+    row = F.xxhash64("source", "model_id", *prices)
+    return quotes.groupBy(E.canon_key(F.col("model_id")).alias("canon")).agg(F.count("*").alias("n_quotes"), F.sum(F.shiftright(row, 20)).alias("content"))
+
+
+def revote(quotes: DataFrame, kept: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """``keep_votes`` of ``quotes``, with ``voted``: models whose quotes and rules are those of ``kept`` keep their verdicts, only the others vote.
+
+    Models that lost all quotes go, new ones vote. With changed rules every model votes.
+    """
+    now = _group_fingerprints(quotes).where("canon <> ''").withColumn("rules", F.lit(rules_fingerprint(rules)))
+    basis = ["canon", "n_quotes", "content", "rules"]
+    same = kept.join(now, basis, "left_semi")
+    changed = now.join(kept.select(basis), basis, "left_anti").select("canon")
+    again = quotes.withColumn("_canon", E.canon_key(F.col("model_id"))).join(changed, F.col("_canon") == F.col("canon"), "left_semi").drop("_canon")
+    voted = keep_votes(again, rules)
+    return same.withColumn("voted", F.lit(False)).unionByName(voted.withColumn("voted", F.lit(True)))
+
+
 def names_of(df: DataFrame) -> DataFrame:
     """The distinct (raw, request) names of rows that are priced by name."""
     return df.select(F.coalesce("model", "request_model").alias("raw"), F.col("request_model").alias("request")).where("raw IS NOT NULL").distinct()

@@ -424,3 +424,39 @@ def test_prices_are_ranked_by_the_first_word_over_all_spellings(spark):
     rank = P.Rules().rank
     assert [rank(q.source) for q in group.quotes] == sorted(rank(q.source) for q in group.quotes)
     assert {(q.source, q.stance, q.cache_read) for q in group.quotes} == {("vercel", "Agrees", 0.1), ("litellm", "Agrees", 0.1), ("openrouter", "Dissents", 0.2)}
+
+
+def test_only_changed_models_vote_again(spark):
+    schema = "source string, model_id string, input double, output double, cache_read double"
+    base = [(s, m, 1.0, 5.0, 0.1) for s in ("litellm", "vercel", "openrouter") for m in ("a-1", "b.2", "c")]
+    book = lambda df: {r.canon: (r.input, r.agree, r.total) for r in df.collect()}
+    kept = P.keep_votes(spark.createDataFrame(base, schema))
+    for now, again in (
+        (base[::-1], set()),
+        ([*base, ("seed", "d", 1.0, 1.0, None)], {"d"}),
+        (base[1:], {"a-1"}),
+        ([("litellm", "a-1", 2.0, 5.0, 0.1), *base[1:]], {"a-1"}),
+        ([*base, base[0]], {"a-1"}),
+        ([r for r in base if r[1] != "c"], set()),
+        ([], set()),
+    ):
+        quoted = spark.createDataFrame(now, schema)
+        got = P.revote(quoted, kept)
+        assert {r.canon for r in got.where("voted").collect()} == again
+        assert book(got) == book(P.consensus(quoted))
+    changed = P.revote(spark.createDataFrame(base, schema), kept, P.Rules(tolerance=0.1))
+    assert changed.where("voted").count() == 3
+
+
+@pytest.mark.parametrize(
+    "document", ['{"schema": 2}', '{"tolerance": 0}', '{"tolerance": 0.6}', '{"unlisted_weight": -1}', '{"long_context_threshold": 0}', '{"date_suffix_lengths": [9]}', '{"feeds": [{"url": "http://x"}]}', '{"trust": [{"source": "a", "weight": -2}]}']
+)
+def test_rules_that_are_refused(document):
+    with pytest.raises(ValueError):
+        P.load_rules(document)
+
+
+def test_rules_of_an_older_revision_give_way():
+    bundled = P.Rules(revision=5)
+    assert P.load_rules('{"revision": 4, "tolerance": 0.2}', bundled) is bundled
+    assert P.load_rules('{"revision": 5, "tolerance": 0.2, "strip_prefixes": ["x/"], "unknown": 1}', bundled).tolerance == 0.2

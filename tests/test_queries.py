@@ -10,11 +10,11 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from meterlake.plans import oracles, price_oracles, queries, scan_queries, source_queries, stream_queries, vendor_queries
+from meterlake.plans import oracles, price_oracles, queries, scan_queries, source_queries, stream_queries, upkeep_queries, vendor_queries
 
 SF = "/root/testdata/sf0.001"
-QUERIES = queries.QUERIES | source_queries.QUERIES | vendor_queries.QUERIES | stream_queries.QUERIES | scan_queries.QUERIES
-ORACLES = oracles.ORACLES | price_oracles.ORACLES | source_queries.ORACLES | vendor_queries.ORACLES | stream_queries.ORACLES | scan_queries.ORACLES
+QUERIES = queries.QUERIES | source_queries.QUERIES | vendor_queries.QUERIES | stream_queries.QUERIES | scan_queries.QUERIES | upkeep_queries.QUERIES
+ORACLES = oracles.ORACLES | price_oracles.ORACLES | source_queries.ORACLES | vendor_queries.ORACLES | stream_queries.ORACLES | scan_queries.ORACLES | upkeep_queries.ORACLES
 
 
 @pytest.fixture(scope="module")
