@@ -48,7 +48,7 @@ def revote(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quotes(spark, sf_dir)
     path = f"{new_folder(spark, 'votes')}/kept"
     P.keep_votes(rows).write.parquet(path)
-    changed = rows.withColumn("input", F.when(F.expr(_CHANGED), F.col("input") * 3).otherwise(F.col("input")))
+    changed = rows.withColumn("input", F.when(F.expr(_CHANGED), F.col("input") + 1).otherwise(F.col("input")))
     return rounded(P.revote(changed, spark.read.parquet(path))).drop("n_quotes", "content", "rules")
 
 
@@ -62,7 +62,7 @@ ORACLES = {
  reasoning_tokens::VARCHAR, cache_read_tokens::VARCHAR, (cache_write_5m_tokens + cache_write_1h_tokens)::VARCHAR, COALESCE(printf('%.4f', credits), ''), '', '', {_CELL.format('duration_ms')},
  '"''=a,""b""' || dedup_key || '"', unclassified_tokens::VARCHAR, COALESCE(printf('%.3f', {_TPS}), '')], ',') FROM ledger""",
     "keys_deleted": f"WITH {DUCK_LEDGER} SELECT app, COUNT(*) AS events, SUM(event_id)::BIGINT AS ids FROM ledger WHERE event_id % 3 <> 0 AND app <> 'cursor' GROUP BY 1",
-    "revote": PRICE_ORACLES["price_consensus"].replace("FROM quotes JOIN t", f"FROM (SELECT * REPLACE (CASE WHEN {_CHANGED} THEN input * 3 ELSE input END AS input) FROM quotes) quotes JOIN t").replace(
+    "revote": PRICE_ORACLES["price_consensus"].replace("FROM quotes JOIN t", f"FROM (SELECT * REPLACE (CASE WHEN {_CHANGED} THEN input + 1 ELSE input END AS input) FROM quotes) quotes JOIN t").replace(
         "SELECT canon, display, COALESCE(p.source", "SELECT canon = 'm-7-1' AS voted, canon, display, COALESCE(p.source"
     ),
 }
