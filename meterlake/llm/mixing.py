@@ -3,7 +3,8 @@
 Every document has a fixed 60-bit hash. A source's mix is whole rounds of its documents plus those whose hash is at most
 the source's threshold. Thresholds come from nested histograms: words by source and the hash's top bits, then by the
 next bits inside the one bucket where the budget runs out, then by single hash values inside that bucket's boundary
-bucket. Documents are never sorted; they are filtered by their source's threshold.
+bucket. Documents are never sorted; they are filtered by their source's threshold. Only where equal rows share the hash
+at which the budget runs out, these rows are numbered and as many taken as come nearest to it.
 """
 
 from __future__ import annotations
@@ -89,35 +90,57 @@ def _plan(scratch: Scratch, sizes: DataFrame, weights: tuple[int, ...]) -> DataF
     finer = at_edge.groupBy("source", "budget", F.shiftright("mix_hash", step).alias("bucket")).agg(F.sum("size").alias("words"))
     edge = scratch.save(_boundary(finer, "bucket"), "finer_edge")
     single = _of(sizes, edge).where(F.shiftright("mix_hash", step) == F.col("cell"))
-    single = single.groupBy("source", "budget", "cell", "mix_hash").agg(F.sum("size").alias("words"))
-    upto = F.sum("words").over(Window.partitionBy("source").orderBy("mix_hash"))
-    # a hash value is taken if that brings the words nearer to the budget
-    taken = F.when(2 * upto - F.col("words") <= 2 * F.col("budget"), F.col("mix_hash"))
-    single = single.withColumn("taken", taken).groupBy("source").agg(F.max("taken").alias("last"), F.first("cell").alias("cell"))
+    single = single.groupBy("source", "budget", "cell", "mix_hash").agg(F.sum("size").alias("words"), F.count("*").alias("rows"))
+    left = F.col("budget") - F.sum("words").over(Window.partitionBy("source").orderBy("mix_hash")) + F.col("words")
+    # of the rows of a hash value, all of one size, those are taken that bring the words nearer to the budget
+    fit = F.when(F.col("words") > 0, F.floor(left * F.col("rows") / F.col("words") + 0.5)).otherwise(F.when(left >= 0, F.col("rows")).otherwise(0))
+    single = single.withColumn("fit", F.greatest(F.lit(0), F.least(fit, "rows")))
+    in_part = (F.col("fit") > 0) & (F.col("fit") < F.col("rows"))
+    single = single.groupBy("source").agg(
+        F.max(F.when(F.col("fit") == F.col("rows"), F.col("mix_hash"))).alias("last"),
+        F.first("cell").alias("cell"),
+        F.max(F.when(in_part, F.col("mix_hash"))).alias("part_hash"),
+        F.max(F.when(in_part, F.col("fit"))).alias("part_rows"),
+    )
     threshold = F.coalesce("last", F.shiftleft("cell", step) - 1)
-    thresholds = single.select("source", threshold.alias("threshold"))
-    plan = targets.join(thresholds.withColumnRenamed("source", "_its"), F.col("source").eqNullSafe(F.col("_its")), "left").drop("_its")
-    return scratch.save(plan.select("source", "source_size", "target", "rounds", F.coalesce("threshold", F.lit(-1)).alias("threshold")), "plan")
+    thresholds = single.select(F.col("source").alias("_its"), threshold.alias("threshold"), "part_hash", "part_rows")
+    plan = targets.join(thresholds, F.col("source").eqNullSafe(F.col("_its")), "left").drop("_its")
+    return scratch.save(plan.select("source", "source_size", "target", "rounds", F.coalesce("threshold", F.lit(-1)).alias("threshold"), "part_hash", "part_rows"), "plan")
 
 
-def _times() -> Column:
-    return F.col("rounds") + (F.col("mix_hash") <= F.col("threshold")).cast("long")
+def _times(scratch: Scratch, rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """``rows`` (source, mix_hash and more) with their source's plan and ``times``, how often the mix takes each.
+
+    Rows of a hash that is taken in part are numbered by a hash of all they hold, so reruns take equal rows.
+    """
+    planned = _of(rows, plan)
+    whole = planned.withColumn("times", F.col("rounds") + (F.col("mix_hash") <= F.col("threshold")).cast("long"))
+    if plan.where("part_hash IS NOT NULL").isEmpty():
+        return whole
+    parted = F.coalesce(F.col("mix_hash") == F.col("part_hash"), F.lit(False))
+    held = F.xxhash64(F.to_json(F.struct(*(F.col(c) for c in rows.columns))))
+    copies = planned.where(parted).withColumn("_held", held).withColumn("_spread", F.monotonically_increasing_id())
+    copies = numbered(scratch, copies, "copies", F.col("source"), F.col("_held"), F.col("_spread"))
+    begins = copies.groupBy("source").agg(F.min("number").alias("_begin"))
+    copies = _of(copies, begins).withColumn("times", F.col("rounds") + (F.col("number") - F.col("_begin") < F.col("part_rows")).cast("long"))
+    return whole.where(~parted).unionByName(copies.drop("number", "_begin", "_held", "_spread"))
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """(doc_id, size, source_size, target, taken) of every row of ``docs`` (doc_id, text, source).
 
     Sizes count runs of anything but ASCII white space; a null text has size 0. A null source is a source, the last by
-    code point. Rows that agree in doc_id and text share a hash and are taken together. Sources without words have
-    target 0, and an empty table gives no rows. Other columns are not read.
+    code point. Rows that agree in doc_id and text share a hash; where the budget runs out among them, some are taken
+    once more than the others. Sources without words have target 0, and an empty table gives no rows. Other columns are
+    not read.
     """
     scratch = Scratch(docs.sparkSession, "mix")
     size, hashed = _sized(docs)
     slim = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), size.alias("size"), hashed.alias("mix_hash"))
     sizes = scratch.save(slim, "sizes")
-    mixed = _of(sizes, _plan(scratch, sizes, weights))
-    scratch.keep_only("sizes", "plan")
-    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * _times()).alias("taken"))
+    mixed = _times(scratch, sizes, _plan(scratch, sizes, weights))
+    scratch.keep_only("sizes", "plan", "copies")
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -129,10 +152,10 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> Data
     scratch = Scratch(docs.sparkSession, "mix")
     size, hashed = _sized(docs)
     sizes = scratch.save(docs.select(F.col("source").cast("string"), size.alias("size"), hashed.alias("mix_hash")), "sizes")
-    plan = _plan(scratch, sizes, weights).select("source", "rounds", "threshold")
-    scratch.keep_only("plan")
+    plan = _plan(scratch, sizes, weights).select("source", "rounds", "threshold", "part_hash", "part_rows")
     # a struct keeps the columns of documents apart from those of the plan
     own = [c for c in docs.columns if c != "mix_times"]
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("row"), F.col("source").cast("string"), size.alias("size"), hashed.alias("mix_hash"))
-    mixed = _of(rows, plan).withColumn("mix_times", _times()).where("mix_times > 0 AND size > 0")
-    return mixed.select("row.*", "mix_times")
+    mixed = _times(scratch, rows, plan).where("times > 0 AND size > 0")
+    scratch.keep_only("plan", "copies")
+    return mixed.select("row.*", F.col("times").alias("mix_times"))

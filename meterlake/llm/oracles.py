@@ -44,10 +44,9 @@ last AS (SELECT * FROM level ORDER BY step DESC LIMIT 1),
 t AS (SELECT source, source_size, CASE WHEN words / weights * weight > 3 * source_size THEN (3 * source_size)::DOUBLE ELSE words * weight / weights END AS target FROM w, last),
 r AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS rounds FROM t),
 c AS (SELECT s.doc_id, s.size, source_size, target, rounds, target - rounds * source_size AS budget,
-  sum(size) OVER (PARTITION BY s.source ORDER BY h RANGE UNBOUNDED PRECEDING) AS upto,
-  sum(size) OVER (PARTITION BY s.source, h) AS tied
+  sum(size) OVER (PARTITION BY s.source ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto
   FROM s JOIN r ON s.source IS NOT DISTINCT FROM r.source)
-SELECT doc_id, size, source_size, target, (size * (rounds + CASE WHEN 2 * upto - tied <= 2 * budget THEN 1 ELSE 0 END))::BIGINT AS taken FROM c""",
+SELECT doc_id, size, source_size, target, (size * (rounds + CASE WHEN 2 * upto - size <= 2 * budget THEN 1 ELSE 0 END))::BIGINT AS taken FROM c""",
     "op6_remove_repeats": r"""
 WITH d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 g AS MATERIALIZED (SELECT doc_id, j, array_to_string(w[j:j + 19], ' ') AS g FROM d, unnest(range(1, len(w) - 18)) AS u(j)),

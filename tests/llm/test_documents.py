@@ -213,6 +213,19 @@ def test_contamination_matches_brute_force_in_one_block_and_in_many(spark, rows)
     assert not decontamination.find_contamination(table(spark, rows), benchmark.limit(0)).where("contaminated").count()
 
 
+def test_mix_takes_some_of_equal_rows(spark):
+    hot = [(7, "ten words of one row that stands here very often", None, "a")] * 900
+    rest = [(1000 + i, f"w{i} " * 10, None, "a") for i in range(100)] + [(5000 + i, f"v{i} " * 10, None, "b") for i in range(1000)]
+    docs = table(spark, hot + rest)
+    got = mixing.mix_sources(docs)
+    taken = {r.target: r.words for r in got.groupBy("source_size", "target").agg(F.sum("taken").alias("words")).collect()}
+    assert len(taken) == 2 and all(abs(words - target) <= 10 for target, words in taken.items()), taken
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, mixing.mix_sources(docs.repartition(5)).collect()))
+    unlike = table(spark, [(*r[:2], f"l{k % 3}", r[3]) for k, r in enumerate(hot + rest)])
+    runs = [sorted(map(tuple, mixing.mixed_documents(x).collect()), key=repr) for x in (unlike, unlike.repartition(5))]
+    assert runs[0] == runs[1] and sum(len(SPACED.findall(r[1])) * r[-1] for r in runs[0]) == sum(r.taken for r in got.collect())
+
+
 def test_mix_comes_near_its_targets(spark, rows):
     docs = table(spark, rows)
     got = mixing.mix_sources(docs).collect()
