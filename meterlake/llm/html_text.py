@@ -5,8 +5,10 @@ and its commas, discounted by the share of its text inside links, to the element
 element's ancestors. The element with the most points is the main container; it is kept together with siblings that
 score well themselves, and what is left of them without boilerplate elements is the article.
 
-Names of elements tell boilerplate from articles. Some, such as those of comments, adverts and menus, do so for sure;
-others, such as related or discussion, only lower the score of their text, and the element goes if it isn't prose.
+Names of elements tell boilerplate from articles. Those of comments and some tags, such as nav and footer, do so for sure.
+Others, such as those of adverts, notices and menus, and forms, are suspects: they go unless they hold most of the page's
+text and it is prose, as where a form or a layout is wrapped around the page. Others still, such as related or
+discussion, only lower the score of their text, and the element goes if it isn't prose. Of what is kept, lists of links go.
 
 Pages are read from left to right in a time in proportion to their length, whatever is left open in them.
 """
@@ -40,17 +42,19 @@ _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "me
 _LEAF = {"p", "li", "dt", "dd", "td", "th", "pre", "blockquote", "figcaption", "caption", "summary", "address"}
 _HEADING = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _BOX = {"html", "body", "div", "section", "article", "main", "ul", "ol", "dl", "table", "thead", "tbody", "tfoot", "tr", "figure", "details", "center", "hgroup"}
-_CLUTTER = {"nav", "footer", "aside", "form", "menu", "dialog", "fieldset", "head"}
-_BLOCK = _LEAF | _HEADING | _BOX | _CLUTTER | {"header", "hr"}
+_CLUTTER = {"nav", "footer", "aside", "menu", "dialog", "head"}
+_FORMS = {"form", "fieldset"}
+_BLOCK = _LEAF | _HEADING | _BOX | _CLUTTER | _FORMS | {"header", "hr"}
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"td", "th", "tr"}}
 _SCOPE = {"ul", "ol", "dl", "table", "div", "section", "article", "main", "body", "html"}
 _SEMANTIC = {"article", "main"}
+#: Words of class, id and role of readers' comments: they mark an element as no part of the article for sure.
+_COMMENT_WORDS = frozenset("comment comments reply replies respond disqus".split())
 #: Words of class, id and role that mark an element as no part of the article.
-_CLUTTER_WORDS = frozenset(
+_CLUTTER_WORDS = _COMMENT_WORDS | frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner "
     "nav navbar navigation menu breadcrumb breadcrumbs pagination pager toolbar "
     "sidebar footer masthead contentinfo "
-    "comment comments reply replies respond disqus "
     "notice notices cookie cookies consent gdpr alert popup modal overlay newsletter subscribe signup login paywall "
     "share sharing social".split()
 )
@@ -58,8 +62,14 @@ _CLUTTER_WORDS = frozenset(
 _DOUBTFUL_WORDS = frozenset("aside widget related recommended popular trending complementary search discussion reviews".split())
 #: The weight of text in doubtful elements, the length of a block of prose and its largest share of links, and the share of prose.
 _DOUBTFUL, _PROSE, _LINKS, _MOSTLY = 0.3, 80, 0.25, 0.6
+#: The share of the page's text that a suspect must hold to stay: one with other words in its name, and any other one.
+_WEAK_SUSPECT, _SUSPECT = 0.5, 0.75
+#: A list of links has so many blocks, such a share of links, and no prose.
+_LISTED, _LIST_LINKS = 4, 0.75
 #: First words of names that say how an element is laid out, and words for the article itself.
 _LAYOUT_WORDS = frozenset({"has", "with", "without", "no", "is"})
+#: Words that add nothing to a name: "ad-slot" is an advert as much as "ad".
+_PLAIN_WORDS = frozenset("area bar block box container inner list outer panel section slot unit wrap wrapper zone".split())
 _BODY_WORDS = frozenset({"article", "content", "body", "text", "main", "post", "entry", "story"})
 _PARTS = re.compile(r"[^a-z0-9]+")
 
@@ -157,6 +167,8 @@ class _Page:
         self.tags, self.parents, self.dropped = ["html"], [0], [False]
         #: the nearest doubtful element around each, itself included, or -1
         self.doubtful = [-1]
+        #: the share of the page's text that an element must hold to stay
+        self.needs = [0.0]
         #: (element, text, characters in links)
         self.blocks: list[tuple[int, str, int]] = []
         #: the open elements, where in this list those of each name stand, and where its blocks do
@@ -241,10 +253,11 @@ class _Page:
         if tag in _VOID:
             return
         above = self._stack[-1]
-        clutter, doubt = (False, False) if self.dropped[above] else self._named(tag, attributes)
+        clutter, need, doubt = (False, 0.0, False) if self.dropped[above] else self._named(tag, attributes)
         self.tags.append(tag)
         self.parents.append(above)
         self.dropped.append(self.dropped[above] or clutter)
+        self.needs.append(need)
         self.doubtful.append(len(self.tags) - 1 if doubt else self.doubtful[above])
         self._places.setdefault(tag, []).append(len(self._stack))
         if tag in _BLOCK:
@@ -260,31 +273,71 @@ class _Page:
             if own[-1] > 0 and (tag in _BLOCK or own[-1] > self._block_places[-1]):
                 self._cut(own[-1])
 
-    def _named(self, tag: str, attributes: str) -> tuple[bool, bool]:
-        """Whether an element is no part of an article, and whether it may be none."""
+    def _named(self, tag: str, attributes: str) -> tuple[bool, float, bool]:
+        """Whether an element is no part of an article, the share of the page's text it must hold to be one, and whether it may be none."""
         semantic = self._is_open(_SEMANTIC)
         if tag in _CLUTTER or tag in _LOOSE or tag == "header" and not semantic:
-            return True, False
+            return True, 0.0, False
+        need, doubt = _SUSPECT if tag in _FORMS else 0.0, False
         if tag in ("html", "body") or not attributes.strip():
-            return False, False
+            return False, need, False
         if _HIDDEN.search(attributes) and _hidden(attributes):
-            return True, False
-        doubt = False
+            return True, 0.0, False
         for match in _NAMES.finditer(attributes):
             for name in (match[1] or match[2] or match[3] or "").lower().split():
                 parts = [x for x in _PARTS.split(name) if x]
                 if tag in _SEMANTIC:  # these hold articles, or a reader's comment
-                    if name in _CLUTTER_WORDS:
-                        return True, False
+                    if name in _COMMENT_WORDS:
+                        return True, 0.0, False
+                    need = _SUSPECT if name in _CLUTTER_WORDS else need
                 elif parts and parts[0] not in _LAYOUT_WORDS:
                     # a name's last word says what the element is ("post-comments"), its first what it belongs to
                     begins = parts[-1] not in _BODY_WORDS
-                    if parts[-1] in _CLUTTER_WORDS or parts[0] in _CLUTTER_WORDS and begins and not semantic:
-                        return True, False
+                    if parts[-1] in _COMMENT_WORDS or parts[0] in _COMMENT_WORDS and begins and not semantic:
+                        return True, 0.0, False
                     if parts[-1] == "header" and not semantic and parts[0] not in _BODY_WORDS:
-                        return True, False
+                        return True, 0.0, False
+                    own = [x for x in parts if x not in _PLAIN_WORDS]
+                    if own and _CLUTTER_WORDS.issuperset(own):
+                        need = _SUSPECT
+                    elif parts[-1] in _CLUTTER_WORDS or parts[0] in _CLUTTER_WORDS and begins and not semantic:
+                        need = max(need, _WEAK_SUSPECT)
                     doubt |= parts[-1] in _DOUBTFUL_WORDS or parts[0] in _DOUBTFUL_WORDS | _CLUTTER_WORDS and begins
-        return False, doubt
+        return False, need, doubt
+
+    def _sums(self) -> list[list[int]]:
+        """Of each element with all inside it: text outside links, text in links, text of prose blocks, blocks."""
+        sums = [[0, 0, 0, 0] for _ in self.tags]
+        for element, text, linked in self.blocks:
+            own = sums[element]
+            own[0] += len(text) - linked
+            own[1] += linked
+            own[2] += len(text) if len(text) >= _PROSE and linked < _LINKS * len(text) else 0
+            own[3] += 1
+        for e in range(len(self.tags) - 1, 0, -1):  # an element's number is greater than its parent's
+            above, own = sums[self.parents[e]], sums[e]
+            for i in range(4):
+                above[i] += own[i]
+        return sums
+
+    def _leave_out(self, gone: list[bool]) -> None:
+        """Leave out the blocks of these elements and of all inside them."""
+        for e in range(1, len(self.tags)):
+            gone[e] = gone[e] or gone[self.parents[e]]
+        self.blocks = [b for b in self.blocks if not gone[b[0]]]
+
+    def _judge(self) -> None:
+        """Leave out suspects, but for those that hold most of the page's text, which is prose for the most part."""
+        if any(self.needs):
+            sums = self._sums()
+            self._leave_out([need > 0 and (own[0] < need * sums[0][0] or own[2] < _MOSTLY * own[0] or not own[2]) for need, own in zip(self.needs, sums)])
+
+    def _unlist(self) -> None:
+        """Leave out lists of links, unless nothing else is there."""
+        sums = self._sums()
+        lists = [self.tags[e] in _BOX and own[3] >= _LISTED and not own[2] and own[1] >= _LIST_LINKS * (own[0] + own[1]) for e, own in enumerate(sums)]
+        if any(lists) and not lists[0]:
+            self._leave_out(lists)
 
     def _settle(self) -> None:
         """Leave out the text of doubtful elements that isn't prose for the most part."""
@@ -339,7 +392,9 @@ class _Page:
         return chosen
 
     def main_text(self) -> str:
+        self._judge()
         self._settle()
+        self._unlist()
         chosen, inside = self.kept(), {}
         for e in range(len(self.tags)):
             inside[e] = e in chosen or e > 0 and inside[self.parents[e]]

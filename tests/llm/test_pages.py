@@ -54,6 +54,35 @@ def test_doubtful_names_keep_prose_and_lose_links():
     assert html_text.main_text("<article><p>press <button>OK</button> or <label>x</label>wait</p></article>") == "press or wait"
 
 
+def test_wrappers_of_any_name_keep_the_article():
+    text = f"<h1>Title</h1><p>{ARTICLE} One.</p><p>{ARTICLE} Two.</p>"
+    wanted = ["Title", f"{ARTICLE} One.", f"{ARTICLE} Two."]
+    menu, foot = "<nav><a href=/>Home</a><a href=/b>News</a></nav>", "<footer>about us</footer>"
+    for begin, end in (
+        ("<form action=/post>", "<input name=q><select><option>no</select></form>"),
+        ("<form><article>", "</article><label>no</label><button>no</button></form>"),
+        *((f"<div class='{name}'>", "</div>") for name in ("ad-hoc-analysis", "social-history-essay", "share-class-letter", "sidebar-left-layout", "public-notice", "no-js menu")),
+        *((f"<main><section id={name}>", "</section></main>") for name in ("public-notice", "banner")),
+    ):
+        assert html_text.main_text(f"<body>{begin}{menu}{text}{foot}{end}</body>").split("\n") == wanted, begin
+    for name in ("comments", "cookie-notice", "newsletter", "sidebar", "site-banner", "ad-slot"):
+        for page in (f"<article>{text}<div class={name}><p>{ARTICLE} no</p></div></article>", f"<div id=c>{text}</div><div class={name}><p>{ARTICLE} no</p></div>"):
+            assert html_text.main_text(page).split("\n") == wanted, name
+    assert html_text.main_text(f"<article>{text}<form><p>{ARTICLE} no</p><input></form></article>").split("\n") == wanted
+    short = "<article><p>Short.</p><p>Also, short.</p></article>"
+    assert html_text.main_text(f"{short}<div class='cookie notice'><a href=/>{ARTICLE}</a></div>") == "Short.\nAlso, short."
+
+
+def test_lists_of_links_are_no_article():
+    links = "".join(f"<li><a href=/{i}>Another story about {i}</a></li>" for i in range(12))
+    text = f"<h1>Title</h1><p>{ARTICLE}</p><ul><li>one <a href=/>two</a> three</li><li>four</li><li>five</li><li>six</li></ul>"
+    wanted = ["Title", ARTICLE, "one two three", "four", "five", "six"]
+    for tag in ("main", "article", "div"):
+        assert html_text.main_text(f"<{tag}><ul>{links}</ul>{text}</{tag}>").split("\n") == wanted, tag
+        assert html_text.main_text(f"<{tag}>{text}<div><h3>More</h3><ul>{links}</ul></div></{tag}>").split("\n") == wanted, tag
+    assert len(html_text.main_text(f"<main><ul>{links}</ul></main>").split("\n")) == 12
+
+
 def test_hostile_pages_are_read_in_linear_time():
     n = 200_000
     for piece in ("<b>", "<b>\n<hr>x", "<a '", '<a "', "<a", "<", "<!", "<p", "<li>x</li>", "<iframe ", "<svg>", "<p>x<b>", "</p>", "<ul><li>", "<a \"x\"", "<!--", "<p class=", "&amp"):
