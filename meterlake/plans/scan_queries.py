@@ -53,13 +53,12 @@ def log_appends(spark: SparkSession, sf_dir: str) -> DataFrame:
     # a file that grew has the same path; these have the same app
     now = ranges.file_sizes(spark, f"{base}/now").select(_app().alias("app"), F.col("path").alias("now"))
     moved = cursors.withColumn("app", _app()).join(now, "app").select(F.col("now").alias("path"), "last_byte_offset", "fingerprint")
-    plan = ranges.scan_plan(spark, f"{base}/now", moved)
-    dealt = ranges.batched(ranges.cut(plan, 5_000), 40_000)
-    bytes_of = dealt.groupBy("batch").agg(F.sum(F.col("stop") - F.col("start")).alias("bytes"))
-    most = bytes_of.agg(F.max("bytes")).first()[0] or 0
-    for batch in range(bytes_of.count()):
-        part = ranges.read_ranges(dealt.where(F.col("batch") == batch))
-        part.write.mode("append").parquet(f"{base}/lines")
+    ranges.scan_plan(spark, f"{base}/now", moved).write.parquet(f"{base}/plan")  # files are looked at once
+    plan = spark.read.parquet(f"{base}/plan")
+    ranges.batched(ranges.cut(plan, 5_000), 40_000).write.parquet(f"{base}/ranges")
+    dealt = spark.read.schema("path string, start long, stop long, upto long, batch int").parquet(f"{base}/ranges")
+    most = dealt.groupBy("batch").agg(F.sum(F.col("stop") - F.col("start")).alias("bytes")).agg(F.max("bytes")).first()[0] or 0
+    ranges.read_ranges(dealt).write.parquet(f"{base}/lines")
     lines = spark.read.schema("path string, line_offset long, line string").parquet(f"{base}/lines")
     read = lines.groupBy(_app().alias("app")).agg(F.count("*").alias("n_lines"), F.sum("line_offset").alias("places"), F.sum(F.octet_length("line")).alias("bytes"))
     out = plan.select(_app().alias("app"), "action").join(read, "app", "left").na.fill(0, ["n_lines", "places", "bytes"])

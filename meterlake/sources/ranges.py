@@ -151,10 +151,15 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def made(path: str, rows: list[tuple[int, str]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([path] * len(rows), pa.string()), pa.array([x for x, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.string())], ["path", "line_offset", "line"])
 
-    for batch in batches:
-        for path, start, stop, upto in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            rows, size = [], 0
-            with _open(path) as file:
+    name, file = None, None  # the file that is open: a task's ranges come by file
+    try:
+        for batch in batches:
+            for path, start, stop, upto in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if path != name:
+                    if file:
+                        file.close()
+                    name, file = path, _open(path)
+                rows, size = [], 0
                 for at, raw in _lines_of(file, start, stop, upto):
                     try:
                         line = raw.removesuffix(b"\r").decode()
@@ -166,15 +171,24 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     if size > BATCH_BYTES:
                         yield made(path, rows)
                         rows, size = [], 0
-            if rows:
-                yield made(path, rows)
+                if rows:
+                    yield made(path, rows)
+    finally:
+        if file:
+            file.close()
 
 
 def read_ranges(ranges: DataFrame) -> DataFrame:
-    """(path, line_offset, line) of complete lines, without a trailing CR; blank lines and such as aren't UTF-8 are left out."""
-    n = ranges.count()
-    dealt = ranges.select("path", "start", "stop", "upto").repartition(max(1, min(n, 100_000)), "path", "start")  # a task for each range
-    return dealt.mapInArrow(_read, "path string, line_offset long, line string")
+    """(path, line_offset, line) of complete lines, without a trailing CR; blank lines and such as aren't UTF-8 are left out.
+
+    Of ranges with a ``batch`` (``batched``) a task reads one batch of a file after the other, all of them in one job.
+    """
+    n, size = ranges.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("stop") - F.col("start")), F.lit(0))).first()
+    least = 4 * ranges.sparkSession.sparkContext.defaultParallelism
+    tasks = max(1, min(n, 100_000, max(least, -(-size // RANGE_BYTES))))  # small ranges share a task
+    by = ["batch", "path", "start"] if "batch" in ranges.columns else ["path", "start"]
+    dealt = ranges.repartition(tasks, *by[:-1] if by[0] == "batch" else by).sortWithinPartitions(*by)
+    return dealt.select("path", "start", "stop", "upto").mapInArrow(_read, "path string, line_offset long, line string")
 
 
 def new_lines(spark: SparkSession, folder: str, cursors: DataFrame, range_bytes: int = RANGE_BYTES) -> tuple[DataFrame, DataFrame]:

@@ -460,3 +460,12 @@ def test_rules_of_an_older_revision_give_way():
     bundled = P.Rules(revision=5)
     assert P.load_rules('{"revision": 4, "tolerance": 0.2}', bundled) is bundled
     assert P.load_rules('{"revision": 5, "tolerance": 0.2, "strip_prefixes": ["x/"], "unknown": 1}', bundled).tolerance == 0.2
+
+
+def test_batches_of_ranges_are_read_by_one_job_of_few_tasks(spark, tmp_path):
+    (tmp_path / "f").write_bytes(b"".join(b"line %d\n" % j for j in range(2000)))
+    plan = ranges.scan_plan(spark, f"file://{tmp_path}", spark.createDataFrame([], "path string, last_byte_offset long, fingerprint string"))
+    dealt = ranges.batched(ranges.cut(plan, 30), 100)
+    read = ranges.read_ranges(dealt)
+    assert dealt.select("batch").distinct().count() > 100 and read.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+    assert sorted(r.line for r in read.collect()) == sorted(f"line {j}" for j in range(2000))
