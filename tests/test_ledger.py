@@ -469,3 +469,34 @@ def test_batches_of_ranges_are_read_by_one_job_of_few_tasks(spark, tmp_path):
     read = ranges.read_ranges(dealt)
     assert dealt.select("batch").distinct().count() > 100 and read.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
     assert sorted(r.line for r in read.collect()) == sorted(f"line {j}" for j in range(2000))
+
+
+def test_files_of_a_bucket_keep_apart_and_share_one_state(spark):
+    columns = [c.split()[0] for c in STEPS.split(", ")]
+    files = [[(f"/f{seed}", *r[1:]) for r in codex_steps(seed)] for seed in range(4)]
+    held, got = Held(), []
+    for low, high in ((0, 20), (20, 45), (45, 60)):
+        p = streams.CodexCalls(None)
+        p.init(held)
+        frame = pd.DataFrame([r for f in files for r in f[low:high]], columns=columns).sample(frac=1, random_state=2)
+        for df in p.handleInputRows((7,), iter([frame[:5], frame[5:]]), None):
+            got += [repr(tuple(None if x is pd.NA else x for x in r)) for r in df.itertuples(index=False)]
+    assert len(held.values) == 1
+    assert sorted(got) == sorted(repr(tuple(c)) for f in files for c in codex_fold(f))
+
+
+def test_a_silent_file_of_a_bucket_expires_alone(spark):
+    held, columns = Held(), ["path", "line_offset", "kind", "ts"]
+    clock = lambda ms: type("T", (), {"getCurrentProcessingTimeInMs": staticmethod(lambda: ms)})
+    send = lambda ms, *given: [tuple(r) for df in fresh().handleInputRows((0,), iter([pd.DataFrame(given, columns=columns)]), clock(ms)) for r in df[["path", "asked"]].itertuples(index=False)]
+
+    def fresh():
+        p = streams.LastUserTime(1000)
+        p.init(held)
+        return p
+
+    send(0, ("a", 0, "user", 5), ("b", 0, "user", 6))
+    assert send(900, ("a", 1, "assistant", 9)) == [("a", 5)]
+    assert send(1500, ("a", 2, "assistant", 9), ("b", 1, "assistant", 9)) == [("a", 5), ("b", pd.NA)]
+    assert [own[:2] for own in held.values["states"][0]] == [("a", 1500), ("b", 1500)]
+    assert dict((own[0], own[2]) for own in held.values["states"][0]) == {"a": 5, "b": None}
