@@ -224,12 +224,13 @@ def stances(quotes: DataFrame, rules: Rules = Rules()) -> DataFrame:
     return _voted(quotes, rules).select("canon", "source", "model_id", "stance")
 
 
-def price_rows(quotes: DataFrame, limit: int, rules: Rules = Rules()) -> DataFrame:
-    """The book's page: each model's verdict, whether it is disputed, and its quotes with their stances, the most trusted first."""
+def price_rows(quotes: DataFrame, limit: int | None = None, rules: Rules = Rules()) -> DataFrame:
+    """The book, or its first page of ``limit`` models: each one's verdict, whether it is disputed, and its quotes with their stances, the most trusted first."""
     quote = F.struct("place", F.col("source").alias("source"), "model_id", *(F.col(f"quoted_{c}").alias(c) for c in QUOTED), "stance")
     rows = _voted(quotes, rules).groupBy("canon").agg(*_verdicts(), F.array_sort(F.collect_list(quote)).alias("quotes"))
     shown = F.transform("quotes", lambda q: q.dropFields("place"))
-    return rows.withColumn("quotes", shown).withColumn("disputed", F.col("agree") < F.col("total")).orderBy("display").limit(limit)
+    rows = rows.withColumn("quotes", shown).withColumn("disputed", F.col("agree") < F.col("total"))
+    return rows if limit is None else rows.orderBy("display").limit(limit)
 
 
 def search_prices(rows: DataFrame, text: str, disputed_only: bool = False) -> DataFrame:

@@ -353,7 +353,7 @@ def quote_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def price_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The disputed models of the whole book that have both words in a spelling, with who said what in order of trust."""
-    found = P.search_prices(P.price_rows(quotes(spark, sf_dir), 5000), "M-1, 1", True)
+    found = P.search_prices(P.price_rows(quotes(spark, sf_dir)), "M-1, 1", True)
     said = F.array_join(F.transform("quotes", lambda q: F.concat_ws(":", q["source"], q["model_id"], q["stance"], F.round(q["cache_read"], 4).cast("decimal(18,4)").cast("string"))), " ")
     return found.select("canon", "display", "agree", "total", F.size("quotes").alias("quotes"), said.alias("said"))
 

@@ -500,3 +500,10 @@ def test_a_silent_file_of_a_bucket_expires_alone(spark):
     assert send(1500, ("a", 2, "assistant", 9), ("b", 1, "assistant", 9)) == [("a", 5), ("b", pd.NA)]
     assert [own[:2] for own in held.values["states"][0]] == [("a", 1500), ("b", 1500)]
     assert dict((own[0], own[2]) for own in held.values["states"][0]) == {"a": 5, "b": None}
+
+
+def test_the_whole_book_is_searched(spark):
+    quoted = [(s, f"{m}-{n}", x) for n in range(40) for m in ("a", "z") for s, x in (("litellm", 1.0), ("vercel", 1.0), ("openrouter", 2.0))]
+    quotes_ = spark.createDataFrame([(s, m, x, 5 * x, x / 10) for s, m, x in quoted], "source string, model_id string, input double, output double, cache_read double")
+    assert P.price_rows(quotes_, 10).count() == 10
+    assert P.search_prices(P.price_rows(quotes_), "z", True).count() == 40
