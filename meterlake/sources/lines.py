@@ -33,10 +33,14 @@ def split_lines(files: DataFrame) -> DataFrame:
 
 
 def parsed(raw: DataFrame, schema: str, needle: str | None = None) -> DataFrame:
-    """``raw`` with ``v``, its line as JSON; lines without ``needle`` are dropped before they are parsed, bad JSON after."""
+    """``raw`` with ``v``, its line as JSON; lines without ``needle`` are dropped before they are parsed, bad JSON after.
+
+    A one-element array holds the parsed line, since filters and columns that name its fields would each parse it anew if
+    the optimizer could move them below.
+    """
     if needle:
         raw = raw.where(F.col("line").contains(needle))
-    return raw.withColumn("v", F.from_json("line", schema)).where("v IS NOT NULL")
+    return raw.select("*", F.explode(F.array(F.from_json("line", schema))).alias("v")).where("v IS NOT NULL")
 
 
 def count(value: str | Column) -> Column:

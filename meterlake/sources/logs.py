@@ -132,8 +132,10 @@ def codex_quotas(raw: DataFrame) -> DataFrame:
     none = F.lit(None).cast("double")
     credits = F.when(limits["credits"]["balance"].try_cast("double").isNotNull(), F.struct(F.lit("credits").alias("window_kind"), none.alias("used_percent"), F.lit(None).cast("bigint").alias("resets_at"), limits["credits"]["balance"].try_cast("double").alias("used")))
     windows = F.filter(F.array(window("primary"), window("secondary"), credits), lambda w: w.isNotNull())
-    first = F.struct(F.coalesce(windows[0]["used_percent"], F.lit(-1.0)).alias("a"), F.coalesce(windows[0]["resets_at"], F.lit(0)).alias("b"))
-    some = lines.withColumn("windows", windows).where(F.size("windows") > 0).withColumn("sig", first)
+    main = F.col("windows")[0]
+    first = F.struct(F.coalesce(main["used_percent"], F.lit(-1.0)).alias("a"), F.coalesce(main["resets_at"], F.lit(0)).alias("b"))
+    # the windows are listed once, and only what is compared and shown is shuffled
+    some = lines.select("path", "line_offset", "ts", F.explode(F.array(windows)).alias("windows")).where(F.size("windows") > 0).withColumn("sig", first)
     before = F.lag("sig").over(Window.partitionBy("path").orderBy("line_offset"))
     changed = some.withColumn("before", before).where(~F.col("sig").eqNullSafe(F.col("before")))
     return changed.select(F.lit("codex").alias("app"), F.lit(None).cast("string").alias("account"), F.col("ts").alias("captured_at"), F.explode("windows").alias("w")).select("app", "account", "captured_at", "w.*")

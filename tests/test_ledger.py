@@ -507,3 +507,11 @@ def test_the_whole_book_is_searched(spark):
     quotes_ = spark.createDataFrame([(s, m, x, 5 * x, x / 10) for s, m, x in quoted], "source string, model_id string, input double, output double, cache_read double")
     assert P.price_rows(quotes_, 10).count() == 10
     assert P.search_prices(P.price_rows(quotes_), "z", True).count() == 40
+
+
+def test_a_line_is_parsed_once_however_many_fields_are_read(spark):
+    raw = spark.createDataFrame([("/a", 0, "{}")], "path string, line_offset long, line string")
+    read = {"codex": logs.normalize_codex, "limits": logs.codex_quotas, "dsh": logs.normalize_dsh, "claude": logs.normalize_claude}
+    for name, parse in read.items():
+        plan = parse(raw)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("from_json(") == 1, name
