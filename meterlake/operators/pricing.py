@@ -177,6 +177,8 @@ def vote(quotes: list[dict], rules: Rules) -> tuple[dict | None, str, list[str]]
     return price, winner[0]["source"], stand
 
 
+#: Groups that one task holds as Python objects at a time, however many rows Spark hands it in a batch.
+VOTED_AT_ONCE = 256
 #: A quote's own prices that the book's page shows.
 QUOTED = ("input", "output", "cache_read")
 
@@ -190,7 +192,7 @@ def _voted(quotes: DataFrame, rules: Rules) -> DataFrame:
     grouped = numbers.groupBy("canon").agg(F.collect_list(F.struct(*quote)).alias("quotes"))
 
     def decide(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, VOTED_AT_ONCE) for b in batches for i in range(0, b.num_rows, VOTED_AT_ONCE)):
             out = []
             for canon, group in zip(batch.column("canon").to_pylist(), batch.column("quotes").to_pylist(), strict=True):
                 spelled = Counter(q["model_id"] for q in group)

@@ -515,3 +515,10 @@ def test_a_line_is_parsed_once_however_many_fields_are_read(spark):
     for name, parse in read.items():
         plan = parse(raw)._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("from_json(") == 1, name
+
+
+def test_votes_are_taken_in_small_pieces(spark, monkeypatch):
+    quotes_ = spark.createDataFrame([(s, f"m-{n}", 1.0 + n % 3, 5.0, 0.1) for n in range(40) for s in ("litellm", "vercel")], "source string, model_id string, input double, output double, cache_read double")
+    want = sorted(map(repr, P.stances(quotes_).collect()))
+    monkeypatch.setattr(P, "VOTED_AT_ONCE", 3)
+    assert sorted(map(repr, P.stances(quotes_).collect())) == want and len(want) == 80
