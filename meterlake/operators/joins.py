@@ -9,6 +9,9 @@ from meterlake.functions import exprs as E
 from meterlake.operators.metrics import totals
 from meterlake.schema import DAY_MS
 
+#: Parts into which the rows of a key are dealt, where a key may have very many.
+SPREAD = 64
+
 
 def asof_join(rows: DataFrame, changes: DataFrame, key: str, ts: str, value: str) -> DataFrame:
     """``rows`` with the value of the latest change of the same key at or before each row's time.
@@ -103,7 +106,11 @@ def subtract_coverage(traces: DataFrame, exact: DataFrame) -> DataFrame:
     )
     rows = exact.where("ts_start IS NOT NULL").select(F.explode(keys).alias("k"), F.col("ts_start").alias("at"), "tokens").select("k.*", "at", "tokens").where("of IS NOT NULL")
     # of models and of all, only what some trace asks for; few kinds of keys are asked for by name
-    rows = rows.join(points.select("kind", "of").distinct(), ["kind", "of"], "left_semi")
+    # keys but sessions may have very many rows, which are spread; they are asked for once in each part
+    hot = F.col("kind") != "session"
+    rows = rows.withColumn("part", F.when(hot, F.pmod("at", F.lit(SPREAD))).otherwise(0).cast("int"))
+    asked = points.select("kind", "of").distinct().withColumn("part", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))))
+    rows = rows.join(asked, ["kind", "of", "part"], "left_semi").drop("part")
     met = counted_upto(points, rows, ["kind", "of"], "at", "tokens")
     met = met.select("trace_id", (F.col("sign") * F.col("_n")).alias("n"), (F.col("sign") * F.col("_sum")).alias("tokens"))
     untimed = exact.where("ts_start IS NULL").groupBy("session_id").agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens"))

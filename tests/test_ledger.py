@@ -522,3 +522,10 @@ def test_votes_are_taken_in_small_pieces(spark, monkeypatch):
     want = sorted(map(repr, P.stances(quotes_).collect()))
     monkeypatch.setattr(P, "VOTED_AT_ONCE", 3)
     assert sorted(map(repr, P.stances(quotes_).collect())) == want and len(want) == 80
+
+
+def test_rows_of_a_hot_trace_key_are_dealt_by_parts(spark):
+    traces = spark.createDataFrame([(1, None, 0, 9000, None, 10, 9, 1, 1)], "trace_id long, session_id string, start_ms long, end_ms long, model string, total long, input long, output long, cached long")
+    exact = spark.range(9000).select(F.lit("s").alias("session_id"), F.lit("m").alias("model"), F.col("id").alias("ts_start"), F.lit(0).cast("long").alias("tokens"))
+    left = J.subtract_coverage(traces, exact)
+    assert left.count() == 0 and "part" in left._jdf.queryExecution().optimizedPlan().toString()
