@@ -480,7 +480,7 @@ def test_files_of_a_bucket_keep_apart_and_share_one_state(spark):
         p.init(held)
         frame = pd.DataFrame([r for f in files for r in f[low:high]], columns=columns).sample(frac=1, random_state=2)
         for df in p.handleInputRows((7,), iter([frame[:5], frame[5:]]), None):
-            got += [repr(tuple(None if x is pd.NA else x for x in r)) for r in df.itertuples(index=False)]
+            got += [repr(tuple(None if x is pd.NA else x.item() if hasattr(x, "item") else x for x in r)) for r in df.itertuples(index=False)]
     assert len(held.values) == 1
     assert sorted(got) == sorted(repr(tuple(c)) for f in files for c in codex_fold(f))
 
