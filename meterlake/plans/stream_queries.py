@@ -49,8 +49,8 @@ def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     for seq in range(4):
         rows.where(F.col("seq") == seq).write.mode("append").parquet(f"{base}/in")
         source = streams.landed(spark, f"{base}/in", rows.schema)
-        streams.ingest_stream(source, f"{base}/ledger", f"{base}/progress").awaitTermination()
-    streams.ingest_stream(source, f"{base}/ledger", f"{base}/again").awaitTermination()
+        streams.ingest_stream(source, f"{base}/ledger", f"{base}/progress", reread=True).awaitTermination()
+    streams.ingest_stream(source, f"{base}/ledger", f"{base}/again", reread=True).awaitTermination()
     return with_completeness(streams.read_ledger(spark, f"{base}/ledger")).select("dedup_key", *_VALUES.split(", "), "completeness")
 
 
@@ -62,7 +62,7 @@ def stream_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     waves = (rows, moved(rows.where("event_id % 7 = 0"), 1), moved(rows.where("event_id % 700 = 0"), 3))
     for n, wave in enumerate(waves):
         wave.write.mode("append").parquet(f"{base}/in")
-        streams.ingest_stream(streams.landed(spark, f"{base}/in", rows.schema), f"{base}/ledger", f"{base}/progress", OFFSET, f"{base}/rollups").awaitTermination()
+        streams.ingest_stream(streams.landed(spark, f"{base}/in", rows.schema), f"{base}/ledger", f"{base}/progress", OFFSET, f"{base}/rollups", reread=True).awaitTermination()
         if n == 1:
             streams.compact_keys(spark, f"{base}/ledger")
     kept = streams.read_ledger(spark, f"{base}/ledger").groupBy(E.day_index(F.col("ts_start"), OFFSET).cast("long").alias("day")).agg(F.count("*").alias("events"), F.countDistinct("dedup_key").alias("keys"), F.sum("output_tokens").alias("output_tokens"))
@@ -78,7 +78,7 @@ def stream_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     for wave in (F.col("seq") == 0, some):
         rows.where(wave).write.mode("append").parquet(f"{base}/in")
         source = streams.landed(spark, f"{base}/in", rows.schema)
-        streams.ingest_stream(source, f"{base}/ledger", f"{base}/progress", OFFSET, f"{base}/rollups").awaitTermination()
+        streams.ingest_stream(source, f"{base}/ledger", f"{base}/progress", OFFSET, f"{base}/rollups", reread=True).awaitTermination()
     return rounded(streams.read_ledger(spark, f"{base}/rollups"))
 
 

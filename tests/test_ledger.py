@@ -264,6 +264,52 @@ def test_a_batch_of_one_key_reads_its_part_of_the_index_and_its_days(spark, tmp_
     assert got.count() == 300 and {r.ts_start for r in got.where("dedup_key IN ('k38', 'k39')").collect()} == {20 * day + 5, None} and got.where("dedup_key = 'k39'").first().app == "a"
 
 
+def test_a_batch_of_stored_and_poorer_rows_writes_nothing(spark, tmp_path):
+    """Only days of changed rows are written; batches, one by one, give what one fold of all gives."""
+    sink, rolled, day = f"file://{tmp_path}/ledger", f"file://{tmp_path}/rollups", 86_400_000
+    rng = random.Random(7)
+    versions = lambda at: sorted(x.name for x in Path(at.removeprefix("file://")).glob("days*"))
+    shown = lambda df: sorted(repr([r[c] for c in sorted(df.columns)]) for r in df.collect())
+
+    def some(n, seq):  # revisions, equals, nulls that change places, days that change, keys that are null
+        key = lambda: rng.choice([None, *(f"k{i}" for i in range(25))])
+        two = lambda: rng.choice([("x", None), (None, "x"), ("x", "x")])
+        made = [(key(), rng.choice("ab"), *two(), rng.choice([None, *(rng.randrange(4) * day for _ in range(9))]), rng.randrange(3), rng.choice([None, 1.0])) for _ in range(n)]
+        names = ("dedup_key", "app", "session_id", "model", "ts_start", "output_tokens", "credits")
+        return rows(spark, *(dict(zip(names, m, strict=True)) | {"input_tokens": 1, "seq": seq + i} for i, m in enumerate(made)))
+
+    batches = [some(40, 0), some(30, 100), some(3, 200)]
+    step = streams.merge_batch(sink, "+00:00", rolled)
+    every = None
+    for batch in batches:
+        step(batch, 0)
+        every = batch if every is None else every.unionByName(batch)
+        want = L.fold(every).drop("seq", "completeness")
+        assert shown(streams.read_ledger(spark, sink).select(want.columns)) == shown(want)
+        sums = L.rollups(want, "+00:00")
+        assert shown(streams.read_ledger(spark, rolled).select(sums.columns)) == shown(sums)
+    streams.merge_batch(sink, "+00:00", rolled, reread=True)(batches[1], 1)
+    before = versions(sink), versions(rolled)
+    held = streams.read_ledger(spark, sink).select(want.columns)
+    poor = held.where("output_tokens > 0").withColumns({"output_tokens": F.lit(0).cast("long"), "credits": F.lit(None).cast("double"), "model": F.lit("y")})
+    streams.merge_batch(sink, "+00:00", rolled, reread=True)(held.unionByName(poor), 2)
+    assert (versions(sink), versions(rolled)) == before
+
+
+def test_a_batch_that_failed_before_its_ledger_was_complete_is_made_good(spark, tmp_path, monkeypatch):
+    sink, rolled = f"file://{tmp_path}/ledger", f"file://{tmp_path}/rollups"
+    batch = lambda n: rows(spark, {"dedup_key": "k", "input_tokens": n, "ts_start": 5, "seq": n})
+    step = streams.merge_batch(sink, "+00:00", rolled)
+    step(batch(1), 0)
+    with monkeypatch.context() as m:
+        m.setattr(streams, "rollups", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            step(batch(2), 1)
+    assert one(streams.read_ledger(spark, sink))["input_tokens"] == 1
+    step(batch(2), 1)
+    assert one(streams.read_ledger(spark, sink))["input_tokens"] == one(streams.read_ledger(spark, rolled))["input_tokens"] == 2
+
+
 def test_growing_files_are_read_by_ranges(spark, tmp_path):
     """Each pass reads what is new, whole lines only; every line is read once, at its place."""
     rng = random.Random(4)
