@@ -296,6 +296,38 @@ def test_a_batch_of_stored_and_poorer_rows_writes_nothing(spark, tmp_path):
     assert (versions(sink), versions(rolled)) == before
 
 
+@pytest.mark.parametrize("few", [200_000, 0])
+def test_only_keys_that_come_to_lie_on_another_day_enter_the_index(spark, tmp_path, monkeypatch, few):
+    """Few rows: stored rows of other keys are not shuffled. Poorer and unmoved rows leave the index as it is, wherever they say they lie."""
+    monkeypatch.setattr(streams, "FEW_ROWS", few)
+    sink, day = f"file://{tmp_path}/ledger", 86_400_000
+    made = lambda keys, **more: rows(spark, *({"dedup_key": f"k{i}", "input_tokens": 1, "output_tokens": 2, "ts_start": i % 9 * day, "seq": 0} | more for i in keys))
+    step = streams.merge_batch(sink, "+00:00")
+    indexed = lambda: sorted((r.key, r.day) for r in streams.key_index(spark, sink, list(range(streams.KEY_BUCKETS))).collect())
+    step(made(range(90)), 0)
+    first = indexed()
+    assert len(first) == 90
+    step(made(range(0, 90, 7), output_tokens=0, ts_start=40 * day, seq=1), 1)
+    step(made(range(20), output_tokens=3, seq=2), 2)
+    assert indexed() == first
+    step(made(range(0, 90, 9), ts_start=5 * day, output_tokens=4, seq=3), 3)
+    assert len(indexed()) == 100 and set(first) < set(indexed())
+    got = streams.read_ledger(spark, sink)
+    assert got.count() == got.select("dedup_key").distinct().count() == 90
+    assert {r.dedup_key for r in got.where(F.col("ts_start") == 5 * day).collect()} == {f"k{i}" for i in range(90) if i % 9 in (0, 5)}
+    want = {f"k{i}": 4 if i % 9 == 0 else 3 if i < 20 else 2 for i in range(90)}
+    assert {r.dedup_key: r.output_tokens for r in got.collect()} == want
+
+
+def test_a_batch_of_few_keys_hashes_only_their_stored_rows(spark):
+    stored = rows(spark, *({"dedup_key": f"k{i}", "input_tokens": 1, "ts_start": 5} for i in range(50))).drop("completeness")
+    batch = rows(spark, {"dedup_key": "k3", "input_tokens": 2, "ts_start": 5, "seq": 1}, {"dedup_key": "k50", "input_tokens": 2, "ts_start": 5, "seq": 1}).withColumn("day", F.lit(0))
+    keys = batch.select(streams._key().alias("key"))
+    changed = streams._changes(stored, batch, "+00:00", keys)
+    assert {(r.dedup_key, r._found) for r in changed.collect()} == {("k3", True), ("k50", False)}
+    assert "BroadcastHashJoin" in (plan := changed._jdf.queryExecution().executedPlan().toString()) and "LeftSemi" in plan
+
+
 def test_a_batch_that_failed_before_its_ledger_was_complete_is_made_good(spark, tmp_path, monkeypatch):
     sink, rolled = f"file://{tmp_path}/ledger", f"file://{tmp_path}/rollups"
     batch = lambda n: rows(spark, {"dedup_key": "k", "input_tokens": n, "ts_start": 5, "seq": n})
